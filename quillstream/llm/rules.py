@@ -44,7 +44,7 @@ DEFAULT_RULES = (
     Rule("symbol_word_ratio", high=0.1),
     Rule("exclaim_word_ratio", high=0.25),
     Rule("stop_word_ratio", low=0.04),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
     Rule("words_per_line", low=2.0),
 )
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_stop_words")
