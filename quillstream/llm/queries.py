@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bitplanes, packing, rules
+from quillstream.llm import bitplanes, ngram_join, packing, pu_classifier, rules
 
 TOKENIZER_DIR = os.environ.get("QUILLSTREAM_TOKENIZERS", "")
 
@@ -38,11 +38,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return pu_classifier.score(docs, model).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitplane_ids": op1_bitplane_ids,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op7_pattern_packing": op7_pattern_packing,
         "op8_quality_rules": op8_quality_rules,
+        "op10_quality_pu": op10_quality_pu,
     }
 
 
