@@ -64,7 +64,7 @@ def features(text: Column) -> Column:
                 _count(t, "\\p{Lu}") / chars,
                 _count(t, "[0-9]") / chars,
                 F.least(_count(t, "[#*$%&|<>]") / n, F.lit(3.0)),
-                F.least(_count(t, "[{}\\[\\]()=_/\\\;:@^~\"]") / n, F.lit(3.0)),
+                F.least(_count(t, "[{}\\[\\]()=_/\\\\;:@^~\"]") / n, F.lit(3.0)),
                 F.least(_count(t, "[!?]") / n, F.lit(3.0)),
                 F.size(F.filter(w, lambda x: x.isin(stop))) / n,
                 F.size(F.array_distinct(w)) / n,
