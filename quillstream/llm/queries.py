@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bitplanes, langid, ngram_join, packing, pu_classifier, rules
+from quillstream.llm import bitplanes, langid, ngram_join, packing, pu_classifier, rules, vector_graph
 
 TOKENIZER_DIR = os.environ.get("QUILLSTREAM_TOKENIZERS", "")
 
@@ -46,6 +46,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = pu_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op7_pattern_packing": op7_pattern_packing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_quality_pu": op10_quality_pu,
     }
 
