@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bitplanes, langid, ngram_join, packing, pu_classifier, rules, vector_graph
+from quillstream.llm import bitplanes, langid, nbest, ngram_join, packing, pu_classifier, rules, vector_graph
 
 TOKENIZER_DIR = os.environ.get("QUILLSTREAM_TOKENIZERS", "")
 
@@ -38,6 +38,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    return nbest.digest(nbest.decode(nbest.segment(table(spark, sf_dir, "documents"), model), model))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bitplane_ids": op1_bitplane_ids,
+        "op2_nbest_segmentation": op2_nbest_segmentation,
         "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op7_pattern_packing": op7_pattern_packing,
