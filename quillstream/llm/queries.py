@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bitplanes, langid, nbest, ngram_join, packing, pu_classifier, rules, vector_graph
+from quillstream.llm import bitplanes, html_layout, langid, nbest, ngram_join, packing, pu_classifier, rules, vector_graph
 
 TOKENIZER_DIR = os.environ.get("QUILLSTREAM_TOKENIZERS", "")
 
@@ -30,6 +30,10 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.bitplane_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.render_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pattern_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nbest_segmentation": op2_nbest_segmentation,
         "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op6_html_layout": op6_html_layout,
         "op7_pattern_packing": op7_pattern_packing,
         "op8_quality_rules": op8_quality_rules,
         "op9_embedding_dedup": op9_embedding_dedup,
