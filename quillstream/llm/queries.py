@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import bitplanes, html_layout, langid, nbest, ngram_join, packing, pu_classifier, rules, vector_graph
+from quillstream.llm import bitplanes, html_layout, langid, lm_difference, nbest, ngram_join, packing, pu_classifier, rules, vector_graph
 
 TOKENIZER_DIR = os.environ.get("QUILLSTREAM_TOKENIZERS", "")
 
@@ -30,6 +30,12 @@ def op1_bitplane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.bitplane_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality; background: all documents."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_difference.cross_entropy_difference(table(spark, sf_dir, "documents"), good, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.render_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
 
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nbest_segmentation": op2_nbest_segmentation,
         "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_cross_entropy_difference": op5_cross_entropy_difference,
         "op6_html_layout": op6_html_layout,
         "op7_pattern_packing": op7_pattern_packing,
         "op8_quality_rules": op8_quality_rules,
