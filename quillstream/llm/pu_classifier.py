@@ -132,7 +132,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
     risk = prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second part is negative
     its gradient is followed upwards instead, which keeps the model from fitting positives as
     negatives. The risk leaves the margin's zero open where the classes part well, so it is then
-    moved up to the margin that all but 0.2 % of the trusted positives exceed.
+    moved up until all but 0.2 % of the trusted positives have a margin of at least 1.
     """
     knots = choose_knots(np.concatenate([positive, unlabelled]))
     p, u = hats(positive, knots), hats(unlabelled, knots)
@@ -151,7 +151,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
-    bias -= max(0.0, float(np.quantile(p @ w + bias, 0.002)))  # nearly all trusted positives stay above 1/2
+    bias -= max(0.0, float(np.quantile(p @ w + bias, 0.002)) - 1.0)  # nearly all trusted positives stay above 0.7
     weights, at = [], 0
     for k in knots:
         n = len(k) if len(k) > 1 else 0
@@ -161,8 +161,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
 
 
 def estimate_prior(n_positive: int, n_negative: int) -> float:
-    """Share of positives among labelled training rows (Laplace), within [0.05, 0.95]."""
-    return float(np.clip((n_positive + 1) / (n_positive + n_negative + 2), 0.05, 0.95))
+    """Share of positives among labelled training rows (Laplace), within [0.05, 0.999]."""
+    return float(np.clip((n_positive + 1) / (n_positive + n_negative + 2), 0.05, 0.999))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, folds: int = FOLDS, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -170,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, folds: in
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(fold(F.col("doc_id"), folds) != held_out)
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y is not null")
     marked = marked.filter(fold(F.col("doc_id"), folds) != held_out)
+    marked = marked.join(base.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of the rows at hand
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1):
         raise ValueError("no positive row to learn from")
