@@ -60,14 +60,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, id_co
     return base.mapInArrow(cut, PIECE)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 that makes ||a x - b|| small: accelerated projected gradient."""
-    gram, goal = a.T @ a, a.T @ b
-    step = 1 / max(1e-12, np.abs(gram).sum(axis=1).max())
-    x = y = np.zeros(a.shape[1])
+def nnls(rows: np.ndarray, weight: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
+    """x >= 0 that makes ||W (A x - b)|| small: accelerated projected gradient.
+
+    Column j of A counts the bins that ``rows[j]`` names (the last bin is a stand-in of weight 0),
+    so A is never formed.
+    """
+    n = len(weight)
+    times = lambda x: weight * np.bincount(rows.ravel(), weights=np.repeat(x, rows.shape[1]), minlength=n)
+    back = lambda r: (weight * r)[rows].sum(axis=1)
+    v = np.ones(len(rows))
+    for _ in range(30):  # the largest eigenvalue gives the step
+        v = back(times(v))
+        top = np.linalg.norm(v)
+        v /= max(top, 1e-12)
+    step, goal = 1 / max(1.05 * top, 1e-12), weight * b
+    x = y = np.zeros(len(rows))
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * (gram @ y - goal))
+        new = np.maximum(0, y - step * back(times(y) - goal))
         if (y - new) @ (new - x) > 0:  # restart where momentum points uphill
             t = 1.0
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -117,12 +128,10 @@ def pack_histogram(histogram: dict[int, int], size: int, *, most: int = 4, max_p
         if patterns:
             bins = sorted(left)
             row = {x: k for k, x in enumerate(bins)}
-            a = np.zeros((len(bins), len(patterns)))
-            for j, p in enumerate(patterns):
-                for x in p:
-                    a[row[x], j] += 1
-            weight = 1 / np.sqrt([left[x] for x in bins])  # as a Poisson count's error
-            x = nnls(a * weight[:, None], np.array([left[x] for x in bins]) * weight)
+            rows = np.array([[row[v] for v in p] + [len(bins)] * (most - len(p)) for p in patterns])
+            have = np.array([left[v] for v in bins], dtype=float)
+            weight = np.append(1 / np.sqrt(have), 0.0)  # as a Poisson count's error
+            x = nnls(rows, weight, np.append(have, 0.0))
             for j in np.argsort(-x, kind="stable").tolist():
                 p = patterns[j]
                 need: dict[int, int] = {}
