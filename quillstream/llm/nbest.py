@@ -4,8 +4,8 @@ The lattice of a text holds every piece of the vocabulary at every place; a char
 piece is an unknown of its UTF-8 byte pieces with the least score minus 10. A segmentation's
 score is the sum of its pieces' stored scores. Forward Viterbi gives the best score of every
 prefix, which is the exact heuristic of an A* search from the end: the open list never needs
-more than N entries, and hypotheses come out best first. Equal scores come out in the order of
-their ids read from the end.
+more than N entries, and hypotheses come out best first. Of equal scores those come first whose
+pieces are longer, read from the end.
 
 No piece crosses the start of a word (pieces hold the space sign only in front or alone), so a
 text's lattice falls apart at spaces, and further wherever no piece holds the two characters at
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import chunk_sums, mix64
+from quillstream.llm.common import _powers, chunk_sums, mix64
 from quillstream.llm.tokens import _spread, _Table
 
 SPACE = "▁"
@@ -62,6 +62,12 @@ class Segmenter:
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(byte_ids or []):
             self.bytes_of[i] = bytes([b])
+        ends = [p.encode("utf-32-le") for p in pieces]
+        hashes = [mix64(np.frombuffer(p, dtype="<u4").astype(np.uint64) + np.uint64(1)) for p in ends]
+        keys = np.array([(h * _powers(len(h))[0][: len(h)]).sum() + np.uint64(len(h)) for h in hashes], dtype=np.uint64)
+        self._piece_table = _Table()
+        self._piece_table.add(mix64(keys) | np.uint64(1), np.arange(len(pieces), dtype=np.int32))
+        self._piece_score = np.array([v for _, v in pieces.values()])
         self._pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self._size = np.array([len(x) for x in self.bytes_of])
         self._start = np.cumsum(self._size) - self._size
@@ -85,6 +91,13 @@ class Segmenter:
     def _unknown_ids(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown_id,)
 
+    def _ids_of(self, part: str, cuts: list[int]) -> tuple[int, ...]:
+        out: tuple[int, ...] = ()
+        for a, b in zip([0, *cuts], [*cuts, len(part)]):
+            got = self.pieces.get(part[a:b])
+            out += (got[0],) if got else self._unknown_ids(part[a:b])
+        return out
+
     def search(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
         """The N best (score, ids) of a part, best first."""
         size, get, longest = len(part), self.pieces.get, self.longest
@@ -95,35 +108,97 @@ class Segmenter:
             for j in range(i - longest if i > longest else 0, i):
                 got = get(part[j:i])
                 if got:
-                    edges.append((best[j] + got[1], j, got[1], (got[0],)))
+                    edges.append((best[j] + got[1], j, got[1]))
             if not edges or edges[-1][1] != i - 1:
-                edges.append((best[i - 1] + self.unknown, i - 1, self.unknown, self._unknown_ids(part[i - 1])))
+                edges.append((best[i - 1] + self.unknown, i - 1, self.unknown))
             edges.sort(key=_total, reverse=True)
             best[i] = edges[0][0]
             into.append(edges)
-        # an entry: (-(score of its best completion), reversed ids so far, node, suffix score)
-        open_: list[tuple] = [(-best[size], (), size, 0.0)]
+        # an entry: (-(score of its best completion), cuts so far as bits, node, suffix score)
+        open_: list[tuple] = [(-best[size], 0, size, 0.0)]
         done: list[tuple[float, tuple[int, ...]]] = []
         while open_:
-            _, ids, node, suffix = open_.pop(0)
+            _, mask, node, suffix = open_.pop(0)
             if node == 0:
-                done.append((suffix, ids[::-1]))
+                done.append((suffix, self._ids_of(part, [j for j in range(1, size) if mask >> j & 1])))
                 continue
             room = self.n - len(done)
-            for total, j, score, own in into[node]:
+            for total, j, score in into[node]:
                 cost = -(total + suffix)
                 full = len(open_) >= room
                 if full and cost > open_[-1][0]:
                     break  # the edges that follow are no better
-                insort(open_, (cost, ids + own[::-1], j, suffix + score))
+                insort(open_, (cost, mask | 1 << j if j else mask, j, suffix + score))
                 if full:
                     open_.pop()
         return done
 
+    def search_all(self, parts: list[str]) -> list[list[tuple[float, tuple[int, ...]]]]:
+        """:meth:`search` of many parts; those of equal length, up to 48, go side by side."""
+        out: list = [None] * len(parts)
+        groups: dict[int, list[int]] = {}
+        for k, part in enumerate(parts):
+            groups.setdefault(len(part) if len(part) <= 48 else 0, []).append(k)
+        for k in groups.pop(0, ()):
+            out[k] = self.search(parts[k])
+        for size, members in groups.items():
+            for a in range(0, len(members), 8192):
+                mine = members[a : a + 8192]
+                for k, found in zip(mine, self._side_by_side([parts[k] for k in mine], size)):
+                    out[k] = found
+        return out
+
+    def _side_by_side(self, parts: list[str], size: int) -> list[list[tuple[float, tuple[int, ...]]]]:
+        n, g, width = self.n, len(parts), min(size, self.longest)
+        points = np.frombuffer("".join(parts).encode("utf-32-le"), dtype="<u4").reshape(g, size).astype(np.uint64)
+        up, down = _powers(size + 1)
+        sums = np.zeros((g, size + 1), np.uint64)
+        np.cumsum(mix64(points + np.uint64(1)) * up[:size], axis=1, out=sums[:, 1:])
+        edge = np.full((g, size + 1, width), -np.inf)  # score of the piece of l + 1 characters that ends at i
+        for l in range(1, width + 1):
+            keys = mix64((sums[:, l:] - sums[:, : size + 1 - l]) * down[: size + 1 - l] + np.uint64(l)) | np.uint64(1)
+            row = self._piece_table.find(keys.ravel()).reshape(keys.shape)
+            edge[:, l:, l - 1] = np.where(row >= 0, self._piece_score[row], -np.inf if l > 1 else self.unknown)
+        best = np.full((g, size + 1 + width), -np.inf)  # shifted by width: nothing ends before 0
+        best[:, width] = 0
+        for i in range(1, size + 1):
+            best[:, width + i] = (best[:, i : i + width][:, ::-1] + edge[:, i]).max(axis=1)
+        cost = np.full((g, n), np.inf)
+        mask, node, suffix = np.zeros((g, n), np.int64), np.zeros((g, n), np.int64), np.zeros((g, n))
+        cost[:, 0], node[:, 0] = -best[:, width + size], size
+        found: list[list] = [[] for _ in range(g)]
+        live, count = np.arange(g), np.zeros(g, np.int64)
+        steps = np.arange(1, width + 1)
+        while len(live):
+            r = np.arange(len(live))
+            at, m, c = node[:, 0], mask[:, 0], suffix[:, 0]  # slots are kept in order: the first is the best
+            ended = np.flatnonzero(at == 0)
+            count[live[ended]] += 1
+            for k, score, cuts in zip(live[ended].tolist(), c[ended].tolist(), m[ended].tolist()):
+                found[k].append((score, cuts))
+            go = at[:, None] - steps
+            into = edge[live, at]
+            total = np.where(go >= 0, best[live[:, None], width + np.maximum(go, -width)] + into, -np.inf)
+            cost[:, 0] = np.inf
+            every_cost = np.concatenate([cost, np.where(at[:, None] > 0, -(total + c[:, None]), np.inf)], axis=1)
+            every_mask = np.concatenate([mask, m[:, None] | np.where(go > 0, np.int64(1) << np.maximum(go, 0), 0)], axis=1)
+            order = np.lexsort((every_mask, every_cost), axis=1)[:, :n]
+            pick = (r[:, None], order)
+            cost, mask = every_cost[pick], every_mask[pick]
+            node = np.concatenate([node, go], axis=1)[pick]
+            suffix = np.concatenate([suffix, c[:, None] + into], axis=1)[pick]
+            more = np.isfinite(cost[:, 0]) & (count[live] < n)
+            live, cost, mask, node, suffix = live[more], cost[more], mask[more], node[more], suffix[more]
+        out = []
+        for part, got in zip(parts, found):
+            out.append([(score, self._ids_of(part, [j for j in range(1, size) if m >> j & 1])) for score, m in got])
+        return out
+
     def _combine(self, lists: list[list[tuple[float, tuple[int, ...]]]]) -> list[tuple[float, tuple[int, ...]]]:
         """The N best of parts laid end to end."""
-        if len(lists) == 1:
-            return lists[0]
+        if len(lists) == 2 and len(lists[1]) == 1:
+            more, tail = lists[1][0]
+            return [(score + more, ids + tail) for score, ids in lists[0]]
         items = sorted((x[0][0] - x[k][0], i, k) for i, x in enumerate(lists) for k in range(1, len(x)))[: self.n - 1]
         base = sum(x[0][0] for x in lists)
         out = []
@@ -133,19 +208,17 @@ class Segmenter:
             out.append((base - sum(d for d, _, _ in change), ids))
         return out
 
-    def word(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best of one word with its spaces (as signs)."""
-        cut = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.pairs]
-        lists = []
-        for a, b in zip([0, *cut], [*cut, len(chunk)]):
-            part = chunk[a:b]
-            got = self._parts.get(part)
-            if got is None:
-                if len(self._parts) >= 400_000:
-                    self._parts.clear()
-                got = self._parts[part] = self.search(part)
-            lists.append(got)
-        return self._combine(lists)
+    def words(self, chunks: list[str]) -> list[list[tuple[float, tuple[int, ...]]]]:
+        """The N best of words with their spaces (as signs)."""
+        if len(self._parts) >= 400_000:
+            self._parts.clear()
+        pairs, held, split = self.pairs, self._parts, []
+        for chunk in chunks:
+            cut = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in pairs]
+            split.append([chunk[a:b] for a, b in zip([0, *cut], [*cut, len(chunk)])] if cut else [chunk])
+        new = list({x for parts in split for x in parts if x not in held})
+        held.update(zip(new, self.search_all(new)))
+        return [held[x[0]] if len(x) == 1 else self._combine([held[y] for y in x]) for x in split]
 
     # --- whole texts ----------------------------------------------------------------------
 
@@ -166,8 +239,7 @@ class Segmenter:
         while len(self._best) < need:
             self._best, self._at, self._len = (np.concatenate([x, np.zeros_like(x)]) for x in (self._best, self._at, self._len))
             self._loss = np.concatenate([self._loss, np.full_like(self._loss, np.inf)])
-        for row, word in enumerate(words, self._held):
-            got = self.word(word)
+        for row, got in enumerate(self.words(words), self._held):
             self._best[row] = got[0][0]
             self._loss[row] = np.inf
             for k, (score, ids) in enumerate(got):
