@@ -1,0 +1,3 @@
+"""Quillstream: document conversion as dataflow over Spark DataFrames."""
+
+__version__ = "0.1.0"
