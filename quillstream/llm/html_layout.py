@@ -267,7 +267,8 @@ def render(html: str | None, pad: int = 80) -> str:
     tables: list[list] = []
     for kind, name, attrs in events(html):
         if kind == "text":
-            if not hidden and not (tables and tables[-1][2] == 0 and not name.strip()):
+            shut = opened and opened[-1] == ("details", True)
+            if not hidden and not shut and not (tables and tables[-1][2] == 0 and not name.strip()):
                 flow.text(name, keep > 0)
             continue
         if kind == "start":
