@@ -190,7 +190,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, *,
         name = f"{root}/part-{part:06d}.qids"
         own = f"{root}/.part-{part:06d}-{task.taskAttemptId()}"
         writer = None
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             ids_of = encoder(tokenizer).encode(batch.column(1).to_pylist())
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of):
                 if writer is None:

@@ -95,7 +95,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

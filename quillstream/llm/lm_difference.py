@@ -120,7 +120,7 @@ def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, ranges: int,
                         waiting[0].append(keys_of(ids))
                         if target:
                             waiting[1].append(waiting[0][-1])
-                if sum(map(len, waiting[0])) > 3_000_000:
+                if sum(map(len, waiting[0])) > 1_500_000:
                     settle()
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
         settle()

@@ -44,7 +44,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, id_co
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist())):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()

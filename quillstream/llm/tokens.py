@@ -110,7 +110,7 @@ class ChunkEncoder:
     alter speed, never results.
     """
 
-    def __init__(self, path: str, keep: int = 3_000_000, step: int = 4_000_000):
+    def __init__(self, path: str, keep: int = 1_200_000, step: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
