@@ -44,6 +44,14 @@ STYLES = {
 STYLES |= {"markdown": STYLES["md"], "htm": STYLES["html"], "doc": STYLES["docx"], "azw": STYLES["azw3"], "mobi": STYLES["azw3"]}
 
 
+#: The tags that begin every page.
+PAGE_TOP = ("!DOCTYPE html", "html", "head", 'meta charset="utf-8"')
+_FACES = (("swiss", "Arial"), ("modern", "Courier New"))
+_INKS = ((0, 0, 0), (255, 0, 0), (0, 0, 255), (0, 128, 0))
+RTF_FONTS = "{\\fonttbl" + "".join(f"{{\\f{k}\\f{kind} {face};}}" for k, (kind, face) in enumerate(_FACES)) + "}"
+RTF_COLORS = "{\\colortbl;" + "".join(f"\\red{r}\\green{g}\\blue{b};" for r, g, b in _INKS) + "}"
+
+
 def has(metadata: Column, key: str) -> Column:
     return F.coalesce(metadata[key] != "", F.lit(False))
 
@@ -90,7 +98,7 @@ def _page(metadata: Column, body: Column, s: Style) -> Column:
             F.when(has(metadata, "title"), F.concat(F.lit("<h1>"), esc(metadata["title"]), F.lit("</h1>"))),
             F.when(has(metadata, "author"), F.concat(F.lit("<p><em>By "), esc(metadata["author"]), F.lit("</em></p>"))),
         ]
-    top = [F.lit(x) for x in ("<!DOCTYPE html>", "<html>", "<head>", '<meta charset="utf-8">')]
+    top = [F.lit(f"<{x}>") for x in PAGE_TOP]
     head = _lines(*top, F.concat(F.lit("<title>"), title, F.lit("</title>")), F.lit("</head>"), F.lit("<body>"), *intro)
     return F.array_join(F.concat(head, F.array_compact(body), F.array(F.lit("</body>"), F.lit("</html>"))), "\n")
 
@@ -255,6 +263,5 @@ def rtf(metadata: Column, content: Column) -> Column:
         )
 
     top = _lines(F.lit("{\\rtf1\\ansi\\deff0"), F.lit("{\\info"), info("title"), info("author"), info("subject"), F.lit("}"),
-                 F.lit("{\\fonttbl{\\f0\\fswiss Arial;}{\\f1\\fmodern Courier New;}}"),
-                 F.lit("{\\colortbl;" + "".join(f"\\red{r}\\green{g}\\blue{b};" for r, g, b in ((0, 0, 0), (255, 0, 0), (0, 0, 255), (0, 128, 0))) + "}"))
+                 F.lit(RTF_FONTS), F.lit(RTF_COLORS))
     return F.array_join(F.concat(top, F.array_compact(F.transform(content, one)), F.array(F.lit("}"))), "\n")

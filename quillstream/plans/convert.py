@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as fn
 from quillstream.model import make
-from quillstream.operators.render import STYLES, Style
+from quillstream.operators.render import PAGE_TOP, RTF_COLORS, RTF_FONTS, STYLES, Style
 from quillstream.plans import graph
 from quillstream.sources import containers, markup, palm
 
@@ -63,7 +63,7 @@ def _text_page(doc: dict, s: Style, target: str) -> str:
     title, author = m.get("title"), m.get("author")
     shown = ("paragraph", "text") if s.text_blocks or target == "txt" else ("paragraph",)
     if target == "html":
-        out = ["<!DOCTYPE html>", "<html>", "<head>", '<meta charset="utf-8">', f"<title>{esc(title) if s.html_title and title else 'Document'}</title>", "</head>", "<body>"]
+        out = [f"<{x}>" for x in PAGE_TOP] + [f"<title>{esc(title) if s.html_title and title else 'Document'}</title>", "</head>", "<body>"]
         if s.html_intro:
             out += [f"<h1>{esc(title)}</h1>"] if title else []
             out += [f"<p><em>By {esc(author)}</em></p>"] if author else []
@@ -94,7 +94,7 @@ def _rtf(doc: dict) -> str:
     esc = lambda x: str(x).replace("\\", "\\\\").replace("{", "\\{").replace("}", "\\}")
     m, out = doc["metadata"], ["{\\rtf1\\ansi\\deff0", "{\\info"]
     out += [f"{{\\{k} {esc(m[k])}}}" for k in ("title", "author", "subject") if m.get(k)]
-    out += ["}", "{\\fonttbl{\\f0\\fswiss Arial;}{\\f1\\fmodern Courier New;}}", "{\\colortbl;" + "".join(f"\\red{r}\\green{g}\\blue{b};" for r, g, b in ((0, 0, 0), (255, 0, 0), (0, 0, 255), (0, 128, 0))) + "}"]
+    out += ["}", RTF_FONTS, RTF_COLORS]
     for b in doc["content"]:
         if b["type"] == "heading":
             out.append(f"\\pard\\fs{32 - 4 * b['level']}\\b {esc(b['data'])}\\b0\\fs24\\par")

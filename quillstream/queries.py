@@ -80,7 +80,9 @@ P_HTML = f"array_to_string(list_transform(p, lambda x: '<p>' || {ESC.format('x')
 query("txt_to_txt", f"SELECT doc_id, {P_EACH} AS txt FROM ({PARAS})")(_written(lambda m, c: render.txt(m, c, "txt"), "txt"))
 query("txt_to_md", f"SELECT doc_id, {P_EACH} AS md FROM ({PARAS})")(_written(lambda m, c: render.md(m, c, "txt"), "md"))
 query("txt_to_html", f"SELECT doc_id, {page_sql(P_HTML)} AS html FROM ({PARAS})")(_written(lambda m, c: render.html(m, c, "txt"), "html"))
-_RTF_TOP = rf"""'{{\rtf1\ansi\deff0' || {NL} || '{{\info' || {NL} || '{{\title Document}}' || {NL} || '}}' || {NL} || '{{\fonttbl{{\f0\fswiss Arial;}}{{\f1\fmodern Courier New;}}}}' || {NL} || '{{\colortbl;\red0\green0\blue0;\red255\green0\blue0;\red0\green0\blue255;\red0\green128\blue0;}}' || {NL}"""
+_RTF_HEAD = f"'{{\\rtf1\\ansi\\deff0' || {NL} || '{{\\info' || {NL}"
+_RTF_TABLES = f"'}}' || {NL} || '{render.RTF_FONTS}' || {NL} || '{render.RTF_COLORS}' || {NL}"
+_RTF_TOP = _RTF_HEAD + f" || '{{\\title Document}}' || {NL} || " + _RTF_TABLES
 _RTF_BODY = rf"array_to_string(list_transform(p, lambda x: '\pard ' || {RTF.format('x')} || '\par' || {NL}), '')"
 
 
@@ -160,7 +162,7 @@ def _cat(expr: str) -> str:
 _RICH = {
     "rich_txt": f"'key | name' || {NL} || repeat('-', 10) || {NL} || {_cat(f'k[i] || chr(32) || chr(124) || chr(32) || n[i] || {NL}')} || {NL} || {_cat(f'chr(8226) || chr(32) || n[i] || {NL}')} || {NL} || {_cat(f'i || chr(46) || chr(32) || n[i] || {NL}')} || {NL} || '***' || n[1] || '***' || n[1] || ' (https://example.org/?a=1&b=' || region || ')' || {NL} || {NL} || upper(n[1]) || {NL} || repeat('-', length(n[1])) || {NL} || {NL} || '[Image: pic]' || {NL}",
     "rich_md": f"'| key | name |' || {NL} || '| --- | --- |' || {NL} || {_cat(f'chr(124) || chr(32) || k[i] || chr(32) || chr(124) || chr(32) || n[i] || chr(32) || chr(124) || {NL}')} || {NL} || {_cat(f'chr(45) || chr(32) || n[i] || {NL}')} || {NL} || {_cat(f'i || chr(46) || chr(32) || n[i] || {NL}')} || {NL} || '<u>***' || n[1] || '***</u>' || '[' || n[1] || '](https://example.org/?a=1&b=' || region || ')' || {NL} || {NL} || '####### ' || n[1] || {NL} || {NL} || '![pic](pic)' || {NL} || {NL}",
-    "rich_rtf": "'{\\rtf1\\ansi\\deff0' || chr(10) || '{\\info' || chr(10) || '}' || chr(10) || '{\\fonttbl{\\f0\\fswiss Arial;}{\\f1\\fmodern Courier New;}}' || chr(10) || '{\\colortbl;\\red0\\green0\\blue0;\\red255\\green0\\blue0;\\red0\\green0\\blue255;\\red0\\green128\\blue0;}' || chr(10) || '\\trowd \\cellx2000 \\cellx4000 \\pard\\intbl \\b key\\b0\\cell \\b name\\b0\\cell \\row' || chr(10) || "
+    "rich_rtf": _RTF_HEAD + " || " + _RTF_TABLES + " || '\\trowd \\cellx2000 \\cellx4000 \\pard\\intbl \\b key\\b0\\cell \\b name\\b0\\cell \\row' || chr(10) || "
     + _cat("'\\trowd \\cellx2000 \\cellx4000 \\pard\\intbl ' || k[i] || '\\cell ' || n[i] || '\\cell \\row' || chr(10)") + " || '\\par' || chr(10) || " + _cat("'\\pard \\bullet\\tab ' || n[i] || '\\par' || chr(10)") + " || '\\par' || chr(10) || " + _cat("'\\pard ' || i || '.\\tab ' || n[i] || '\\par' || chr(10)")
     + " || '\\par' || chr(10) || '\\pard \\b \\i \\ul \\cf1 ' || n[1] || '\\b0 \\i0 \\ul0 \\cf0 \\par' || chr(10) || '\\pard ' || n[1] || ' (\\cf2 https://example.org/?a=1&b=' || region || '\\cf0)\\par' || chr(10) || '\\pard\\fs4\\b ' || n[1] || '\\b0\\fs24\\par' || chr(10) || '}'",
 }

@@ -73,24 +73,43 @@ def chapters_of(blocks: list[dict]) -> list[tuple[str, str]]:
     return list(zip(titles or [f"Chapter {k + 1}" for k in range(len(bodies))], map("".join, bodies)))
 
 
+def el(name: str, *inside: str, **attrs: str) -> str:
+    """An element; ``_`` in an attribute's name stands for ``-`` and ``__`` for ``:``."""
+    given = "".join(f' {k.replace("__", ":").replace("_", "-")}="{v}"' for k, v in attrs.items())
+    return f"<{name}{given}>{''.join(inside)}</{name}>" if inside else f"<{name}{given}/>"
+
+
+_OPF = "OEBPS/content.opf"
+_NS = {"container": "urn:oasis:names:tc:opendocument:xmlns:container", "opf": "http://www.idpf.org/2007/opf", "ncx": "http://www.daisy.org/z3986/2005/ncx/", "html": "http://www.w3.org/1999/xhtml"}
+
+
+def _mime(kind: str) -> str:
+    return f"application/{kind}+xml"
+
+
 def write_epub(metadata: dict, blocks: list[dict], title: str = "Unknown", seconds: int = 0, chapters: list[tuple[str, str]] | None = None) -> bytes:
     name, author, lang = metadata.get("title", title), metadata.get("author", "Unknown"), metadata.get("language", "en")
     parts = chapters_of(blocks) if chapters is None else chapters
-    uid = uuid.UUID(bytes=hashlib.sha256(repr(parts).encode()).digest()[:16])
+    uid = str(uuid.UUID(bytes=hashlib.sha256(repr(parts).encode()).digest()[:16]))
     stamp = datetime.fromtimestamp(seconds, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    root = el("rootfile", full_path=_OPF, media_type=_mime("oebps-package"))
     files: list[tuple[str, str | bytes, bool]] = [
         ("mimetype", "application/epub+zip", False),
-        ("META-INF/container.xml", XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>', True),
+        ("META-INF/container.xml", XML + el("container", el("rootfiles", root), version="1.0", xmlns=_NS["container"]), True),
     ]
-    items, refs, points = [], [], []
+    items, refs, points = [el("item", id="ncx", href="toc.ncx", media_type=_mime("x-dtbncx"))], [], []
     for k, (label, body) in enumerate(parts, 1):
-        file = f"chap_{k:02d}.xhtml"
-        items.append(f'<item id="chapter{k}" href="{file}" media-type="application/xhtml+xml"/>')
-        refs.append(f'<itemref idref="chapter{k}"/>')
-        points.append(f'<navPoint id="navPoint-{k}" playOrder="{k}"><navLabel><text>{_esc(label)}</text></navLabel><content src="{file}"/></navPoint>')
-        files.append((f"OEBPS/{file}", f'{XML}<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{_esc(label)}</title></head><body>{body}</body></html>', True))
-    files.append(("OEBPS/content.opf", f'{XML}<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="{DC}"><dc:identifier id="uid">{uid}</dc:identifier><dc:title>{_esc(name)}</dc:title><dc:creator>{_esc(author)}</dc:creator><dc:language>{_esc(lang)}</dc:language><meta property="dcterms:modified">{stamp}</meta></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{"".join(items)}</manifest><spine toc="ncx">{"".join(refs)}</spine></package>', True))
-    files.append(("OEBPS/toc.ncx", f'{XML}<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{uid}"/><meta name="dtb:depth" content="1"/></head><docTitle><text>{_esc(name)}</text></docTitle><navMap>{"".join(points)}</navMap></ncx>', True))
+        file, text = f"chap_{k:02d}.xhtml", _esc(label)
+        items.append(el("item", id=f"chapter{k}", href=file, media_type=_mime("xhtml")))
+        refs.append(el("itemref", idref=f"chapter{k}"))
+        points.append(el("navPoint", el("navLabel", el("text", text)), el("content", src=file), id=f"navPoint-{k}", playOrder=str(k)))
+        page = el("html", el("head", el("title", text)), el("body", body), xmlns=_NS["html"])
+        files.append((f"OEBPS/{file}", f"{XML}<!DOCTYPE html>\n{page}", True))
+    about = [el("dc:identifier", uid, id="uid"), el("dc:title", _esc(name)), el("dc:creator", _esc(author)), el("dc:language", _esc(lang)), el("meta", stamp, property="dcterms:modified")]
+    opf = el("package", el("metadata", *about, xmlns__dc=DC), el("manifest", *items), el("spine", *refs, toc="ncx"), xmlns=_NS["opf"], version="3.0", unique_identifier="uid")
+    head = "<head>" + "".join(f'<meta name="dtb:{n}" content="{v}"/>' for n, v in (("uid", uid), ("depth", "1"))) + "</head>"
+    ncx = el("ncx", head, el("docTitle", el("text", _esc(name))), el("navMap", *points), xmlns=_NS["ncx"], version="2005-1")
+    files += [(_OPF, XML + opf, True), ("OEBPS/toc.ncx", XML + ncx, True)]
     return _zip(files)
 
 
