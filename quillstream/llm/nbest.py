@@ -68,6 +68,7 @@ class Segmenter:
         self._piece_table = _Table()
         self._piece_table.add(mix64(keys) | np.uint64(1), np.arange(len(pieces), dtype=np.int32))
         self._piece_score = np.array([v for _, v in pieces.values()])
+        self._piece_id = np.array([i for i, _ in pieces.values()])
         self._pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         self._size = np.array([len(x) for x in self.bytes_of])
         self._start = np.cumsum(self._size) - self._size
@@ -148,21 +149,75 @@ class Segmenter:
                     out[k] = found
         return out
 
-    def _side_by_side(self, parts: list[str], size: int) -> list[list[tuple[float, tuple[int, ...]]]]:
-        n, g, width = self.n, len(parts), min(size, self.longest)
+    def _edges(self, parts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """[part, i, l]: score, and number or -1, of the piece of l + 1 characters that ends at i."""
+        g, width = len(parts), min(size, self.longest)
         points = np.frombuffer("".join(parts).encode("utf-32-le"), dtype="<u4").reshape(g, size).astype(np.uint64)
         up, down = _powers(size + 1)
         sums = np.zeros((g, size + 1), np.uint64)
         np.cumsum(mix64(points + np.uint64(1)) * up[:size], axis=1, out=sums[:, 1:])
-        edge = np.full((g, size + 1, width), -np.inf)  # score of the piece of l + 1 characters that ends at i
+        edge, number = np.full((g, size + 1, width), -np.inf), np.full((g, size + 1, width), -1, np.int32)
         for l in range(1, width + 1):
             keys = mix64((sums[:, l:] - sums[:, : size + 1 - l]) * down[: size + 1 - l] + np.uint64(l)) | np.uint64(1)
             row = self._piece_table.find(keys.ravel()).reshape(keys.shape)
+            number[:, l:, l - 1] = row
             edge[:, l:, l - 1] = np.where(row >= 0, self._piece_score[row], -np.inf if l > 1 else self.unknown)
-        best = np.full((g, size + 1 + width), -np.inf)  # shifted by width: nothing ends before 0
+        return edge, number
+
+    @staticmethod
+    def _forward(edge: np.ndarray, size: int) -> np.ndarray:
+        """Best score of every prefix, shifted by the width (nothing ends before 0)."""
+        g, _, width = edge.shape
+        best = np.full((g, size + 1 + width), -np.inf)
         best[:, width] = 0
         for i in range(1, size + 1):
             best[:, width + i] = (best[:, i : i + width][:, ::-1] + edge[:, i]).max(axis=1)
+        return best
+
+    def _best_two(self, parts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Best score, loss of the second best (inf without one) and ids of the best, of each part.
+
+        Any other path has an edge off the best path, so the second best is the best path through
+        such an edge: its prefix's score, its own and its suffix's.
+        """
+        g, width = len(parts), min(size, self.longest)
+        edge, number = self._edges(parts, size)
+        best = self._forward(edge, size)
+        after = np.full((g, size + 1), -np.inf)
+        after[:, size] = 0
+        for i in range(size, 0, -1):
+            for l in range(1, min(i, width) + 1):
+                np.maximum(after[:, i - l], edge[:, i, l - 1] + after[:, i], out=after[:, i - l])
+        rows, at = np.arange(g), np.full(g, size)
+        cut = np.zeros((g, size + 1), bool)
+        through = np.full(edge.shape, -np.inf)
+        for i in range(1, size + 1):
+            through[:, i] = best[:, i : i + width][:, ::-1] + edge[:, i] + after[:, i, None]
+        while (at > 0).any():
+            go = at > 0
+            r, i = rows[go], at[go]
+            cut[r, i] = True
+            step = np.arange(1, width + 1)
+            into = np.where(i[:, None] >= step, best[r[:, None], width + np.maximum(i[:, None] - step, -width)] + edge[r, i], -np.inf)
+            l = width - 1 - into[:, ::-1].argmax(axis=1)  # of equal scores the longest piece
+            through[r, i, l] = -np.inf
+            at[go] = i - l - 1
+        total = best[:, width + size]
+        loss = total - through.reshape(g, -1).max(axis=1)
+        who, end = np.nonzero(cut)
+        begin = np.append(0, end[:-1])
+        begin[np.append(True, who[1:] != who[:-1])] = 0
+        piece = number[who, end, end - begin - 1]
+        ids, odd = self._piece_id[piece].astype(np.uint32), np.unique(who[piece < 0])
+        out = np.split(ids, np.cumsum(cut.sum(axis=1))[:-1])
+        for k in odd.tolist():
+            out[k] = np.array(self._ids_of(parts[k], np.flatnonzero(cut[k])[:-1].tolist()), dtype=np.uint32)
+        return total, loss, out
+
+    def _side_by_side(self, parts: list[str], size: int) -> list[list[tuple[float, tuple[int, ...]]]]:
+        n, g, width = self.n, len(parts), min(size, self.longest)
+        edge, _ = self._edges(parts, size)
+        best = self._forward(edge, size)
         cost = np.full((g, n), np.inf)
         mask, node, suffix = np.zeros((g, n), np.int64), np.zeros((g, n), np.int64), np.zeros((g, n))
         cost[:, 0], node[:, 0] = -best[:, width + size], size
@@ -210,7 +265,7 @@ class Segmenter:
 
     def words(self, chunks: list[str]) -> list[list[tuple[float, tuple[int, ...]]]]:
         """The N best of words with their spaces (as signs)."""
-        if len(self._parts) >= 400_000:
+        if len(self._parts) >= 20_000:
             self._parts.clear()
         pairs, held, split = self.pairs, self._parts, []
         for chunk in chunks:
@@ -225,32 +280,41 @@ class Segmenter:
     def _forget(self) -> None:
         self._parts: dict[str, list] = {}
         self._table, self._held = _Table(), 0
-        n = self.n
-        self._best = np.zeros(1 << 12)
-        self._loss = np.full((1 << 12, n - 1), np.inf)
-        self._at = np.zeros((1 << 12, n), np.int64)
-        self._len = np.zeros((1 << 12, n), np.int64)
+        self._best, self._loss = np.zeros(1 << 12), np.zeros(1 << 12)
+        self._at, self._len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self._ids, self._used = np.zeros(1 << 14, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        flat: list[int] = []
-        base = self._used
+        """Best segmentation of distinct words and the loss of their second best."""
         need = self._held + len(words)
         while len(self._best) < need:
-            self._best, self._at, self._len = (np.concatenate([x, np.zeros_like(x)]) for x in (self._best, self._at, self._len))
-            self._loss = np.concatenate([self._loss, np.full_like(self._loss, np.inf)])
-        for row, got in enumerate(self.words(words), self._held):
-            self._best[row] = got[0][0]
-            self._loss[row] = np.inf
-            for k, (score, ids) in enumerate(got):
-                if k:
-                    self._loss[row, k - 1] = got[0][0] - score
-                self._at[row, k], self._len[row, k] = base + len(flat), len(ids)
-                flat += ids
-        self._used = base + len(flat)
+            self._best, self._loss, self._at, self._len = (np.concatenate([x, np.zeros_like(x)]) for x in (self._best, self._loss, self._at, self._len))
+        groups: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            groups.setdefault(len(word) if len(word) <= 48 else 0, []).append(k)
+        made: list = [None] * len(words)
+        two = self if self.n >= 2 else None
+        for k in groups.pop(0, ()):
+            got = self.search(words[k])
+            if two is None or len(got) < 2:
+                loss = np.inf
+            else:
+                loss = got[0][0] - got[1][0]
+            self._best[self._held + k], self._loss[self._held + k], made[k] = got[0][0], loss, np.array(got[0][1], dtype=np.uint32)
+        for size, members in groups.items():
+            for a in range(0, len(members), 4096):
+                mine = members[a : a + 4096]
+                total, loss, ids = self._best_two([words[k] for k in mine], size)
+                at = self._held + np.array(mine)
+                self._best[at], self._loss[at] = total, loss
+                for k, x in zip(mine, ids):
+                    made[k] = x
+        size = np.array([len(x) for x in made])
+        base, self._used = self._used, self._used + int(size.sum())
         while len(self._ids) < self._used:
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[base : self._used] = flat
+        self._ids[base : self._used] = np.concatenate(made)
+        self._at[self._held : need], self._len[self._held : need] = base + np.cumsum(size) - size, size
         self._table.add(keys, np.arange(self._held, need, dtype=np.int32))
         self._held = need
 
@@ -270,6 +334,7 @@ class Segmenter:
         start[ends_of - length] = True
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(raw))
+        data = raw.tobytes()
         keys = mix64(chunk_sums(raw, begin, end)) | np.uint64(1)
         row = self._table.find(keys)
         new = np.flatnonzero(row < 0)
@@ -279,39 +344,44 @@ class Segmenter:
             if self._held + len(fresh) > self.keep:
                 self._forget()
                 fresh, new = np.unique(keys, return_index=True)
-            data = raw.tobytes()
             self._learn(fresh, [data[a:b].decode().replace(" ", SPACE) for a, b in zip(begin[new].tolist(), end[new].tolist())])
             row = self._table.find(keys)
         edge = np.searchsorted(begin, ends_of, side="left")
         a = 0
         for k, b in zip(full, edge.tolist()):
-            out[k] = self._text(row[a:b])
+            out[k] = self._text(row[a:b], lambda i, a=a: data[begin[a + i] : end[a + i]].decode().replace(" ", SPACE))
             a = b
         return out
 
-    def _text(self, row: np.ndarray) -> list[tuple[float, np.ndarray]]:
-        """The N best of a text, given its words' rows."""
+    def _text(self, row: np.ndarray, word_at) -> list[tuple[float, np.ndarray]]:
+        """The N best of a text, given its words' rows and a way to a word's characters.
+
+        Only words whose second best is among the n - 1 least losses can be changed in the N
+        best, so only theirs are searched for alternatives.
+        """
         base = float(self._best[row].sum())
-        loss = self._loss[row]
-        start, size = self._at[row, 0], self._len[row, 0]
-        flat = loss.ravel()
-        want = self.n - 1
-        if want < len(flat):
-            limit = np.partition(flat, want - 1)[want - 1] if want else -1.0
-            near = np.flatnonzero(flat <= limit) if want else np.zeros(0, np.int64)
-        else:
-            near = np.arange(len(flat))
-        near = near[np.isfinite(flat[near])]
-        near = near[np.argsort(flat[near], kind="stable")][:want]  # ties: the earlier place first
-        items = [(float(flat[x]), int(x) // want, int(x) % want + 1) for x in near]
+        loss, want = self._loss[row], self.n - 1
+        start, size = self._at[row], self._len[row]
+        items: list[tuple[float, int, int]] = []
+        lists: dict[int, list] = {}
+        if want:
+            limit = np.partition(loss, want - 1)[want - 1] if want < len(loss) else np.inf
+            near = np.flatnonzero((loss <= limit) & np.isfinite(loss))
+            near = near[np.argsort(loss[near], kind="stable")][:want]  # ties: the earlier place first
+            for i, got in zip(near.tolist(), self.words([word_at(i) for i in near.tolist()])):
+                lists[i] = got
+                items += [(got[0][0] - got[k][0], i, k) for k in range(1, len(got))]
+            items.sort()
         out = []
         for change in changes(items, self.n):
-            s, c = start, size
-            if change:
-                s, c = start.copy(), size.copy()
-                for _, i, k in change:
-                    s[i], c[i] = self._at[row[i], k], self._len[row[i], k]
-            out.append((base - sum(d for d, _, _ in change), self._ids[_spread(s, c)]))
+            if not change:
+                out.append((base, self._ids[_spread(start, size)]))
+                continue
+            parts, a = [], 0
+            for _, i, k in sorted(change, key=lambda x: x[1]):
+                parts += [self._ids[_spread(start[a:i], size[a:i])], np.array(lists[i][k][1], dtype=np.uint32)]
+                a = i + 1
+            out.append((base - sum(d for d, _, _ in change), np.concatenate([*parts, self._ids[_spread(start[a:], size[a:])]])))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -335,16 +405,19 @@ def changes(items: list[tuple[float, int, int]], n: int) -> list[tuple]:
     return sets[:n]
 
 
-def segment(docs: DataFrame, model: str, n: int = 3, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a segmentation: id, rank (from 0), score, ids (binary: little-endian unsigned 32-bit)."""
+def segment(docs: DataFrame, model: str, n: int = 3, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row a segmentation: id, rank (from 0), score, ids (binary: little-endian unsigned 32-bit).
+
+    ``with_text`` adds ``decoded``, as :func:`decode` would, in the same pass.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 400):
-                batch = whole.slice(at, 400)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 index, rank, score, ids = [], [], [], []
                 for k, found in enumerate(segmenter(model, n).segment(batch.column(1).to_pylist())):
                     for r, (s, x) in enumerate(found):
@@ -352,9 +425,13 @@ def segment(docs: DataFrame, model: str, n: int = 3, *, id_col: str = "doc_id",
                         rank.append(r)
                         score.append(s)
                         ids.append(x.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(ids, pa.binary())], names=[id_col, "rank", "score", "ids"])
+                arrays = [batch.column(0).take(pa.array(index)), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(ids, pa.binary())]
+                if with_text:
+                    own = segmenter(model, n)
+                    arrays.append(pa.array([own.decode(np.frombuffer(x, dtype="<u4")).decode("utf-8", "replace") for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "rank", "score", "ids", *["decoded"] * with_text])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, rank int, score double, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, rank int, score double, ids binary" + ", decoded string" * with_text)
 
 
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids") -> DataFrame:

@@ -50,7 +50,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    return nbest.digest(nbest.decode(nbest.segment(table(spark, sf_dir, "documents"), model), model))
+    return nbest.digest(nbest.segment(table(spark, sf_dir, "documents"), model, with_text=True))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
