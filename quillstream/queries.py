@@ -332,3 +332,22 @@ def conversion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = read(spark, sf_dir, "pages").select(src.alias("src"), F.explode(F.array(*map(F.lit, ("html", "epub", "rtf")))).alias("dst"))
     done = work.join(F.broadcast(graph.converters(spark)), ["src", "dst"], "left").withColumn("success", F.col("converter").isNotNull())
     return done.groupBy(F.col("dst").alias("target")).agg(F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_failed"))
+
+
+@query("cover_first", "SELECT l_orderkey AS book, arg_min('item' || l_linenumber, rk * 100 + l_linenumber) AS href FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 2 THEN 0 WHEN l_returnflag = 'R' THEN 1 END AS rk FROM lineitem) AS m WHERE rk IS NOT NULL GROUP BY l_orderkey")
+def cover_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as a manifest: the item that every third book names, else the first one marked as cover."""
+    line = read(spark, sf_dir, "lineitem")
+    marked = F.when(F.col("l_returnflag") == "R", F.lit("cover-image")).otherwise(F.lit(""))
+    number = F.col("l_linenumber").cast("string")
+    manifest = line.select(F.col("l_orderkey").alias("book"), number.alias("id"), F.concat(F.lit("item"), number).alias("href"), F.lit("image/png").alias("media_type"), marked.alias("properties"), F.col("l_linenumber").alias("ord"))
+    named = read(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0).select(F.col("o_orderkey").alias("book"), F.lit("2").alias("cover_id"))
+    return ops.covers(manifest, named, "book").select("book", "href")
+
+
+@query("semi_images", "SELECT c_custkey, 'img' || c_nationkey AS name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+def semi_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image blocks whose picture is among the images of their kind."""
+    blocks = read(spark, sf_dir, "customer").select("c_custkey", F.lit("all").alias("k"), F.lit("image").alias("type"), F.concat(F.lit("img"), F.col("c_nationkey").cast("string")).alias("name"))
+    images = read(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.lit("all").alias("k"), F.concat(F.lit("img"), F.col("n_nationkey").cast("string")).alias("name"))
+    return ops.with_images(blocks, images, "k").select("c_custkey", "name")
