@@ -9,8 +9,10 @@ pieces are longer, read from the end.
 
 No piece crosses the start of a word (pieces hold the space sign only in front or alone), so a
 text's lattice falls apart at spaces, and further wherever no piece holds the two characters at
-hand. Distinct parts are searched once; a text's N best are made from its parts' N best, the
-fewer parts changed first, then in the order of (loss, place).
+hand. For every distinct word, forward and backward scores give its best path and the exact loss
+of its second best. In a text's N best only words can change whose second best is among the
+N - 1 least losses; the A* search runs for these, and the N best are made from theirs, the fewer
+words changed first, then in the order of (loss, place).
 
 Spaces become the sign U+2581 with one put in front, and nothing else is normalised, as in models
 with identity normalisation; decoding gives the text back (a literal U+2581 comes back as a
@@ -293,13 +295,9 @@ class Segmenter:
         for k, word in enumerate(words):
             groups.setdefault(len(word) if len(word) <= 48 else 0, []).append(k)
         made: list = [None] * len(words)
-        two = self if self.n >= 2 else None
         for k in groups.pop(0, ()):
             got = self.search(words[k])
-            if two is None or len(got) < 2:
-                loss = np.inf
-            else:
-                loss = got[0][0] - got[1][0]
+            loss = got[0][0] - got[1][0] if len(got) > 1 else np.inf
             self._best[self._held + k], self._loss[self._held + k], made[k] = got[0][0], loss, np.array(got[0][1], dtype=np.uint32)
         for size, members in groups.items():
             for a in range(0, len(members), 4096):
