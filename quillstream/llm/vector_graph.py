@@ -57,7 +57,8 @@ def robust_prune(x: np.ndarray, candidates: int = 48, degree: int = 20, alpha: f
     """Adjacency of unit vectors: nearest candidates, thinned so that kept edges point apart.
 
     A candidate goes when alpha times its distance to a kept neighbour is at most its distance
-    to the node. Reverse edges are added.
+    to the node. Reverse edges are added, and lists that they make longer than twice the degree
+    are pruned again.
     """
     n = len(x)
     if n < 2:
@@ -85,7 +86,22 @@ def robust_prune(x: np.ndarray, candidates: int = 48, degree: int = 20, alpha: f
     source = np.repeat(np.arange(n), [len(v) for v in out])
     target = np.concatenate(out)
     pairs = np.unique(np.concatenate([source * n + target, target * n + source]))
-    return np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n))
+    lists = np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n))
+    return [thin(x, i, v, degree, alpha) if len(v) > 2 * degree else v for i, v in enumerate(lists)]
+
+
+def thin(x: np.ndarray, i: int, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Robust pruning of one list that reverse edges have made long."""
+    far = np.sqrt(np.maximum(0, 2 - 2 * (x[near] @ x[i])))
+    order = np.argsort(far, kind="stable")
+    near, far, kept = near[order], far[order], []
+    while len(near) and len(kept) < 2 * degree:
+        kept.append(near[0])
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (x[near] @ x[near[0]])))
+        left = alpha * apart > far
+        left[0] = False
+        near, far = near[left], far[left]
+    return np.array(kept, dtype=np.int64)
 
 
 def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], own: np.ndarray, radius: float, beam: int, slack: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
