@@ -91,9 +91,13 @@ def range_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, ranges: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind 0 (a document's tokens) and 1 (a task's counts of a range), stored."""
+    """Rows of kind 0 (a document's tokens) and 1 (a task's counts of a range), stored.
+
+    The target ids are joined by sorting at every size: they grow with the corpus, so a broadcast
+    that a small table would allow says nothing of a large one.
+    """
     marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marked, "doc_id", "left")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marked.hint("merge"), "doc_id", "left")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
