@@ -5,8 +5,11 @@
    representative joins the shards of its ``overlap`` nearest centroids, within its label.
 3. In each shard, nearest-neighbour candidates are thinned by robust pruning (alpha) to at most
    ``degree`` edges; the adjacency lists that a vector got in its shards are united.
-4. In each shard every member is a query: greedy beam search from the medoid and the query's own
-   node, then the range is expanded through every node near enough until nothing new comes.
+4. In each shard every member is a query: greedy beam search from the medoid, the query's own
+   node or known neighbours, and the nearest of the graph's components (each has an entry node),
+   then the range is expanded through every node near enough until nothing new comes. A vector
+   whose candidates all lie in the range may have more neighbours than candidates, and the graph
+   may fall apart there: such tight vectors are compared with whole blocks exactly.
 5. Found pairs are verified by cosine in double precision.
 6. A bounded sample of vectors is compared with all others by brute force. While the audited
    recall is under the target, shards overlap more and beams are wider; found links are united.
@@ -53,23 +56,28 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarra
     return c
 
 
-def robust_prune(x: np.ndarray, candidates: int = 48, degree: int = 20, alpha: float = 1.2) -> list[np.ndarray]:
+def robust_prune(x: np.ndarray, candidates: int = 48, degree: int = 20, alpha: float = 1.2) -> tuple[list[np.ndarray], np.ndarray]:
     """Adjacency of unit vectors: nearest candidates, thinned so that kept edges point apart.
 
+    Also returned: each vector's least cosine among its candidates, -2 where all are candidates.
+
     A candidate goes when alpha times its distance to a kept neighbour is at most its distance
     to the node. Reverse edges are added, and lists that they make longer than twice the degree
     are pruned again.
     """
     n = len(x)
     if n < 2:
-        return [np.zeros(0, np.int64) for _ in range(n)]
+        return [np.zeros(0, np.int64) for _ in range(n)], np.full(n, -2.0)
     k, out = min(candidates, n - 1), []
+    least = np.full(n, -2.0)
     for a in range(0, n, 1024):
         sims = x[a : a + 1024] @ x.T
         sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
         far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, 1)))
+        if k < n - 1:
+            least[a : a + len(sims)] = np.take_along_axis(sims, near[:, -1:], 1)[:, 0]
         inner = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nid,njd->nij", x[near], x[near])))
         alive = np.ones(near.shape, bool)
         kept = np.zeros(near.shape, bool)
@@ -87,7 +95,7 @@ def robust_prune(x: np.ndarray, candidates: int = 48, degree: int = 20, alpha: f
     target = np.concatenate(out)
     pairs = np.unique(np.concatenate([source * n + target, target * n + source]))
     lists = np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n))
-    return [thin(x, i, v, degree, alpha) if len(v) > 2 * degree else v for i, v in enumerate(lists)]
+    return [thin(x, i, v, degree, alpha) if len(v) > 2 * degree else v for i, v in enumerate(lists)], least
 
 
 def thin(x: np.ndarray, i: int, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -104,10 +112,35 @@ def thin(x: np.ndarray, i: int, near: np.ndarray, degree: int, alpha: float) ->
     return np.array(kept, dtype=np.int64)
 
 
-def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], own: np.ndarray, radius: float, beam: int, slack: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
+def entries(x: np.ndarray, adjacency: list[np.ndarray]) -> np.ndarray:
+    """One node of every connected component of a graph: the one nearest to the component's mean."""
+    n = len(x)
+    source, target = np.repeat(np.arange(n), [len(v) for v in adjacency]), np.concatenate(adjacency)
+    label, last = np.arange(n), None
+    while last is None or (label != last).any():
+        last, label = label, label.copy()
+        np.minimum.at(label, source, last[target])
+        np.minimum.at(label, target, last[source])
+        label = label[label]
+    label = np.unique(label, return_inverse=True)[1]
+    mean = np.zeros((label.max() + 1, x.shape[1]), x.dtype)
+    np.add.at(mean, label, x)
+    order = np.lexsort((-np.einsum("ij,ij->i", x, mean[label]), label))
+    return order[np.searchsorted(label[order], np.arange(len(mean)))]
+
+
+def exact_pairs(q: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (row of q, row of x) of cosine >= radius, for unit vectors."""
+    got = [np.nonzero(q[a : a + 1024] @ x.T >= radius) for a in range(0, len(q), 1024)]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i + 1024 * k for k, (i, _) in enumerate(got)]), np.concatenate([j for _, j in got])
+
+
+def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], known: np.ndarray, radius: float, beam: int, slack: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs of cosine >= radius that greedy search and range expansion reach.
 
-    ``own`` has each query's node in this graph, or -1.
+    ``known`` has nodes of this graph where a query's search begins besides, -1 for none.
     """
     n = len(x)
     width = max(1, max(len(v) for v in adjacency))
@@ -116,6 +149,7 @@ def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], own:
         nbrs[i, : len(v)] = v
     far = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
     medoid = int((x @ x.mean(axis=0)).argmax())
+    doors = entries(x, adjacency)
     got_q, got_n = [], []
     for a in range(0, len(q), 256):
         part = q[a : a + 256]
@@ -123,10 +157,12 @@ def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], own:
         rows = np.arange(m)[:, None]
         seen = np.zeros((m, n + 1), bool)
         seen[:, n] = True
-        pool = np.full((m, beam), n, np.int64)
-        pool[:, 0] = medoid
-        mine = own[a : a + m]
-        pool[:, 1] = np.where((mine >= 0) & (mine != medoid), mine, n)
+        mine = known[a : a + m]
+        k = min(beam, len(doors))
+        open_ = doors[np.argpartition(-(part @ x[doors].T), k - 1, axis=1)[:, :k]]
+        pool = np.concatenate([np.full((m, 1), medoid), np.where(mine >= 0, mine, n), open_, np.full((m, beam), n)], axis=1)
+        pool.sort(axis=1)
+        pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = n
         seen[rows, pool] = True
         score = np.where(pool < n, np.einsum("md,mbd->mb", part, far[pool]), -3.0)
         done = pool == n
@@ -175,7 +211,7 @@ def classes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
     return rows.select("vec_id", "cls"), made
 
 
-def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | None, overlap: int, beam: int, degree: int, block: int) -> DataFrame:
+def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | None, overlap: int, beam: int, degree: int, block: int, candidates: int = 48) -> DataFrame:
     """Links (a < b) of classes, each verified in double precision."""
     dim = 0 if centroids is None else centroids.shape[1]
     kind = dict(classes.dtypes)["label"]
@@ -199,18 +235,18 @@ def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | Non
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf.cls.to_numpy()
-        near = robust_prune(unit(np.stack(pdf.v.to_list())), degree=degree)
-        return pd.DataFrame({"cls": ids, "near": [ids[v] for v in near]})
+        near, least = robust_prune(unit(np.stack(pdf.v.to_list())), candidates=candidates, degree=degree)
+        return pd.DataFrame({"cls": ids, "near": [ids[v] for v in near], "tight": least >= radius - 1e-6})
 
-    lists = sized.groupBy(*by, "own").applyInPandas(build, "cls long, near array<long>")
-    united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists
+    lists = sized.groupBy(*by, "own").applyInPandas(build, "cls long, near array<long>, tight boolean")
+    united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("tight").alias("tight"))  # at most `overlap` lists
     nodes = stored(sized.join(united, "cls"), "nodes")
-    search = nodes.select(*by, "cls", "v", "near", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    search = search.select(*by, "cls", "v", "near", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    search = nodes.select(*by, "cls", "v", "near", "tight", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    search = search.select(*by, "cls", "v", "near", "tight", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.stack(pdf.v.to_list()))
-        ids, part = pdf.cls.to_numpy(), pdf.own.to_numpy()
+        ids, part, tight = pdf.cls.to_numpy(), pdf.own.to_numpy(), pdf.tight.to_numpy(dtype=bool)
         pairs = [(pdf.lo.iloc[0], pdf.hi.iloc[0])]
         out_a, out_b = [], []
         for p, t in dict.fromkeys([*pairs, *[(b, a) for a, b in pairs]]):
@@ -219,14 +255,27 @@ def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | Non
                 continue
             order = np.argsort(ids[ts])
             known = ids[ts][order]
-            adjacency = []
-            for v in pdf.near.iloc[ts]:
+
+            def nodes_of(v: np.ndarray) -> np.ndarray:
                 at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-                adjacency.append(order[at[known[at] == v]])
-            own = np.arange(len(ts)) if p == t else np.full(len(qs), -1)
-            i, j = range_search(x[qs].astype(np.float32), x[ts].astype(np.float32), adjacency, own, radius, beam)
-            i, j = qs[i], ts[j]
-            ok = (ids[i] != ids[j]) & (np.einsum("ij,ij->i", x[i], x[j]) >= radius)
+                return order[at[known[at] == v]]
+
+            loose = qs[~tight[qs]]
+            i, j = exact_pairs(x[qs[tight[qs]]], x[ts], radius)
+            i, j = qs[tight[qs]][i], ts[j]
+            if len(loose):
+                begin = np.full((len(loose), 4), -1)
+                if p == t:
+                    begin[:, 0] = np.flatnonzero(~tight[ts])
+                else:
+                    for k, v in enumerate(pdf.near.iloc[loose]):
+                        met = nodes_of(v)[:4]
+                        begin[k, : len(met)] = met
+                adjacency = [nodes_of(v) for v in pdf.near.iloc[ts]]
+                more_i, more_j = range_search(x[loose].astype(np.float32), x[ts].astype(np.float32), adjacency, begin, radius, beam)
+                i, j = np.concatenate([i, loose[more_i]]), np.concatenate([j, ts[more_j]])
+            cosine = [np.einsum("ij,ij->i", x[i[b : b + 100_000]], x[j[b : b + 100_000]]) for b in range(0, len(i), 100_000)]
+            ok = (ids[i] != ids[j]) & (np.concatenate(cosine or [np.zeros(0)]) >= radius)
             out_a.append(np.minimum(ids[i[ok]], ids[j[ok]]))
             out_b.append(np.maximum(ids[i[ok]], ids[j[ok]]))
         if not out_a:

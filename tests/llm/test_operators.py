@@ -398,6 +398,35 @@ def test_op9_against_all_pairs(spark):
     assert vector_graph.near_dedup(df.limit(0)).count() == 0
 
 
+def siblings(groups, members, dim=32, seed=5):
+    """Unit vectors: tight subgroups whose centres are about 0.95 alike, then some far from all."""
+    rng = np.random.default_rng(seed)
+    base, turn = np.eye(dim)[0], np.linalg.qr(rng.normal(size=(dim - 1, dim - 1)))[0][:groups]
+    centres = np.sqrt(0.95) * base + np.sqrt(0.05) * np.concatenate([np.zeros((groups, 1)), turn], axis=1)
+    x = np.concatenate([np.repeat(centres, members, axis=0) + rng.normal(size=(groups * members, dim)) * 0.002, rng.normal(size=(60, dim))])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("block", [6000, 200])
+def test_op9_links_sibling_groups_larger_than_the_candidate_lists(spark, block):
+    x = siblings(6, 100)
+    df = spark.createDataFrame([(k, [float(a) for a in v], 1) for k, v in enumerate(x)], "cls long, v array<double>, label int")
+    links = vector_graph.find_links(df, radius=0.93, centroids=vector_graph.k_means(x, 1), overlap=1, beam=16, degree=20, block=block)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert {(r["a"], r["b"]) for r in links.collect()} == set(zip(i.tolist(), j.tolist())) and len(i) > 150_000
+
+
+def test_op9_search_enters_every_component_of_a_graph():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 24))
+    x = vector_graph.unit(np.repeat(centres, 80, axis=0) + rng.normal(size=(960, 24)) * 0.25)
+    adjacency, _ = vector_graph.robust_prune(x)
+    q = vector_graph.unit(x + rng.normal(size=x.shape) * 0.005)
+    i, j = vector_graph.range_search(q, x, adjacency, np.full((len(q), 1), -1), 0.97, 16)
+    true = q @ x.T >= 0.97
+    assert true[i, j].sum() >= 0.99 * true.sum() >= 900
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 
 
