@@ -11,8 +11,11 @@
    whose candidates all lie in the range may have more neighbours than candidates, and the graph
    may fall apart there: such tight vectors are compared with whole blocks exactly.
 5. Found pairs are verified by cosine in double precision.
-6. A bounded sample of vectors is compared with all others by brute force. While the audited
-   recall is under the target, shards overlap more and beams are wider; found links are united.
+6. A sample of vectors is compared with all others exactly; it grows until enough of its vectors
+   have links, or it holds all vectors, and then the exact links are the result. While the audited
+   recall (of links and, on average, of a vector's links) is under the target, shards overlap more,
+   beams, candidates and degrees grow and found links are united. If that doesn't reach the target
+   either, all vectors are compared exactly, in blocks, and a warning is logged.
 7. Connected components of the links give the groups.
 
 Shards of more than ``block`` vectors are split by hash into blocks with a graph each, and every
@@ -26,6 +29,7 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import stored
 from quillstream.llm.components import components
 
+_LOG = logging.getLogger(__name__)
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=np.float64)
@@ -70,8 +76,9 @@ def robust_prune(x: np.ndarray, candidates: int = 48, degree: int = 20, alpha: f
         return [np.zeros(0, np.int64) for _ in range(n)], np.full(n, -2.0)
     k, out = min(candidates, n - 1), []
     least = np.full(n, -2.0)
-    for a in range(0, n, 1024):
-        sims = x[a : a + 1024] @ x.T
+    step = max(16, 1024 * 48 * 48 // max(k, 48) ** 2)  # of rows, as each takes k x k distances
+    for a in range(0, n, step):
+        sims = x[a : a + step] @ x.T
         sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
@@ -285,35 +292,70 @@ def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | Non
     return search.groupBy(*by, "lo", "hi").applyInPandas(look, "a long, b long").distinct()
 
 
-def audit(classes: DataFrame, links: DataFrame, *, radius: float, sample: int) -> tuple[int, int]:
-    """(links by brute force, those of them that were found) of a bounded sample of classes."""
-    chosen = classes.select("cls", "label", "v").orderBy(F.xxhash64("cls", F.lit(3))).limit(sample).collect()
-    spark = classes.sparkSession
-    groups: dict = {}
-    for r in chosen:
-        groups.setdefault((r["label"], len(r["v"])), []).append((r["cls"], r["v"]))
+def compare(queries: DataFrame, classes: DataFrame, *, radius: float, block: int) -> DataFrame:
+    """Links (a < b) of the ``queries`` (some or all of ``classes``) with all classes, without a graph.
 
-    def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sides = {k: (np.array([c for c, _ in g]), unit(np.array([v for _, v in g]))) for k, g in groups.items()}
-        for pdf in batches:
-            for (label, dim), part in pdf.groupby([pdf.label, pdf.v.map(len)]):
-                if (label, dim) not in sides:
-                    continue
-                ids, q = sides[label, dim]
-                i, j = np.nonzero(unit(np.stack(part.v.to_list())) @ q.T >= radius)
-                mine = part.cls.to_numpy()[i]
-                ok = mine != ids[j]
-                yield pd.DataFrame({"q": ids[j][ok], "t": mine[ok]})
-
-    true = classes.select("cls", "label", "v").mapInPandas(brute, "q long, t long")
-    true = true.select(F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b")).distinct()
+    Both sides are split by hash into blocks of about ``block`` vectors, and every pair of blocks is
+    a group; with ``queries`` the same table as ``classes``, each unordered pair of blocks is one.
+    """
+    by, once = ["label", "dim"], queries is classes
+    left, right = (t.select("cls", "label", F.size("v").alias("dim"), "v") for t in (queries, classes))
+
+    def counted(t: DataFrame, name: str) -> DataFrame:
+        return t.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+
+    sizes = counted(left, "nq").join(counted(right, "nt"), by)
+    own = F.xxhash64("cls", F.lit(5))
+    left = left.join(sizes, by).select(*by, "cls", "v", F.pmod(own, "nq").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), F.lit(True).alias("asks"))
+    right = right.join(sizes, by).select(*by, "cls", "v", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod(own, "nt").cast("int").alias("t"), F.lit(False).alias("asks"))
+    both = left.unionByName(right)
+
+    def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, ids = pdf.asks.to_numpy(dtype=bool), pdf.cls.to_numpy()
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        x = unit(np.stack(pdf.v.to_list()))
+        i, j = exact_pairs(x[asks], x[~asks], radius)
+        i, j = ids[asks][i], ids[~asks][j]
+        i, j = i[i != j], j[i != j]
+        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+
+    return (both.filter("q <= t") if once else both).groupBy(*by, "q", "t").applyInPandas(look, "a long, b long").distinct()
+
+
+def truth(classes: DataFrame, n: int, *, radius: float, sample: int, block: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(sampled classes, all links of theirs, whether every class is sampled).
+
+    The sample grows until ``sample`` of its classes have links or it holds all classes.
+    """
+    share = 4 * sample / max(1, n)
+    while True:
+        whole = share >= 1
+        chosen = classes if whole else classes.filter(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        true = stored(compare(chosen, classes, radius=radius, block=block), "audit")
+        if whole:
+            return chosen, true, True
+        linked = chosen.select("cls").join(true.select(F.explode(F.array("a", "b")).alias("cls")), "cls", "left_semi").count()
+        if linked >= sample:
+            return chosen, true, False
+        share *= min(16, max(2, 1.5 * sample / max(1, linked)))
+
+
+def audit(chosen: DataFrame, true: DataFrame, links: DataFrame) -> tuple[int, int, float]:
+    """(true links, those of them that were found, mean share found of a sampled class's links)."""
     got = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
     row = got.agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    return row["n"], row["hit"]
+    ends = got.select(F.explode(F.array("a", "b")).alias("cls"), "hit").join(chosen.select("cls"), "cls", "left_semi")
+    per = ends.groupBy("cls").agg((F.count("hit") / F.count("*")).alias("share")).agg(F.avg("share")).first()[0]
+    return row["n"], row["hit"], 1.0 if per is None else per
 
 
 def near_dedup(vectors: DataFrame, *, radius: float = 0.93, overlap: int = 3, beam: int = 16, degree: int = 20, shard: int = 1500, block: int = 6000, fit_rows: int = 20_000, target: float = 0.99, sample: int = 300, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: list | None = None) -> DataFrame:
-    """One row a vector: id, n_links, component_id, kept. Audits are appended to ``report``."""
+    """One row a vector: id, n_links, component_id, kept.
+
+    Audits (overlap, true links, found links) are appended to ``report`` and logged; where the
+    links were taken from an exact comparison of all vectors, a last entry has overlap 0.
+    """
     rows, made = classes_of(vectors, id_col, vector_col, label_col)
     classes = stored(made, "vectors")
     n, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
@@ -322,18 +364,28 @@ def near_dedup(vectors: DataFrame, *, radius: float = 0.93, overlap: int = 3, be
     for r in picked:
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
     most = max(by_dim.values(), key=len, default=[])
+    chosen, exact, whole = truth(classes, n, radius=radius, sample=sample, block=block)
     links = None
     for k in range(4):
         wide = overlap + 2 * k
         parts = int(np.clip(n * wide / (max(1, labels) * shard), 1, 4096))
         centroids = k_means(np.array(most), parts) if most else None
-        new = find_links(classes, radius=radius, centroids=centroids, overlap=wide, beam=beam << k, degree=degree, block=block)
+        new = find_links(classes, radius=radius, centroids=centroids, overlap=wide, beam=beam << k, degree=degree << k, block=block, candidates=48 << k)
         links = stored(new if links is None else links.unionByName(new).distinct(), "links")
-        true, hit = audit(classes, links, radius=radius, sample=sample)
+        true, hit, mean = audit(chosen, exact, links)
+        _LOG.info("overlap %d: %d of %d audited links found, %.4f of a vector's on average", wide, hit, true, mean)
         if report is not None:
             report.append((wide, true, hit))
-        if hit >= target * true:
+        if whole or (hit >= target * true and mean >= target):
             break
+    else:
+        _LOG.warning("recall stayed under %s: all vectors are compared", target)
+        exact, whole = stored(compare(classes, classes, radius=radius, block=block), "links"), True
+    if whole:
+        links = exact
+        if report is not None:
+            true = exact.count()
+            report.append((0, true, true))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(classes.select(F.col("cls").alias("b"), "class_size"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("class_size").alias("_near"))
     group = components(links).withColumnRenamed("node", "cls")

@@ -427,6 +427,34 @@ def test_op9_search_enters_every_component_of_a_graph():
     assert true[i, j].sum() >= 0.99 * true.sum() >= 900
 
 
+def no_links(classes, **_):
+    return classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+
+
+def test_op9_compares_all_where_the_audit_fails(spark, monkeypatch):
+    x = siblings(10, 40)
+    df = spark.createDataFrame([(k, [float(a) for a in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(vector_graph, "find_links", no_links)
+    report = []
+    got = {r["vec_id"]: r for r in vector_graph.near_dedup(df, sample=20, block=150, report=report).collect()}
+    near = x @ x.T >= 0.93
+    assert all(got[i]["n_links"] == near[i].sum() - 1 for i in range(len(x)))
+    assert [r[0] for r in report] == [3, 5, 7, 9, 0] and all(r[1] > r[2] == 0 for r in report[:4])
+
+
+def test_op9_audit_grows_until_it_meets_links(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(3000, 16))
+    x[2999] = x[17] * 1.01 + 0.01
+    df = spark.createDataFrame([(k, [float(a) for a in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(vector_graph, "find_links", no_links)
+    report = []
+    got = {r["vec_id"]: r for r in vector_graph.near_dedup(df, sample=50, report=report).collect()}
+    y = vector_graph.unit(x)
+    near = y @ y.T >= 0.93
+    assert got[2999]["component_id"] == 17 and not got[2999]["kept"] and report[0][1] > report[0][2]
+    assert all(got[i]["n_links"] == near[i].sum() - 1 for i in range(len(x)))
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 
 
