@@ -4,8 +4,12 @@ A tokenizer and a tree builder with implied end tags give properly nested events
 renders them, without recursion, so depth and length are bounded by memory alone.
 
 * Hidden: comments, ``head`` and what lies in it, script, style, template and other elements that
-  show no text, anything with ``hidden``, ``display:none`` or ``visibility:hidden``, closed
-  ``details`` but for their summary, and closed ``dialog``. Scripts don't run: noscript shows.
+  show no text, anything with ``hidden`` or ``display:none``, closed ``details`` but for their
+  summary, and closed ``dialog``. Scripts don't run: noscript shows. What has
+  ``visibility:hidden`` keeps its place but shows no text; ``visibility:visible`` inside it does.
+* Formulas show the text of their tokens, set apart by spaces, but no annotations. Drawings show
+  their ``text`` elements and ``foreignObject``, set apart too, but no titles, descriptions and
+  definitions (copies of definitions that ``use`` draws aren't followed).
 * White space collapses outside ``pre`` and ``textarea``. Paragraphs, headings, lists, tables,
   quotes and ``pre`` stand between blank lines; other blocks begin a line; ``br`` ends one.
 * List items have ``-`` or their number, nested lists and quotes are indented.
@@ -29,7 +33,13 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 TEXT_ONLY = frozenset(("title", "textarea"))
-HIDDEN = frozenset("head script style template title noframes noembed iframe object audio video canvas svg math datalist area base link meta param source track rp".split())
+HIDDEN = frozenset("head script style template title noframes noembed iframe object audio video canvas datalist area base link meta param source track rp".split())
+#: Inside svg and math: elements that aren't rendered, and those whose content is HTML again.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+POINTS = ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+TOKENS = frozenset("mi mo mn ms mtext".split())
+#: Start tags of HTML that end an unclosed svg or math.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset form menu dir hr xmp".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center dd details dialog div dt figcaption footer header hgroup html legend li main nav optgroup option search section summary caption tr thead tbody tfoot".split())
 CLOSES_P = (BLOCK - frozenset("body html option optgroup caption tr thead tbody tfoot".split())) | {"plaintext"}
@@ -50,7 +60,8 @@ SCOPE = frozenset("table td th caption button template body html".split())
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WS = re.compile(r"[ \t\n\f\r]+")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NONE = re.compile(r"(?<![\w-])display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)\s*(!\s*important)?", re.I)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -60,6 +71,19 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def visibility(tag: str, attrs: dict[str, str], before: bool, drawn: bool) -> bool:
+    """Whether an element's text shows, as its own style or else its parent's tells."""
+    told = _VISIBILITY.findall(attrs.get("style", ""))
+    told = [v for v, important in told if important] or [v for v, _ in told]
+    if not told and drawn and "visibility" in attrs:
+        told = [attrs["visibility"].strip()]
+    if told and told[-1].lower() in ("hidden", "collapse"):
+        return False
+    if told and told[-1].lower() in ("visible", "initial"):
+        return True
+    return before and tag != "mphantom"
+
+
 def events(html: str) -> Iterator[tuple[str, str, dict | None]]:
     """("start", tag, attributes), ("end", tag, None) and ("text", data, None), properly nested."""
     stack: list[str] = []
@@ -97,16 +121,23 @@ def events(html: str) -> Iterator[tuple[str, str, dict | None]]:
             elif tag == "br":
                 yield from (("start", "br", {}), ("end", "br", None))
             continue
-        if tag in CLOSES_P and (k := highest(("p",))) >= 0 and (not scopes or k > scopes[-1]):
+        point = foreign = -1
+        if places.get("svg") or places.get("math"):
+            point, foreign = highest(POINTS), highest(("svg", "math"))
+            if foreign > point and (tag in BREAKOUT or tag == "font" and {"color", "face", "size"} & attributes(m[3]).keys()):
+                yield from end_to(min(p[bisect_right(p, point)] for t in ("svg", "math") if (p := places.get(t)) and p[-1] > point))
+                foreign = -1
+        inside = foreign > point or tag in ("svg", "math")
+        if not inside and tag in CLOSES_P and (k := highest(("p",))) > point and (not scopes or k > scopes[-1]):
             yield from end_to(k)
-        if tag in IMPLIED:
+        if not inside and tag in IMPLIED:
             ends, bound = IMPLIED[tag]
-            floor = highest(bound)
+            floor = max(highest(bound), point)
             above = [p[i] for t in ends if (p := places.get(t)) and (i := bisect_right(p, floor)) < len(p)]
             if above:
                 yield from end_to(min(above))
         yield "start", tag, attributes(m[3]) if m[3] else {}
-        if tag in VOID:
+        if tag in VOID or m[4] and inside:
             yield "end", tag, None
             continue
         if tag in RAW or tag in TEXT_ONLY:
@@ -117,9 +148,6 @@ def events(html: str) -> Iterator[tuple[str, str, dict | None]]:
                 yield "text", unescape(body) if tag in TEXT_ONLY else body, None
             yield "end", tag, None
             continue
-        if m[4] and tag in ("path", "circle", "rect", "use", "line"):
-            yield "end", tag, None
-            continue
         places.setdefault(tag, []).append(len(stack))
         if tag in SCOPE:
             scopes.append(len(stack))
@@ -263,27 +291,56 @@ def render(html: str | None, pad: int = 80) -> str:
     hidden = 0  # depth inside a hidden element
     keep = 0  # depth of pre and textarea
     lists: list[list] = []  # [ordered, next number, kind]
-    opened: list[tuple[str, object]] = []  # what to undo at the end tag
+    shown = True  # as visibility tells
+    drawing = ""  # "svg" inside a drawing, "text" in one of its texts, "math" in a formula between tokens
+    formula = 0  # parts of the line when the formula began
+    opened: list[tuple[str, object, tuple]] = []  # what to undo at the end tag
     tables: list[list] = []
     for kind, name, attrs in events(html):
         if kind == "text":
-            shut = opened and opened[-1] == ("details", True)
-            if not hidden and not shut and not (tables and tables[-1][2] == 0 and not name.strip()):
+            shut = opened and opened[-1][:2] == ("details", True)
+            if drawing == "math" and not name.strip():
+                continue
+            if not hidden and shown and not shut and drawing != "svg" and not (tables and tables[-1][2] == 0 and not name.strip()):
                 flow.text(name, keep > 0)
             continue
         if kind == "start":
+            before = shown, drawing
             hides = hidden or name in HIDDEN or (attrs and ("hidden" in attrs or _NONE.search(attrs.get("style", "")) is not None or (name == "input" and attrs.get("type", "").lower() == "hidden")))
             if not hides and opened and opened[-1][0] == "details" and opened[-1][1] and name != "summary":
                 hides = True
             if not hides and name == "dialog" and "open" not in attrs:
                 hides = True
+            drawn = drawing or name == "svg"
+            if not hides and drawn:
+                hides = name in UNDRAWN or attrs.get("display", "").strip().lower() == "none"
             if hides:
                 hidden += 1
-                opened.append((name, None))
+                opened.append((name, None, before))
                 continue
+            shown = visibility(name, attrs, shown, bool(drawn)) if attrs or name == "mphantom" else shown
             undo: object = ()
-            if name == "br":
-                flow.line()
+            if name == "svg":
+                drawing, undo, flow.space = "svg", "apart", True
+            elif name == "math":
+                alone = attrs.get("display", "").lower() == "block"
+                if alone:
+                    flow.edge(0)
+                drawing, formula, undo = "math", len(flow.now), "alone" if alone else flow.space
+            elif name == "foreignobject" and drawing or name == "text" and drawing == "svg":
+                drawing, undo, flow.space = "" if name == "foreignobject" else "text", "apart", True
+            elif name in TOKENS and drawing == "math":
+                drawing, undo = "", "apart"
+                flow.space |= len(flow.now) > formula
+            elif drawing == "text" and name == "tspan" and {"x", "y", "dx", "dy"} & attrs.keys():
+                flow.space = True
+            elif drawing:
+                pass
+            elif name == "br":
+                if shown:
+                    flow.line()
+                else:
+                    flow.edge(0)
             elif name == "table":
                 flow.edge(2)
                 tables.append([[], None, 0])  # rows, cell's spans, depth of cells
@@ -307,7 +364,7 @@ def render(html: str | None, pad: int = 80) -> str:
                         lists[-1][1] = n = integer(attrs.get("value"), lists[-1][1])
                         mark = number(n, lists[-1][2]) + ". "
                         lists[-1][1] += 1
-                    flow.marker = flow.indent + mark
+                    flow.marker = flow.indent + mark if shown else None
                     flow.indent += " " * len(mark)
                 elif name in ("blockquote", "dd"):
                     undo = flow.indent
@@ -318,11 +375,19 @@ def render(html: str | None, pad: int = 80) -> str:
                     undo = "open" not in attrs
             elif name == "textarea":
                 keep += 1
-            opened.append((name, undo))
+            opened.append((name, undo, before))
             continue
-        start, undo = opened.pop()
+        _, undo, (shown, drawing) = opened.pop()
         if undo is None:
             hidden -= 1
+        elif undo == "apart":
+            flow.space = True
+        elif undo == "alone":
+            flow.edge(0)
+        elif name == "math":
+            flow.space = undo and len(flow.now) == formula
+        elif drawing:
+            pass
         elif name == "table":
             rows = tables.pop()[0]
             flow.edge(2)

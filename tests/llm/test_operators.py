@@ -297,6 +297,20 @@ def test_op6_layout(page, text):
     assert html_layout.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p>So <math><mi>x</mi><mo>=</mo>\n<mfrac><mn>1</mn><mn>2</mn></mfrac></math>, then</p>", "So x = 1 2, then"), ("<p>a</p>is<math></math> b", "a\n\nis b"),
+    ("a<math display=block><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math>b", "a\nE = m\nb"),
+    ("<math><mtext>if <b>x</b> holds</mtext><mspace/><mphantom><mi>n</mi></mphantom></math>", "if x holds"),
+    ("<svg><title>n</title><desc>n</desc><defs><text>n</text></defs>n<g><text>Sales <tspan>2020</tspan></text><text>up<tspan x=1>next</tspan></text></g><defs/><text>z</text></svg>t", "Sales 2020 up next z t"),
+    ("<p>x<svg><foreignObject><p>p<p>q</foreignObject><text>r</text></svg></p>", "x\n\np\n\nq\n\nr"), ("<svg><g><p>after</p>rest", "after\n\nrest"), ("<text>a</text>b", "ab"),
+    ("<svg visibility=hidden><text>n</text><text visibility=visible>y</text></svg><svg display=none><text>n</text></svg>", "y"),
+    ("<div style='visibility:hidden'>n <b style='visibility: visible'>see</b> n</div>d", "see\nd"), ("<p style='visibility:hidden'><i style='display:none;visibility:visible'>n</i>n</p>y", "y"),
+    ("<ol><li style='visibility:collapse'>n<li>b</ol>", "2. b"), ("<p style='backface-visibility:hidden'>y</p>", "y"),
+])
+def test_op6_formulas_drawings_and_visibility(page, text):
+    assert html_layout.render(page) == text
+
+
 def test_op6_deep_and_broken_markup_is_linear(spark):
     assert html_layout.render("<b>" * 40000 + "x") == "x" and html_layout.render("<a '" * 20000) and html_layout.render("<p>" * 40000 + "y") == "y"
     got = html_layout.render_pages(spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, text string")).collect()
