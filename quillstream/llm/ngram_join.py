@@ -1,10 +1,12 @@
-"""N-gram Jaccard join: a MinHash LSH forest over sorted prefixes, then exact verification.
+"""N-gram Jaccard join: MinHash banding of a fixed depth, then exact verification.
+
+An LSH forest would keep longer signatures and shorten prefixes by the data; none is built here.
 
 1. One narrow pass hashes every text's words, forms its set of word n-grams and, for each of
    ``trees`` trees, the hash of a prefix of its signature. Texts with the same set of n-grams
    are one class; only one representative of a class goes on.
-2. Prefixes are shortened from ``max_depth`` until a pair at the threshold shares one in some
-   tree with at least the target recall (:func:`prefix_depth`).
+2. Their depth is the greatest at which a pair at the threshold shares a prefix in some tree
+   with at least the target recall (:func:`prefix_depth`); it doesn't depend on the data.
 3. Members of one bucket (equal tree and prefix) get its least class as anchor. That is linear
    in a bucket's members: no pairs are made. Two texts that share any bucket share an anchor.
 4. Texts of the representatives are sent once to each of their anchors, and every pair of an
@@ -42,7 +44,7 @@ def recall_bound(similarity: float, depth: int, trees: int) -> float:
 
 
 def prefix_depth(threshold: float, trees: int, target: float, max_depth: int = 16) -> int:
-    """Shorten the matched prefix from ``max_depth`` until the recall bound meets the target."""
+    """The greatest depth, up to ``max_depth``, at which the recall bound meets the target."""
     for depth in range(max_depth, 0, -1):
         if recall_bound(threshold, depth, trees) >= target:
             return depth
