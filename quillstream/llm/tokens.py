@@ -5,8 +5,8 @@ after a non-space character always begins a new pre-token. So a text splits at s
 into chunks that can be encoded apart. Chunks are found and looked up by 64-bit hashes in
 numpy; only chunks not met before reach the library, together. A chunk of Latin letters, with
 or without a tail of ASCII signs, is one or two pre-tokens and goes straight to the library's
-model; every other chunk, and every text with two white-space characters in a row, goes
-through the library's whole pipeline.
+model; every other chunk, and every text with two white-space characters in a row or with an
+added token's literal, goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Encodes texts to unsigned 32-bit ids, exactly as whole-text encoding does.
 
-    ``encode_special_tokens`` is on: the text of a special token is ordinary text. ``keep``
+    The literal of an added token is that token, as the library has it by default. ``keep``
     bounds the chunks remembered at once and ``step`` the characters handled at once; both
     alter speed, never results.
     """
@@ -114,7 +114,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._apart = Tokenizer.from_file(path)
         self._apart.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._apart.encode_special_tokens = True
@@ -215,7 +215,7 @@ class ChunkEncoder:
         for k, text in enumerate(texts):
             if not isinstance(text, str) or not text:
                 continue
-            if _RUN.search(text):
+            if _RUN.search(text) or any(x in text for x in self._added):
                 out[k] = self.one(text)
                 continue
             group.append(k)

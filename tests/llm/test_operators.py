@@ -54,6 +54,15 @@ def test_chunks_encode_as_whole_texts_do():
         assert ids.tolist() == e.one(x).tolist(), x
 
 
+def test_literals_of_added_tokens_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    texts = ["a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext| > b", "plain words", "é <|endoftext|><|endoftext|>"]
+    got = [x.tolist() for x in ChunkEncoder(BPE).encode(texts)]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts] and got[0] == [64, 275, 220, 50256, 269]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_id_file_round_trip(bits):
     rng = np.random.default_rng(1)
