@@ -8,6 +8,7 @@ lineage stays short and a lost executor costs one step.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
     table gives no rows.
     """
     spark = links.sparkSession
+    schema = links.select(F.col(a).alias("u"), F.col(b).alias("v")).schema
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter(F.col("u") != F.col("v"))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     last, at = None, None
@@ -42,7 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
         step = moved.unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         path = fresh_dir(spark, "stars")
         step.write.parquet(path)
-        edges = spark.read.schema("u long, v long").parquet(path)
+        edges = spark.read.schema(schema).parquet(path)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if at:
             remove_dir(spark, at)
@@ -54,3 +56,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, max_rounds: int
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merge the sets of nodes i and j, pair by pair, in ``label`` (each node's least fellow so far)."""
+    while True:
+        a, b = label[i], label[j]
+        live = a != b
+        if not live.any():
+            return
+        i, j, a, b = i[live], j[live], a[live], b[live]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
