@@ -2,8 +2,8 @@
 
 A byte-level BPE never merges across the boundaries of its pre-tokenizer, and a single space
 after a non-space character always begins a new pre-token. So a text splits at such spaces
-into chunks that can be encoded apart. Chunks are found and looked up by 64-bit hashes in
-numpy; only chunks not met before reach the library, together. A chunk of Latin letters, with
+into chunks that can be encoded apart. Chunks are found and looked up by hashes in numpy (64 bits
+find a chunk, 64 others must agree, else its text is encoded whole); only chunks not met before reach the library, together. A chunk of Latin letters, with
 or without a tail of ASCII signs, is one or two pre-tokens and goes straight to the library's
 model; every other chunk, and every text with two white-space characters in a row or with an
 added token's literal, goes through the library's whole pipeline.
@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-from quillstream.llm.common import chunk_sums, mix64
+from quillstream.llm.common import OTHER_CODE, chunk_sums, mix64
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -131,6 +131,7 @@ class ChunkEncoder:
     def _forget(self) -> None:
         self._table, self._held = _Table(), 0
         self._pool, self._start, self._count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self._check = np.zeros(1 << 14, np.uint64)
         self._used = 0
 
     def one(self, text: str) -> np.ndarray:
@@ -150,8 +151,8 @@ class ChunkEncoder:
         ends = np.searchsorted(np.cumsum(self._width[ids]), np.cumsum(size), side="left") + 1
         return ids, np.diff(ends, prepend=0)
 
-    def _learn(self, keys: np.ndarray, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """Add distinct chunks, byte ranges of ``raw``, under their keys."""
+    def _learn(self, keys: np.ndarray, check: np.ndarray, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Add distinct chunks, byte ranges of ``raw``, under their keys and other hashes."""
         if self._held + len(keys) > self.keep:
             self._forget()
         odd = _CLASS[raw] == 0
@@ -159,7 +160,7 @@ class ChunkEncoder:
         odd = np.append(0, np.cumsum(odd))
         odd = odd[begin + size] > odd[begin]
         order = np.argsort(odd, kind="stable")
-        keys, begin, size, n = keys[order], begin[order], size[order], len(odd) - int(odd.sum())
+        keys, check, begin, size, n = keys[order], check[order], begin[order], size[order], len(odd) - int(odd.sum())
         pools, counts = [], []
         for a in range(0, n, 50_000):
             b = min(n, a + 50_000)
@@ -175,10 +176,11 @@ class ChunkEncoder:
         while len(self._pool) < self._used:
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         while len(self._start) < self._held:
-            self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
+            self._start, self._count, self._check = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count, self._check))
         self._pool[base : self._used] = pool
         self._start[held : self._held] = base + np.cumsum(count) - count
         self._count[held : self._held] = count
+        self._check[held : self._held] = check
         self._table.add(keys, np.arange(held, self._held, dtype=np.int32))
 
     def _chunks(self, texts: list[str]) -> list[np.ndarray]:
@@ -192,6 +194,7 @@ class ChunkEncoder:
         begin = np.flatnonzero((raw == 32) | first)
         end = np.append(begin[1:], len(raw))
         keys = mix64(chunk_sums(raw, begin, end)) | np.uint64(1)
+        check = chunk_sums(raw, begin, end, OTHER_CODE)
         row = self._table.find(keys)
         new = np.flatnonzero(row < 0)
         if len(new):
@@ -200,12 +203,16 @@ class ChunkEncoder:
                 fresh, new = np.unique(keys, return_index=True)
             else:
                 new = new[at]
-            self._learn(fresh, raw, begin[new], end[new] - begin[new])
+            self._learn(fresh, check[new], raw, begin[new], end[new] - begin[new])
             row = self._table.find(keys)
         count = self._count[row]
         stop = np.cumsum(count)
         ids = self._pool[_spread(self._start[row], count)]
-        return np.split(ids, stop[np.searchsorted(begin, ends_of, side="left") - 1][:-1])
+        last = np.searchsorted(begin, ends_of, side="left")  # of each text, one after its last chunk
+        out = np.split(ids, stop[last - 1][:-1])
+        for k in np.unique(np.searchsorted(last, np.flatnonzero(self._check[row] != check), side="right")).tolist():
+            out[k] = self.one(texts[k])  # another chunk holds the same place
+        return out
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text; a null text counts as empty."""
