@@ -10,16 +10,21 @@ The background model counts all documents, the target model those marked as targ
 order, smoothing and vocabulary. A document's score is the mean over its tokens of
 loss_target - loss_background (nats): the lower, the more it is like the target.
 
-Counts are exact and cover every document. Each task counts its own documents and sends packed,
-sorted (n-gram, count) blocks to the ranges of n-grams; a range sums them and sends every task
-the totals of just the n-grams that it asked for. So no table of the whole model exists
-anywhere, an n-gram comes at most once a task however frequent it is, and what is moved grows
-with the corpus. Documents meet their totals in a cogroup by task, whose size the scan's splits
-bound.
+A document is scored by both models without its own counts (a target document's own are taken out
+of either, any other's out of the background), so being part of a model doesn't favour it; its
+copies, being other documents, stay.
+
+Counts are exact 64-bit sums and cover every document. Documents are counted in runs of about
+``run_tokens`` tokens, each within one task; a run's distinct n-grams leave it once, however
+frequent they are, are summed by n-gram in a window (which spills) and go back with the totals to
+the runs that asked. So no table of the whole model exists anywhere, no group grows with the corpus
+but that of an n-gram, which has one short row a run, and what is moved grows with the corpus.
+Documents meet their totals in a cogroup by run, whose size ``run_tokens`` bounds.
 
 Null and empty texts have no tokens: n_tokens 0, both losses and the score null. Documents with
 equal ids are separate; a document is target if its id is among the target ids (nulls aren't).
 Without target documents the target model is its smoothing alone. An empty table gives no rows.
+Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +32,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import shuffle_partitions, stored
+from quillstream.llm.common import stored
 from quillstream.llm.tokens import encoder
 
 BEGIN, CONTEXT, SINGLE = 0xFFFD, 0xFFFE, 0xFFFF  # high halves of keys that aren't ids
-_ROW = "kind int, pid int, rng int, doc_id long, n long, data binary"
+_ROW = "run long, doc_id long, target boolean, n long, data binary"
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Sorted keys (as differences) and counts of one length, compressed."""
+    """Sorted keys (as differences) and counts within one run of documents, compressed.
+
+    Keys are below 2^32, and so are a run's counts: it ends with the document that fills it.
+    """
     keys, *counts = arrays
+    if any(len(c) and c.max() >= 1 << 32 for c in counts):
+        raise OverflowError("a run's count needs more than 32 bits")
     raw = np.diff(keys.astype("<i8"), prepend=0).astype("<u4").tobytes() + b"".join(c.astype("<u4").tobytes() for c in counts)
     return zstandard.ZstdCompressor(level=1).compress(_planes(raw))
 
@@ -86,12 +95,8 @@ def with_lower(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(extra), np.concatenate(sums)
 
 
-def range_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
-
-
-def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, ranges: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind 0 (a document's tokens) and 1 (a task's counts of a range), stored.
+def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, run_tokens: int, id_col: str, text_col: str) -> DataFrame:
+    """Stored rows of documents (their tokens) and, with null ``n``, of runs (their counts).
 
     The target ids are joined by sorting at every size: they grow with the corpus, so a broadcast
     that a small table would allow says nothing of a large one.
@@ -102,10 +107,11 @@ def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, ranges: int,
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("rng", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-        pid, zip_ = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        schema = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("target", pa.bool_()), ("n", pa.int64()), ("data", pa.binary())])
+        at, zip_ = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         held: list[tuple[list, list]] = [([], []), ([], [])]  # all documents, target documents
         waiting: list[list] = [[], []]
+        tokens = 0
 
         def settle() -> None:
             for (ks, cs), new in zip(held, waiting):
@@ -114,101 +120,114 @@ def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, ranges: int,
                     k, c = add_counts([*ks, k], [*cs, c])
                     ks[:], cs[:], new[:] = [k], [c], []
 
+        def batch_of(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+
+        def counts_of_run():
+            settle()
+            keys, counts = with_lower(held[0][0][0], held[0][1][0])
+            order = np.argsort(keys)
+            keys, counts, own = keys[order], counts[order], np.zeros(len(keys), np.int64)
+            if held[1][0]:
+                k, c = with_lower(held[1][0][0], held[1][1][0])
+                own[np.searchsorted(keys, k)] = c
+            for ks, cs in held:
+                ks.clear()
+                cs.clear()
+            return batch_of([(at, None, None, None, pack([keys, counts, own]))])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
                 rows: list[tuple] = []
                 for doc_id, target, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encoder(tokenizer).encode(part.column(1).to_pylist())):
-                    rows.append((0, pid, None, doc_id, len(ids), zip_.compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())))
+                    if tokens >= run_tokens:  # the run is full
+                        if rows:
+                            yield batch_of(rows)
+                        yield counts_of_run()
+                        rows, tokens, at = [], 0, at + 1
+                    rows.append((at, doc_id, bool(target), len(ids), zip_.compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())))
+                    tokens += len(ids)
                     if len(ids):
                         waiting[0].append(keys_of(ids))
                         if target:
                             waiting[1].append(waiting[0][-1])
                 if sum(map(len, waiting[0])) > 1_500_000:
                     settle()
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
-        settle()
-        if held[0][0]:
-            keys, counts = with_lower(held[0][0][0], held[0][1][0])
-            order = np.argsort(keys)
-            keys, counts, own = keys[order], counts[order], np.zeros(len(keys), np.int64)
-            if held[1][0]:
-                k, c = with_lower(held[1][0][0], held[1][1][0])
-                own[np.searchsorted(keys, k)] = c
-            where = range_of(keys, ranges)
-            for r in range(ranges):
-                mine = where == r
-                if mine.any():
-                    blob = pack([keys[mine], counts[mine], own[mine]])
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((1, pid, r, None, int(mine.sum()), blob), schema)], schema=schema)
+                yield batch_of(rows)
+        if tokens:
+            yield counts_of_run()
 
     return stored(base.select("doc_id", "text", "target").mapInArrow(run, _ROW), "lm")
 
 
-def total_counts(blocks: DataFrame) -> DataFrame:
-    """(pid, data): for each task's block, the totals of its keys in both models."""
+def exploded(blocks: DataFrame) -> DataFrame:
+    """run, key, c, t: a row for each distinct n-gram of a run, from its packed counts."""
+
+    def flat(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for run, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, every, target = unpack(data, 3)
+                for a in range(0, len(keys), 100_000):
+                    part = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), run)), pa.array(keys[part]), pa.array(every[part]), pa.array(target[part])], names=["run", "key", "c", "t"])
+
+    return blocks.mapInArrow(flat, "run long, key long, c long, t long")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(x, 3) for x in pdf["data"]]
-        keys = np.concatenate([p[0] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        edge = np.flatnonzero(np.diff(keys[order], prepend=-1))
-        every = keys[order][edge]
-        sums = [np.add.reduceat(np.concatenate([p[j] for p in parts])[order], edge) for j in (1, 2)]
-        out = []
-        for p in parts:
-            at = np.searchsorted(every, p[0])
-            out.append(pack([p[0], np.minimum(sums[0][at], 2**32 - 1), np.minimum(sums[1][at], 2**32 - 1)]))
-        return pd.DataFrame({"pid": pdf.pid, "data": out})
 
-    return blocks.groupBy("rng").applyInPandas(merge, "pid int, data binary")
+def total_counts(counts: DataFrame) -> DataFrame:
+    """run, key and the key's totals in both models, for rows of :func:`exploded`."""
+    by = Window.partitionBy("key")
+    return counts.select("run", "key", F.sum("c").over(by).alias("c"), F.sum("t").over(by).alias("t"))
 
 
-def losses(keys: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray], n: list[float], vocab: int, delta: float, mu: float) -> list[np.ndarray]:
-    """-log P of each bigram in the background and in the target model."""
+def losses(ids: np.ndarray, target: bool, model: tuple[np.ndarray, np.ndarray, np.ndarray], n: tuple[int, int], vocab: int, delta: float, mu: float) -> list[np.ndarray]:
+    """-log P of each bigram of a document in the background and in the target model, both without it."""
     known, *counts = model
+    keys = keys_of(ids).astype(np.int64)
     high, low = keys >> 16, keys & 0xFFFF
-    at = [np.searchsorted(known, k) for k in (keys, high | CONTEXT << 16, low | SINGLE << 16)]
+    which = (keys, high | CONTEXT << 16, low | SINGLE << 16)
+    at = [np.searchsorted(known, k) for k in which]
+    own = []
+    for k in which:
+        _, back, times = np.unique(k, return_inverse=True, return_counts=True)
+        own.append(times[back])
     out = []
-    for c, total in zip(counts, n):
-        pair, context, single = (c[a].astype(float) for a in at)
-        uni = (single + delta) / (total + delta * vocab)
+    for c, total, mine in zip(counts, n, (True, target)):
+        pair, context, single = ((c[a] - o if mine else c[a]).astype(float) for a, o in zip(at, own))
+        uni = (single + delta) / (total - len(ids) * mine + delta * vocab)
         out.append(-np.log((pair + mu * uni) / (context + mu)))
     return out
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer: str, *, vocab: int = 50257, delta: float = 0.5, mu: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, tokenizer: str, *, vocab: int = 50257, delta: float = 0.5, mu: float = 100.0, run_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_tokens, loss_target, loss_background (means), score."""
     if vocab > BEGIN:
         raise ValueError("ids must fit 16 bits beside three marks")
-    rows = gather(docs, target_ids, tokenizer, min(4096, shuffle_partitions(docs.sparkSession)), id_col, text_col)
-    totals = stored(total_counts(rows.filter("kind = 1").select("rng", "pid", "data")), "totals")
-    tokens = rows.filter("kind = 0").select("pid", "doc_id", "n", "data")
-    n_all = rows.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    n_target = rows.filter("kind = 0").select("doc_id", "n").join(marked, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_tokens", "loss_target", "loss_background"]
-        if not len(left):
-            return pd.DataFrame({c: [] for c in names})
-        model: tuple = (np.zeros(0, np.int64),) * 3
-        if len(right):
-            parts = [unpack(x, 3) for x in right["data"]]
-            keys = np.concatenate([p[0] for p in parts])
-            order = np.argsort(keys)
-            model = (keys[order], *(np.concatenate([p[j] for p in parts])[order] for j in (1, 2)))
+    rows = gather(docs, target_ids, tokenizer, run_tokens, id_col, text_col)
+    tokens = rows.filter("n is not null")
+    sums = tokens.agg(F.sum("n"), F.sum(F.when(F.col("target"), F.col("n")))).first()
+    n = (sums[0] or 0, sums[1] or 0)
+    totals = total_counts(exploded(rows.filter("n is null").select("run", "data")))
+
+    def score(left, right):
+        import pyarrow as pa
+
+        order = np.argsort(right.column("key").to_numpy()) if right.num_rows else np.zeros(0, np.int64)
+        model = tuple(right.column(c).to_numpy()[order] if len(order) else order for c in ("key", "c", "t"))
         unzip = zstandard.ZstdDecompressor()
-        out = []
-        for x, n in zip(left["data"], left["n"]):
-            if not n:
-                out.append((None, None))
-                continue
-            ids = np.frombuffer(unzip.decompress(x), dtype=np.uint8).reshape(2, -1).T.tobytes()
-            b, t = losses(keys_of(np.frombuffer(ids, dtype="<u2")).astype(np.int64), model, [n_all, n_target], vocab + 1, delta, mu)
-            out.append((float(t.mean()), float(b.mean())))
-        t, b = zip(*out)
-        return pd.DataFrame({"doc_id": left.doc_id.astype("Int64"), "n_tokens": left.n, "loss_target": pd.array(t, dtype="Float64"), "loss_background": pd.array(b, dtype="Float64")})
-
-    got = tokens.groupBy("pid").cogroup(totals.groupBy("pid")).applyInPandas(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
+        means: list[list] = [[], []]
+        for data, size, target in zip(left.column("data").to_pylist(), left.column("n").to_pylist(), left.column("target").to_pylist()):
+            if not size:
+                got = (None, None)
+            else:
+                ids = np.frombuffer(np.frombuffer(unzip.decompress(data), dtype=np.uint8).reshape(2, -1).T.tobytes(), dtype="<u2")
+                got = [float(x.mean()) for x in losses(ids, target, model, n, vocab + 1, delta, mu)]
+            for values, x in zip(means, got):
+                values.append(x)
+        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": left.column("n"), "loss_target": pa.array(means[1], pa.float64()), "loss_background": pa.array(means[0], pa.float64())})
+
+    got = tokens.select("run", "doc_id", "target", "n", "data").groupBy("run").cogroup(totals.groupBy("run")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double")
     return got.withColumn("score", F.col("loss_target") - F.col("loss_background"))
