@@ -21,7 +21,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -115,8 +114,11 @@ def enumerate_patterns(lengths: list[int], counts: dict[int, int], size: int, mo
     return sorted(p for p in found if sum(p) >= 0.97 * size or len(p) == 1)
 
 
-def pack_histogram(histogram: dict[int, int], size: int, *, most: int = 4, max_patterns: int = 6000) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up the histogram exactly; sums of patterns are <= size."""
+def pack_histogram(histogram: dict[int, int], size: int, *, most: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that use up the histogram exactly; sums of patterns are <= size.
+
+    The number of patterns is bounded by ``size`` and ``most`` alone, so all of them are fitted.
+    """
     left = {int(x): int(n) for x, n in histogram.items() if n > 0}
     plan: list[tuple[tuple[int, ...], int]] = []
     if size in left:
@@ -124,7 +126,6 @@ def pack_histogram(histogram: dict[int, int], size: int, *, most: int = 4, max_p
     if left:
         patterns = [p for p in enumerate_patterns(list(left), left, size, most) if sum(p) >= 0.97 * size]
         patterns.sort(key=lambda p: (size - sum(p), len(p), p))
-        patterns = patterns[:max_patterns]
         if patterns:
             bins = sorted(left)
             row = {x: k for k, x in enumerate(bins)}
@@ -211,7 +212,7 @@ def pack_pieces(pieces: DataFrame, size: int, *, most: int = 4, group: int = 200
     salts = max(1, -(-max(histogram.values(), default=1) // group))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     by = ["length", "_salt"]
-    ranked = salted.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     if salts > 1:
         before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
         counts = salted.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(before, F.lit(0)).alias("_before"))
@@ -221,22 +222,24 @@ def pack_pieces(pieces: DataFrame, size: int, *, most: int = 4, group: int = 200
         for col, v in zip(per.setdefault(x, ([], [], [], [])), (a, b, sequence, at)):
             col.append(v)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = pieces.columns
+
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         arrays = {x: tuple(map(np.array, cols)) for x, cols in per.items()}
-        for pdf in batches:
-            out = pdf.drop(columns=["_k", "_salt"])
-            sequence, at = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            lengths, ranks = pdf["length"].to_numpy(), pdf["_k"].to_numpy()
+        for batch in batches:
+            lengths, ranks = batch.column(columns.index("length")).to_numpy(), batch.column(len(columns)).to_numpy()
+            sequence, at = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for x in np.unique(lengths):
                 mine = lengths == x
                 begin, _, first, offset = arrays[int(x)]
                 k = np.searchsorted(begin, ranks[mine], side="right") - 1
                 sequence[mine], at[mine] = first[k] + ranks[mine] - begin[k], offset[k]
-            yield out.assign(sequence_id=sequence, offset=at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(at)], names=[*columns, "sequence_id", "offset"])
 
-    columns = [c for c in ranked.columns if c not in ("_k", "_salt")]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*columns, "_k", "_salt").mapInPandas(place, kinds + ", sequence_id long, offset long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return ranked.select(*columns, F.col("_k").cast("long")).mapInArrow(place, kinds + ", sequence_id long, offset long")
 
 
 def pattern_packing(docs: DataFrame, tokenizer: str, end_id: int, size: int, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
