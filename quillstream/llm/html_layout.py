@@ -14,7 +14,8 @@ renders them, without recursion, so depth and length are bounded by memory alone
   quotes and ``pre`` stand between blank lines; other blocks begin a line; ``br`` ends one.
 * List items have ``-`` or their number, nested lists and quotes are indented.
 * Cells of a table's column are aligned; a cell wider than ``pad`` characters keeps its text but
-  isn't padded to. colspan and rowspan are followed; a table in a cell is laid out inside it.
+  isn't padded to. colspan and rowspan are followed, columns without a cell's begin or end between
+  them being one; a table in a cell is laid out inside it.
 
 Null and empty pages give an empty text. Malformed markup gives whatever text it holds; a lone
 ``<`` is text. Character references are decoded; no-break spaces become spaces at the end.
@@ -26,7 +27,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import merge
 from html import unescape
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -245,41 +248,80 @@ def integer(text: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
+class _Taken:
+    """The columns that cells of earlier rows reach into, as runs; what lasts to the end is merged."""
+
+    def __init__(self, rows: int):
+        self.rows = rows
+        self.lasting: list[list[int]] = []  # disjoint [begin, end), sorted
+        self.passing: list[tuple[int, int, int]] = []  # (begin, end, first row without it), sorted
+
+    def at(self, row: int) -> list[tuple[int, int]]:
+        """Sorted runs that are taken in a row; they may touch or overlap."""
+        self.passing = [x for x in self.passing if x[2] > row]
+        return list(merge(((a, b) for a, b in self.lasting), ((a, b) for a, b, _ in self.passing)))
+
+    def add(self, cells: list[tuple[int, int, int]]) -> None:
+        """Cells (begin, end, first row without it) of one row, sorted."""
+        self.passing = list(merge(self.passing, (x for x in cells if x[2] < self.rows)))
+        joined: list[list[int]] = []
+        for a, b in merge((tuple(x) for x in self.lasting), ((a, b) for a, b, stop in cells if stop >= self.rows)):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        self.lasting = joined
+
+
 def lay_out(rows: list[list[tuple[list[str], int, int]]], pad: int) -> list[str]:
-    """Lines of a table; a cell is (lines, colspan, rowspan)."""
-    grid: list[dict[int, tuple[list[str], int]]] = [{} for _ in rows]
-    taken: list[set[int]] = [set() for _ in rows]
+    """Lines of a table; a cell is (lines, colspan, rowspan).
+
+    Columns that no cell begins or ends between are one, so the work follows the number of cells,
+    whatever their spans say.
+    """
+    taken = _Taken(len(rows))
+    placed: list[list[tuple[int, int, list[str]]]] = []  # of each row: begin, end, lines
+    edges: set[int] = set()
     for r, row in enumerate(rows):
-        c = 0
+        busy, k, c = taken.at(r), 0, 0
+        cells, here = [], []
         for lines, across, down in row:
-            while c in taken[r]:
-                c += 1
-            grid[r][c] = (lines, across)
-            for k in range(r, min(len(rows), r + max(1, down))):
-                taken[k].update(range(c, c + across))
+            while k < len(busy) and busy[k][0] <= c:
+                c = max(c, busy[k][1])
+                k += 1
+            here.append((c, c + across, lines))
+            cells.append((c, c + across, r + max(1, down)))
+            edges.update((c, c + across))
             c += across
-    n = max((max(t) + 1 for t in taken if t), default=0)
-    width = [0] * n
+        taken.add([x for x in cells if x[2] > r + 1])
+        placed.append(here)
+    order = {c: k for k, c in enumerate(sorted(edges))}
+    width = [0] * len(order)
+    grid = [[(order[a], order[b], lines) for a, b, lines in row] for row in placed]
     for row in grid:
-        for c, (lines, across) in row.items():
-            if across == 1:
-                width[c] = max(width[c], *(len(x) for x in lines if len(x) <= pad), 0, 0)
+        for a, b, lines in row:
+            if b == a + 1:
+                width[a] = max(width[a], max((len(x) for x in lines if len(x) <= pad), default=0))
+    start = list(accumulate((w + 2 for w in width), initial=0))
     for row in grid:
-        for c, (lines, across) in row.items():
-            if across > 1:
-                need = max((len(x) for x in lines if len(x) <= pad), default=0) - sum(width[c : c + across]) - 2 * (across - 1)
+        for a, b, lines in row:
+            if b > a + 1:
+                need = max((len(x) for x in lines if len(x) <= pad), default=0) - (start[b] - start[a] - 2)
                 if need > 0:
-                    width[min(c + across, n) - 1] += need
+                    width[b - 1] += need
+                    for k in range(b, len(start)):
+                        start[k] += need
     out: list[str] = []
     for row in grid:
-        for k in range(max((len(lines) for lines, _ in row.values()), default=0)):
-            parts, c = [], 0
-            while c < n:
-                lines, across = row.get(c, ([], 1))
-                room = sum(width[c : c + across]) + 2 * (across - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                c += across
-            out.append("  ".join(parts).rstrip(" "))
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, size = [], 0
+            for a, _, lines in row:
+                text = lines[k] if k < len(lines) else ""
+                if text:
+                    gap = max(start[a] - size, 2 if size else 0)
+                    parts += [" " * gap, text]
+                    size += gap + len(text)
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
