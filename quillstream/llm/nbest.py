@@ -23,10 +23,8 @@ fewer than N segmentations give as many as they have. Repeated rows are repeated
 from __future__ import annotations
 
 import re
-from bisect import insort
 from collections.abc import Iterator
-from itertools import combinations
-from operator import itemgetter
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +36,6 @@ from quillstream.llm.tokens import _spread, _Table
 SPACE = "▁"
 _WORDS = re.compile(r"(?<=[^ ])(?= )")
 _OPEN: dict[tuple[str, int], "Segmenter"] = {}
-_total = itemgetter(0)
 
 
 def segmenter(path: str, n: int) -> "Segmenter":
@@ -101,8 +98,8 @@ class Segmenter:
             out += (got[0],) if got else self._unknown_ids(part[a:b])
         return out
 
-    def search(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best (score, ids) of a part, best first."""
+    def _lattice(self, part: str) -> tuple[list[float], list[list]]:
+        """Best score of every prefix, and for every place its edges in, (score through, begin, score)."""
         size, get, longest = len(part), self.pieces.get, self.longest
         best: list[float] = [0.0] * (size + 1)
         into: list[list] = [[]]
@@ -114,28 +111,54 @@ class Segmenter:
                     edges.append((best[j] + got[1], j, got[1]))
             if not edges or edges[-1][1] != i - 1:
                 edges.append((best[i - 1] + self.unknown, i - 1, self.unknown))
-            edges.sort(key=_total, reverse=True)
-            best[i] = edges[0][0]
+            best[i] = max(edges)[0]
             into.append(edges)
-        # an entry: (-(score of its best completion), cuts so far as bits, node, suffix score)
-        open_: list[tuple] = [(-best[size], 0, size, 0.0)]
+        return best, into
+
+    def search(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best (score, ids) of a part, best first.
+
+        Open hypotheses are leaves of the search tree, kept in the order of its branches (the lower
+        cut first), which is the order of equal scores; cuts are linked, so a step costs the same
+        however long the part is.
+        """
+        best, into = self._lattice(part)
+        # an entry: -(score of its best completion), node, suffix score, (cut, cuts after it)
+        open_: list[tuple] = [(-best[-1], len(part), 0.0, None)]
         done: list[tuple[float, tuple[int, ...]]] = []
         while open_:
-            _, mask, node, suffix = open_.pop(0)
+            at = min(range(len(open_)), key=lambda k: open_[k][0])
+            _, node, suffix, link = open_[at]
             if node == 0:
-                done.append((suffix, self._ids_of(part, [j for j in range(1, size) if mask >> j & 1])))
+                cuts = []
+                while link:
+                    cuts.append(link[0])
+                    link = link[1]
+                done.append((suffix, self._ids_of(part, [j for j in cuts if j])))
+                del open_[at]
+                if len(done) == self.n:
+                    break
                 continue
+            open_[at : at + 1] = [(-(total + suffix), j, suffix + score, (j, link)) for total, j, score in into[node]]
             room = self.n - len(done)
-            for total, j, score in into[node]:
-                cost = -(total + suffix)
-                full = len(open_) >= room
-                if full and cost > open_[-1][0]:
-                    break  # the edges that follow are no better
-                insort(open_, (cost, mask | 1 << j if j else mask, j, suffix + score))
-                if full:
-                    open_.pop()
+            if len(open_) > room:
+                keep = sorted(range(len(open_)), key=lambda k: open_[k][0])[:room]  # stable: ties by branch
+                open_ = [open_[k] for k in sorted(keep)]
         return done
 
+    def _loose(self, part: str) -> list[int]:
+        """Places of a part that no piece of its lattice crosses."""
+        size, get, longest = len(part), self.pieces.get, self.longest
+        out, reach = [], 0
+        for j in range(size):
+            if j and reach <= j:
+                out.append(j)
+            for i in range(min(size, j + longest), max(reach, j + 1), -1):
+                if get(part[j:i]):
+                    reach = i
+                    break
+        return out
+
     def search_all(self, parts: list[str]) -> list[list[tuple[float, tuple[int, ...]]]]:
         """:meth:`search` of many parts; those of equal length, up to 48, go side by side."""
         out: list = [None] * len(parts)
@@ -271,7 +294,7 @@ class Segmenter:
             self._parts.clear()
         pairs, held, split = self.pairs, self._parts, []
         for chunk in chunks:
-            cut = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in pairs]
+            cut = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in pairs] if len(chunk) <= 48 else self._loose(chunk)
             split.append([chunk[a:b] for a, b in zip([0, *cut], [*cut, len(chunk)])] if cut else [chunk])
         new = list({x for parts in split for x in parts if x not in held})
         held.update(zip(new, self.search_all(new)))
@@ -296,7 +319,7 @@ class Segmenter:
             groups.setdefault(len(word) if len(word) <= 48 else 0, []).append(k)
         made: list = [None] * len(words)
         for k in groups.pop(0, ()):
-            got = self.search(words[k])
+            got = self.words([words[k]])[0]
             loss = got[0][0] - got[1][0] if len(got) > 1 else np.inf
             self._best[self._held + k], self._loss[self._held + k], made[k] = got[0][0], loss, np.array(got[0][1], dtype=np.uint32)
         for size, members in groups.items():
@@ -393,14 +416,29 @@ def changes(items: list[tuple[float, int, int]], n: int) -> list[tuple]:
     """The n least sets of changes, at most one at a place; items are (loss, place, which), sorted.
 
     Only the first n - 1 items can matter: each of them alone is a better set than any with a
-    later item.
+    later item. Sets are met best first: of a set (its items' numbers, ascending) come the one with
+    the next item more and the one with its last item exchanged for the next.
     """
     items = items[: n - 1]
     if len(items) == n - 1 and (n <= 3 or items[0][0] + items[1][0] >= items[-1][0]):
         return [(), *[(x,) for x in items]]  # no two changes are better than the last alone
-    sets = [c for k in range(len(items) + 1) for c in combinations(items, k) if len({i for _, i, _ in c}) == k]
-    sets.sort(key=lambda c: (sum(d for d, _, _ in c), len(c), [items.index(x) for x in c]))
-    return sets[:n]
+    loss = [d for d, _, _ in items]
+    out: list[tuple] = []
+    open_: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
+    while open_ and len(out) < n:
+        _, size, mine = heappop(open_)
+        apart = len({items[k][1] for k in mine}) == size
+        if apart:
+            out.append(tuple(items[k] for k in mine))
+        after = mine[-1] + 1 if mine else 0
+        if after < len(items):
+            if mine:
+                other = (*mine[:-1], after)
+                heappush(open_, (sum(loss[k] for k in other), size, other))
+            if apart:
+                more = (*mine, after)
+                heappush(open_, (sum(loss[k] for k in more), size + 1, more))
+    return out
 
 
 def segment(docs: DataFrame, model: str, n: int = 3, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips and held-out accuracy, and edge cases."""
 
+import functools
 import io
 import math
 import random
@@ -38,9 +39,15 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, length string")
 
 
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BPE)
+
+
 def whole(text):
-    e = ChunkEncoder(BPE)
-    return e.one(text or "").tolist()
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 # --- tokens, 1 and 7 ----------------------------------------------------------------------------
@@ -51,16 +58,23 @@ def test_chunks_encode_as_whole_texts_do():
     texts = [x for x in ODD if x] + [prose(50) for _ in range(20)] + ["".join(rng.choice("ab' .\n\t é1<|×") for _ in range(14)) for _ in range(3000)]
     e = ChunkEncoder(BPE, keep=200, step=300)
     for x, ids in zip(texts, e.encode(texts)):
-        assert ids.tolist() == e.one(x).tolist(), x
+        assert ids.tolist() == whole(x), x
 
 
-def test_literals_of_added_tokens_encode_as_the_library_does():
-    from tokenizers import Tokenizer
+def test_chunks_whose_hashes_meet_are_encoded_apart(monkeypatch):
+    from quillstream.llm import tokens
+
+    real = tokens.chunk_sums
+    monkeypatch.setattr(tokens, "chunk_sums", lambda raw, b, e, *code: real(raw, b, e, *code) if code else (e - b).astype(np.uint64))
+    e = ChunkEncoder(BPE)
+    for texts in (["the cat sat", "one two six red", ""], ["dog the cow", "ink"]):
+        assert [x.tolist() for x in e.encode(texts)] == [whole(x) for x in texts]
 
-    library = Tokenizer.from_file(BPE)
+
+def test_literals_of_added_tokens_encode_as_the_library_does():
     texts = ["a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext| > b", "plain words", "é <|endoftext|><|endoftext|>"]
     got = [x.tolist() for x in ChunkEncoder(BPE).encode(texts)]
-    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts] and got[0] == [64, 275, 220, 50256, 269]
+    assert got == [whole(x) for x in texts] and got[0] == [64, 275, 220, 50256, 269]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -129,6 +143,8 @@ def test_op7_packs_every_piece_without_gaps(spark, docs):
     long = sorted((r for r in got if r["doc_id"] == 60 + len(ODD)), key=lambda r: r["piece"])
     assert all(r["length"] == 256 for r in long[1:]) and [r["piece"] for r in long] == list(range(len(long)))
     assert packing.pattern_packing(docs.limit(0), BPE, 0, 256).count() == 0
+    big = [2**53 + 1, 2**53 + 3, None, 2**62 + 1]
+    assert Counter(r["doc_id"] for r in packing.pattern_packing(table(spark, [(d, "a b") for d in big]), BPE, 0, 256).collect()) == Counter(big)
     one_length = packing.pack_pieces(packing.stored(spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "100L as length", "id as ids_crc32"), "t"), 256, group=50)
     assert one_length.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 256").count() == 0 and one_length.select("sequence_id", "offset").distinct().count() == 500
 
@@ -165,6 +181,31 @@ def test_op2_against_all_segmentations(n):
             assert score[tuple(ids.tolist())] == v and s.decode(ids).decode() == text
 
 
+def test_op2_long_parts_agree_with_short_ones():
+    s = nbest.Segmenter.from_model(PIECES, 4)
+    rng = random.Random(4)
+    for text in ["thecat" * 9, "a" * 50, "zq" * 25, "".join(rng.choice("theanr") for _ in range(60))]:
+        part = nbest.SPACE + text
+        whole_part, cut = s.search(part), s.words([part])[0]
+        assert [round(v, 6) for v, _ in whole_part] == [round(v, 6) for v, _ in cut]
+        assert all(s.decode(np.array(ids)).decode() == text for _, ids in whole_part)
+    text = "international" * 8000
+    assert s.decode(s.segment([text])[0][0][1]).decode() == text
+
+
+def test_op2_changes_are_the_least_sets():
+    from itertools import combinations
+
+    rng = random.Random(12)
+    for n in range(1, 9):
+        for _ in range(60):
+            items = sorted({(rng.choice([0.0, 0.5, 1.0, rng.random()]), rng.randint(0, 4), rng.randint(1, 3)) for _ in range(rng.randint(0, 8))})[: n - 1]
+            sets = [c for k in range(len(items) + 1) for c in combinations(items, k) if len({i for _, i, _ in c}) == k]
+            sets.sort(key=lambda c: (sum(d for d, _, _ in c), len(c), [items.index(x) for x in c]))
+            assert nbest.changes(items, n) == sets[:n]
+    assert len(nbest.changes([(1.0 + k / 1000, k, 1) for k in range(63)], 64)) == 64
+
+
 def test_op2_on_a_table(spark, docs):
     rows = nbest.decode(nbest.segment(docs, PIECES, 3), PIECES).collect()
     assert all(r["score"] <= 0 for r in rows)
@@ -266,7 +307,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_op5_against_counters(spark):
     rng = random.Random(6)
-    rows = [(k, prose(rng.randint(1, 60), rng)) for k in range(40)] + [(50, None), (51, ""), (3, prose(9, rng)), (None, prose(5, rng))]
+    rows = [(k, prose(rng.randint(1, 60), rng)) for k in range(40)] + [(50, None), (51, ""), (3, prose(9, rng)), (None, prose(5, rng)), (2**53 + 1, prose(7, rng)), (2**53 + 3, None)]
     target = spark.createDataFrame([(k,) for k in (1, 3, 5, 7, 7, 99)] + [(None,)], "doc_id long")
     got = lm_difference.cross_entropy_difference(table(spark, rows), target, BPE).collect()
     assert len(got) == len(rows)
@@ -282,15 +323,31 @@ def test_op5_against_counters(spark):
                 one.update(x)
         models.append((pair, ctx, one, sum(one.values())))
 
-    def loss(x, m):
+    def loss(x, m, own):
+        """The model's loss on a document that is left out of it."""
         pair, ctx, one, n = m
-        return np.mean([-math.log((pair[h, w] + 100 * (one[w] + 0.5) / (n + 0.5 * 50258)) / (ctx[h] + 100)) for h, w in zip([-1, *x[:-1]], x)])
-
-    want = Counter((d, round(loss(x, models[0]) - loss(x, models[1]), 9) if x else None) for d, x in ids)
-    assert Counter((r["doc_id"], None if r["score"] is None else round(r["score"], 9)) for r in got) == want
+        h = [-1, *x[:-1]]
+        p, c, o = (Counter(zip(h, x)), Counter(h), Counter(x)) if own else (Counter(),) * 3
+        n -= len(x) * own
+        return np.mean([-math.log((pair[a, w] - p[a, w] + 100 * (one[w] - o[w] + 0.5) / (n + 0.5 * 50258)) / (ctx[a] - c[a] + 100)) for a, w in zip(h, x)])
+
+    want = Counter((d, round(loss(x, models[0], d in (1, 3, 5, 7)) - loss(x, models[1], True), 9) if x else None) for d, x in ids)
+    for run_tokens in (4_000_000, 60):
+        got = lm_difference.cross_entropy_difference(table(spark, rows), target, BPE, run_tokens=run_tokens).collect()
+        assert Counter((r["doc_id"], None if r["score"] is None else round(r["score"], 9)) for r in got) == want
     assert lm_difference.cross_entropy_difference(table(spark, []), target, BPE).count() == 0
 
 
+def test_op5_totals_are_64_bit(spark):
+    rows = [(r, key, 3_000_000_000 + r, 2**31) for r in range(4) for key in (5, 7)] + [(9, 8, 1, 0)]
+    got = lm_difference.total_counts(spark.createDataFrame(rows, "run long, key long, c long, t long")).collect()
+    assert {(r["run"], r["key"]): (r["c"], r["t"]) for r in got} == {(r, k): (12_000_000_006, 2**33) if k < 8 else (1, 0) for r, k, _, _ in rows}
+    keys, c = np.array([3, 2**32 - 1]), np.array([1, 2**32 - 1])
+    assert [x.tolist() for x in lm_difference.unpack(lm_difference.pack([keys, c, c]), 3)] == [keys.tolist(), c.tolist(), c.tolist()]
+    with pytest.raises(OverflowError):
+        lm_difference.pack([keys, c + 1, c])
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 
 
@@ -326,6 +383,12 @@ def test_op6_deep_and_broken_markup_is_linear(spark):
     assert [(r["page_id"], r["text"]) for r in got] == [(1, "a"), (2, "")]
 
 
+@pytest.mark.parametrize("rows,down", [(2000, 65534), (2000, 1000), (50, 3)])
+def test_op6_wide_spans_cost_no_more_than_their_cells(rows, down):
+    text = html_layout.render("<table>" + f"<tr><td colspan=1000 rowspan={down}>a" * rows + "</table>")
+    assert len(text) < 8_000_000 and [x.strip() for x in text.split("\n")] == ["a"] * rows
+
+
 def test_op6_keeps_all_visible_words(spark):
     from html.parser import HTMLParser
 
