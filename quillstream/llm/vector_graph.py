@@ -2,7 +2,9 @@
 
 1. Equal vectors of one label are one class; one representative goes on.
 2. Centroids are fitted on a bounded sample of representatives (``fit_rows``); every
-   representative joins the shards of its ``overlap`` nearest centroids, within its label.
+   representative joins the shards of its ``overlap`` nearest centroids, within its label. Shards
+   that are still large get centroids of their own, fitted on a sample of them of the same bound,
+   so the number of shards grows with the vectors.
 3. In each shard, nearest-neighbour candidates are thinned by robust pruning (alpha) to at most
    ``degree`` edges; the adjacency lists that a vector got in its shards are united.
 4. In each shard every member is a query: greedy beam search from the medoid, the query's own
@@ -10,12 +12,15 @@
    then the range is expanded through every node near enough until nothing new comes. A vector
    whose candidates all lie in the range may have more neighbours than candidates, and the graph
    may fall apart there: such tight vectors are compared with whole blocks exactly.
-5. Found pairs are verified by cosine in double precision.
-6. A sample of vectors is compared with all others exactly; it grows until enough of its vectors
-   have links, or it holds all vectors, and then the exact links are the result. While the audited
-   recall (of links and, on average, of a vector's links) is under the target, shards overlap more,
-   beams, candidates and degrees grow and found links are united. If that doesn't reach the target
-   either, all vectors are compared exactly, in blocks, and a warning is logged.
+5. Found pairs are verified by cosine in double precision and marked in a bit table of the block.
+   They are never listed: a block gives every member its number of links and one fellow of its
+   connected part. A pair counts in the first shard that both its vectors are in.
+6. The links of a sample of vectors are counted exactly; the sample grows until enough of its
+   vectors have links, or it holds all vectors, and then the exact links are the result. While the
+   audited recall (of links and, on average, of a vector's links) is under the target, all is done
+   again with shards that overlap more and longer beams, candidate lists and edge lists. If that
+   doesn't reach the target either, all vectors are compared exactly, in blocks, and a warning is
+   logged.
 7. Connected components of the links give the groups.
 
 Shards of more than ``block`` vectors are split by hash into blocks with a graph each, and every
@@ -23,7 +28,8 @@ block's members are searched in all blocks of the shard, so nothing is capped or
 
 Vectors link only when labels are equal and not null and lengths are equal. Vectors that are
 null, empty, zero, or hold null or non-finite components link with nothing: they have n_links 0
-and their own id as component. Repeated rows and equal ids count as rows of their own. An empty
+and their own id as component. Components of any finite size are fine: vectors are scaled by their
+largest component first. Repeated rows and equal ids count as rows of their own. An empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -37,14 +43,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import stored
-from quillstream.llm.components import components
+from quillstream.llm.common import release, stored, told_apart
+from quillstream.llm.components import components, unite
 
 _LOG = logging.getLogger(__name__)
+_LINKS = "cls long, links long, near long, root long"  # near: links weighted with class sizes
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, dtype=np.float64)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 5e-324)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -136,18 +144,11 @@ def entries(x: np.ndarray, adjacency: list[np.ndarray]) -> np.ndarray:
     return order[np.searchsorted(label[order], np.arange(len(mean)))]
 
 
-def exact_pairs(q: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (row of q, row of x) of cosine >= radius, for unit vectors."""
-    got = [np.nonzero(q[a : a + 1024] @ x.T >= radius) for a in range(0, len(q), 1024)]
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([i + 1024 * k for k, (i, _) in enumerate(got)]), np.concatenate([j for _, j in got])
+def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], known: np.ndarray, radius: float, beam: int, slack: float = 0.04) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of cosine >= radius - slack that greedy search and range expansion reach.
 
-
-def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], known: np.ndarray, radius: float, beam: int, slack: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of cosine >= radius that greedy search and range expansion reach.
-
-    ``known`` has nodes of this graph where a query's search begins besides, -1 for none.
+    They come in portions, as memory for the steps of a few queries is held at a time. ``known``
+    has nodes of this graph where a query's search begins besides, -1 for none.
     """
     n = len(x)
     width = max(1, max(len(v) for v in adjacency))
@@ -157,13 +158,14 @@ def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], know
     far = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
     medoid = int((x @ x.mean(axis=0)).argmax())
     doors = entries(x, adjacency)
-    got_q, got_n = [], []
+    few = max(1000, 4_000_000 // width)  # nodes whose neighbours are looked at together
     for a in range(0, len(q), 256):
         part = q[a : a + 256]
         m = len(part)
         rows = np.arange(m)[:, None]
         seen = np.zeros((m, n + 1), bool)
         seen[:, n] = True
+        inside = np.zeros((m, n + 1), bool)
         mine = known[a : a + m]
         k = min(beam, len(doors))
         open_ = doors[np.argpartition(-(part @ x[doors].T), k - 1, axis=1)[:, :k]]
@@ -183,81 +185,150 @@ def range_search(q: np.ndarray, x: np.ndarray, adjacency: list[np.ndarray], know
             value = np.where(step < n, np.einsum("md,mbd->mb", part, far[step]), -3.0)
             pool, score = np.concatenate([pool, step], 1), np.concatenate([score, value], 1)
             done = np.concatenate([done, step == n], 1)
+            i, j = np.nonzero(score >= radius - slack)  # what leaves the beam is kept for the expansion
+            inside[i, pool[i, j]] = True
             top = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
-            # what leaves the beam but lies in the range is kept for the expansion
-            pool_all, score_all = pool, score
             pool, score, done = (np.take_along_axis(v, top, 1) for v in (pool, score, done))
-            near = score_all >= radius - slack
-            if near.any():
-                i, j = np.nonzero(near)
-                got_q.append(i + a)
-                got_n.append(pool_all[i, j])
-        if not got_q:
-            continue
-    found = np.unique(np.concatenate(got_q) * (n + 1) + np.concatenate(got_n)) if got_q else np.zeros(0, np.int64)
-    every, fresh = found, found
-    while len(fresh):
-        source, step = fresh // (n + 1), nbrs[fresh % (n + 1)]
-        new = np.unique((source[:, None] * (n + 1) + step)[step < n])
-        new = np.setdiff1d(new, every, assume_unique=True)
-        if len(new):
-            keep = [np.einsum("ij,ij->i", q[new[b : b + 100_000] // (n + 1)], far[new[b : b + 100_000] % (n + 1)]) >= radius - slack for b in range(0, len(new), 100_000)]
-            new = new[np.concatenate(keep)]
-        every, fresh = np.union1d(every, new), new
-    return every // (n + 1), every % (n + 1)
+        i, j = np.nonzero(inside)
+        while len(i):
+            yield i + a, j
+            fresh: list[tuple[np.ndarray, np.ndarray]] = []
+            for b in range(0, len(i), few):
+                source, step = np.repeat(i[b : b + few], width), nbrs[j[b : b + few]].ravel()
+                new = ~seen[source, step]
+                key = np.unique(source[new] * (n + 1) + step[new])
+                source, step = key // (n + 1), key % (n + 1)
+                seen[source, step] = True
+                near = [np.einsum("ij,ij->i", part[source[c : c + 100_000]], far[step[c : c + 100_000]]) >= radius - slack for c in range(0, len(key), 100_000)]
+                near = np.concatenate(near) if near else np.zeros(0, bool)
+                fresh.append((source[near], step[near]))
+            i, j = (np.concatenate(v) for v in zip(*fresh))
+
+
+def mark(found: np.ndarray, i: np.ndarray, j: np.ndarray, q: np.ndarray, x: np.ndarray, radius: float) -> None:
+    """Set found[i, j] for the pairs whose cosine in double precision is at least ``radius``."""
+    for b in range(0, len(i), 100_000):
+        s, t = i[b : b + 100_000], j[b : b + 100_000]
+        ok = np.einsum("ij,ij->i", q[s], x[t]) >= radius
+        found[s[ok], t[ok]] = True
+
+
+def tally(found: np.ndarray, left: np.ndarray, right: np.ndarray, cls: np.ndarray, size: np.ndarray, both: bool = True) -> pd.DataFrame:
+    """Links, weighted links and a fellow, for rows that have links, from a table of found pairs.
+
+    ``left`` and ``right`` number the table's rows and columns in ``cls`` and ``size``; with
+    ``both`` a pair counts for its column as well as for its row.
+    """
+    links, near, label = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64), np.arange(len(cls))
+    for a in range(0, len(left), 256):
+        part = found[a : a + 256]
+        i, j = np.nonzero(part)
+        unite(label, left[i + a], right[j])
+        np.add.at(links, left[a : a + 256], part.sum(axis=1))
+        np.add.at(near, left[a : a + 256], np.rint(part @ size[right].astype(float)).astype(np.int64))
+        if both:
+            np.add.at(links, right, part.sum(axis=0))
+            np.add.at(near, right, np.rint(size[left[a : a + 256]].astype(float) @ part).astype(np.int64))
+    own = np.flatnonzero(links)
+    return pd.DataFrame({"cls": cls[own], "links": links[own], "near": near[own], "root": cls[label[own]]})
 
 
 def classes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, cls; classes: cls, label, class_id, class_size, v) of the vectors that can link."""
+    """(rows: vec_id, high, low; classes: cls, high, low, label, class_id, class_size, v) of the vectors that can link."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
-    rows = rows.withColumn("cls", F.when(good, F.xxhash64("label", "v")))
-    made = rows.filter("cls is not null").groupBy("cls").agg(F.first("label").alias("label"), F.min("vec_id").alias("class_id"), F.count("*").alias("class_size"), F.first("v").alias("v"))
-    return rows.select("vec_id", "cls"), made
+    rows = rows.withColumn("high", F.when(good, F.xxhash64("label", "v"))).withColumn("low", F.when(good, F.xxhash64(F.lit(77), "v", "label")))
+    made = rows.filter("high is not null").groupBy("high", "low").agg(F.first("label").alias("label"), F.min("vec_id").alias("class_id"), F.count("*").alias("class_size"), F.first("v").alias("v"))
+    made = stored(made, "vectors")
+    return rows.select("vec_id", "high", "low"), made.select(told_apart(made, "high", "low").alias("cls"), "high", "low", "label", "class_id", "class_size", "v")
+
 
+def nearest_shards(v: list, centroids: np.ndarray | None, overlap: int) -> list[np.ndarray]:
+    """Numbers of the ``overlap`` nearest centroids of each vector; 0 for vectors of another length."""
+    out = [np.zeros(1, np.int64)] * len(v)
+    fits = [] if centroids is None else np.flatnonzero([len(a) == centroids.shape[1] for a in v])
+    if len(fits):
+        sims = unit(np.stack([v[i] for i in fits])) @ centroids.T
+        k = min(overlap, sims.shape[1])
+        for i, s in zip(fits, np.argpartition(-sims, k - 1, axis=1)[:, :k]):
+            out[i] = s
+    return out
 
-def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | None, overlap: int, beam: int, degree: int, block: int, candidates: int = 48) -> DataFrame:
-    """Links (a < b) of classes, each verified in double precision."""
-    dim = 0 if centroids is None else centroids.shape[1]
+
+def refined(placed: DataFrame, by: list[str], shard: int, fit_rows: int, parts: int, rounds: int = 4) -> DataFrame:
+    """``placed`` with shards of more than 8 x ``shard`` vectors divided by centroids of their own.
+
+    A shard that doesn't fall apart (its vectors are alike) stays large and is split to blocks later.
+    """
+    schema = placed.schema
+    for _ in range(rounds):
+        sizes = stored(placed.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > 8 * shard), "large")
+        if sizes.isEmpty():
+            break
+        large, rest = placed.join(sizes, by), placed.join(sizes, by, "left_anti")
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            k = int(min(parts, -(-int(pdf["_n"].iloc[0]) // shard)))
+            c = k_means(np.stack(pdf.v.to_list()), k)
+            return pdf.iloc[:1][by].assign(centroids=[list(map(list, c))])
+
+        kinds = ", ".join(f"{c} {t}" for c, t in placed.dtypes if c in by)
+        sample = large.filter(F.pmod(F.xxhash64("cls", F.lit(9)), F.col("_n")) < fit_rows)
+        centroids = stored(sample.groupBy(*by).applyInPandas(fit, kinds + ", centroids array<array<double>>"), "centroids")
+        slices = F.ceil(F.col("_n") / 20_000).cast("long")
+        asks = large.withColumn("slice", F.pmod(F.xxhash64("cls", F.lit(8)), slices))
+        given = centroids.join(sizes, by).select(*by, "centroids", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
+
+        def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            c = np.stack([np.array(x) for x in right["centroids"].iloc[0]]) if len(right) else None
+            near = nearest_shards(left.v.to_list(), c, 2)
+            out = left.loc[np.repeat(left.index, [len(s) for s in near])].reset_index(drop=True)
+            return out.assign(shard=out.shard * parts + np.concatenate(near))[schema.names]
+
+        moved = asks.groupBy(*by, "slice").cogroup(given.groupBy(*by, "slice")).applyInPandas(assign, schema)
+        placed = stored(rest.unionByName(moved), "shards")
+        if placed.groupBy(*by).count().agg(F.max("count")).first()[0] > 0.8 * sizes.agg(F.max("_n")).first()[0]:
+            break
+    return placed
+
+
+def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | None, overlap: int, beam: int, degree: int, block: int, candidates: int = 48, shard: int = 1500, fit_rows: int = 20_000, parts: int = 4096) -> DataFrame:
+    """Links of classes (cls, label, class_size, v), counted by :func:`tally`; a class may have several rows."""
     kind = dict(classes.dtypes)["label"]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shard = [np.zeros(1, np.int64)] * len(pdf)
-            fits = np.flatnonzero([len(v) == dim for v in pdf.v])
-            if len(fits):
-                sims = unit(np.stack(pdf.v.iloc[fits].to_list())) @ centroids.T
-                k = min(overlap, sims.shape[1])
-                for i, s in zip(fits, np.argpartition(-sims, k - 1, axis=1)[:, :k]):
-                    shard[i] = s
-            out = pdf.loc[np.repeat(pdf.index, [len(s) for s in shard])].reset_index(drop=True)
-            yield out.assign(shard=np.concatenate(shard), dim=[len(v) for v in out.v])[["cls", "label", "dim", "shard", "v"]]
+            near = nearest_shards(pdf.v.to_list(), centroids, overlap)
+            out = pdf.loc[np.repeat(pdf.index, [len(s) for s in near])].reset_index(drop=True)
+            yield out.assign(shard=np.concatenate(near) if near else np.zeros(0, np.int64), dim=[len(v) for v in out.v])[["cls", "label", "dim", "shard", "class_size", "v"]]
 
     by = ["label", "dim", "shard"]
-    placed = stored(classes.select("cls", "label", "v").mapInPandas(assign, f"cls long, label {kind}, dim int, shard long, v array<double>"), "shards")
+    placed = stored(classes.select("cls", "label", "class_size", "v").mapInPandas(assign, f"cls long, label {kind}, dim int, shard long, class_size long, v array<double>"), "shards")
+    placed = refined(placed, by, shard, fit_rows, parts)
     sized = placed.join(placed.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), by)
     sized = sized.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf.cls.to_numpy()
         near, least = robust_prune(unit(np.stack(pdf.v.to_list())), candidates=candidates, degree=degree)
-        return pd.DataFrame({"cls": ids, "near": [ids[v] for v in near], "tight": least >= radius - 1e-6})
+        return pd.DataFrame({"cls": ids, "shard": pdf["shard"].to_numpy(), "near": [ids[v] for v in near], "tight": least >= radius - 1e-6})
 
-    lists = sized.groupBy(*by, "own").applyInPandas(build, "cls long, near array<long>, tight boolean")
-    united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("tight").alias("tight"))  # at most `overlap` lists
+    lists = sized.groupBy(*by, "own").applyInPandas(build, "cls long, shard long, near array<long>, tight boolean")
+    united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("tight").alias("tight"), F.collect_list("shard").alias("shards"))  # one a shard
     nodes = stored(sized.join(united, "cls"), "nodes")
-    search = nodes.select(*by, "cls", "v", "near", "tight", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    search = search.select(*by, "cls", "v", "near", "tight", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    cols = [*by, "cls", "class_size", "v", "near", "tight", F.filter("shards", lambda x: x < F.col("shard")).alias("before"), "own"]
+    search = nodes.select(*cols, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    search = search.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.stack(pdf.v.to_list()))
         ids, part, tight = pdf.cls.to_numpy(), pdf.own.to_numpy(), pdf.tight.to_numpy(dtype=bool)
-        pairs = [(pdf.lo.iloc[0], pdf.hi.iloc[0])]
-        out_a, out_b = [], []
-        for p, t in dict.fromkeys([*pairs, *[(b, a) for a, b in pairs]]):
-            qs, ts = np.flatnonzero(part == p), np.flatnonzero(part == t)
+        lo, hi = pdf.lo.iloc[0], pdf.hi.iloc[0]
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        found = np.zeros((len(left), len(right)), bool)
+        for qs, ts, table in ((left, right, found), (right, left, found.T))[: 1 if lo == hi else 2]:
             if not len(qs) or not len(ts):
                 continue
             order = np.argsort(ids[ts])
@@ -267,64 +338,77 @@ def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | Non
                 at = np.minimum(np.searchsorted(known, v), len(known) - 1)
                 return order[at[known[at] == v]]
 
-            loose = qs[~tight[qs]]
-            i, j = exact_pairs(x[qs[tight[qs]]], x[ts], radius)
-            i, j = qs[tight[qs]][i], ts[j]
+            close, loose = np.flatnonzero(tight[qs]), np.flatnonzero(~tight[qs])
+            for a in range(0, len(close), 512):
+                table[close[a : a + 512]] |= x[qs[close[a : a + 512]]] @ x[ts].T >= radius
             if len(loose):
                 begin = np.full((len(loose), 4), -1)
-                if p == t:
-                    begin[:, 0] = np.flatnonzero(~tight[ts])
+                if lo == hi:
+                    begin[:, 0] = loose
                 else:
-                    for k, v in enumerate(pdf.near.iloc[loose]):
+                    for k, v in enumerate(pdf.near.iloc[qs[loose]]):
                         met = nodes_of(v)[:4]
                         begin[k, : len(met)] = met
                 adjacency = [nodes_of(v) for v in pdf.near.iloc[ts]]
-                more_i, more_j = range_search(x[loose].astype(np.float32), x[ts].astype(np.float32), adjacency, begin, radius, beam)
-                i, j = np.concatenate([i, loose[more_i]]), np.concatenate([j, ts[more_j]])
-            cosine = [np.einsum("ij,ij->i", x[i[b : b + 100_000]], x[j[b : b + 100_000]]) for b in range(0, len(i), 100_000)]
-            ok = (ids[i] != ids[j]) & (np.concatenate(cosine or [np.zeros(0)]) >= radius)
-            out_a.append(np.minimum(ids[i[ok]], ids[j[ok]]))
-            out_b.append(np.maximum(ids[i[ok]], ids[j[ok]]))
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
-
-    return search.groupBy(*by, "lo", "hi").applyInPandas(look, "a long, b long").distinct()
+                for i, j in range_search(x[qs[loose]].astype(np.float32), x[ts].astype(np.float32), adjacency, begin, radius, beam):
+                    mark(table, loose[i], j, x[qs], x[ts], radius)
+        if lo == hi:
+            found |= found.T
+            found &= np.triu(np.ones(found.shape, bool), 1)
+        most = max(1, max(map(len, pdf.before)))
+        before = np.full((len(pdf), most), -1)
+        for k, v in enumerate(pdf.before):
+            before[k, : len(v)] = v
+        for a in range(0, len(left), 256):
+            i, j = np.nonzero(found[a : a + 256])
+            for b in range(0, len(i), 100_000):
+                s, t = before[left[i[b : b + 100_000] + a]], before[right[j[b : b + 100_000]]]
+                again = ((s[:, :, None] == t[:, None, :]) & (s >= 0)[:, :, None]).any(axis=(1, 2))
+                found[i[b : b + 100_000][again] + a, j[b : b + 100_000][again]] = False
+        return tally(found, left, right, ids, pdf.class_size.to_numpy())
+
+    return search.groupBy(*by, "lo", "hi").applyInPandas(look, _LINKS)
 
 
 def compare(queries: DataFrame, classes: DataFrame, *, radius: float, block: int) -> DataFrame:
-    """Links (a < b) of the ``queries`` (some or all of ``classes``) with all classes, without a graph.
+    """Links of the ``queries`` (some or all of ``classes``) with all classes, without a graph.
 
     Both sides are split by hash into blocks of about ``block`` vectors, and every pair of blocks is
     a group; with ``queries`` the same table as ``classes``, each unordered pair of blocks is one.
     """
     by, once = ["label", "dim"], queries is classes
-    left, right = (t.select("cls", "label", F.size("v").alias("dim"), "v") for t in (queries, classes))
+    left, right = (t.select("cls", "label", "class_size", F.size("v").alias("dim"), "v") for t in (queries, classes))
 
     def counted(t: DataFrame, name: str) -> DataFrame:
         return t.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
 
     sizes = counted(left, "nq").join(counted(right, "nt"), by)
     own = F.xxhash64("cls", F.lit(5))
-    left = left.join(sizes, by).select(*by, "cls", "v", F.pmod(own, "nq").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), F.lit(True).alias("asks"))
-    right = right.join(sizes, by).select(*by, "cls", "v", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod(own, "nt").cast("int").alias("t"), F.lit(False).alias("asks"))
+    cols = [*by, "cls", "class_size", "v"]
+    left = left.join(sizes, by).select(*cols, F.pmod(own, "nq").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("t"), F.lit(True).alias("asks"))
+    right = right.join(sizes, by).select(*cols, F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.pmod(own, "nt").cast("int").alias("t"), F.lit(False).alias("asks"))
     both = left.unionByName(right)
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, ids = pdf.asks.to_numpy(dtype=bool), pdf.cls.to_numpy()
+        asks = pdf.asks.to_numpy(dtype=bool)
         if asks.all() or not asks.any():
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cls", "links", "near", "root")})
         x = unit(np.stack(pdf.v.to_list()))
-        i, j = exact_pairs(x[asks], x[~asks], radius)
-        i, j = ids[asks][i], ids[~asks][j]
-        i, j = i[i != j], j[i != j]
-        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)}).drop_duplicates()
+        cls, first, number = np.unique(pdf.cls.to_numpy(), return_index=True, return_inverse=True)
+        found = np.zeros((asks.sum(), (~asks).sum()), bool)
+        for a in range(0, len(found), 512):
+            found[a : a + 512] = x[asks][a : a + 512] @ x[~asks].T >= radius
+        place = np.full(len(cls), -1)
+        place[number[~asks]] = np.arange((~asks).sum())
+        itself = place[number[asks]]
+        found[np.flatnonzero(itself >= 0), itself[itself >= 0]] = False
+        return tally(found, number[asks], number[~asks], cls, pdf.class_size.to_numpy()[first], both=once and pdf.q.iloc[0] < pdf.t.iloc[0])
 
-    return (both.filter("q <= t") if once else both).groupBy(*by, "q", "t").applyInPandas(look, "a long, b long").distinct()
+    return (both.filter("q <= t") if once else both).groupBy(*by, "q", "t").applyInPandas(look, _LINKS)
 
 
-def truth(classes: DataFrame, n: int, *, radius: float, sample: int, block: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(sampled classes, all links of theirs, whether every class is sampled).
+def truth(classes: DataFrame, n: int, *, radius: float, sample: int, block: int) -> tuple[DataFrame, bool]:
+    """(links of sampled classes, whether every class is sampled).
 
     The sample grows until ``sample`` of its classes have links or it holds all classes.
     """
@@ -334,65 +418,65 @@ def truth(classes: DataFrame, n: int, *, radius: float, sample: int, block: int)
         chosen = classes if whole else classes.filter(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
         true = stored(compare(chosen, classes, radius=radius, block=block), "audit")
         if whole:
-            return chosen, true, True
-        linked = chosen.select("cls").join(true.select(F.explode(F.array("a", "b")).alias("cls")), "cls", "left_semi").count()
+            return true, True
+        linked = true.select("cls").distinct().count()
         if linked >= sample:
-            return chosen, true, False
+            return true, False
+        release(true)
         share *= min(16, max(2, 1.5 * sample / max(1, linked)))
 
 
-def audit(chosen: DataFrame, true: DataFrame, links: DataFrame) -> tuple[int, int, float]:
-    """(true links, those of them that were found, mean share found of a sampled class's links)."""
-    got = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-    row = got.agg(F.count("*").alias("n"), F.count("hit").alias("hit")).first()
-    ends = got.select(F.explode(F.array("a", "b")).alias("cls"), "hit").join(chosen.select("cls"), "cls", "left_semi")
-    per = ends.groupBy("cls").agg((F.count("hit") / F.count("*")).alias("share")).agg(F.avg("share")).first()[0]
-    return row["n"], row["hit"], 1.0 if per is None else per
+def audit(true: DataFrame, links: DataFrame) -> tuple[int, int, float]:
+    """(links of the sample, those of them that were found, mean share found of a vector's links)."""
+    per = true.groupBy("cls").agg(F.sum("links").alias("true")).join(links.groupBy("cls").agg(F.sum("links").alias("got")), "cls", "left")
+    per = per.withColumn("got", F.least(F.coalesce("got", F.lit(0)), F.col("true")))
+    row = per.agg(F.sum("true"), F.sum("got"), F.avg(F.col("got") / F.col("true"))).first()
+    return row[0] or 0, row[1] or 0, 1.0 if row[2] is None else row[2]
 
 
-def near_dedup(vectors: DataFrame, *, radius: float = 0.93, overlap: int = 3, beam: int = 16, degree: int = 20, shard: int = 1500, block: int = 6000, fit_rows: int = 20_000, target: float = 0.99, sample: int = 300, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: list | None = None) -> DataFrame:
+def near_dedup(vectors: DataFrame, *, radius: float = 0.93, overlap: int = 3, beam: int = 16, degree: int = 20, shard: int = 1500, block: int = 6000, fit_rows: int = 20_000, target: float = 0.99, sample: int = 300, parts: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", report: list | None = None) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept.
 
-    Audits (overlap, true links, found links) are appended to ``report`` and logged; where the
-    links were taken from an exact comparison of all vectors, a last entry has overlap 0.
+    ``parts`` is the most centroids that are fitted at once. Audits (overlap, true links, found
+    links; a link of two sampled vectors counts for either) are appended to ``report`` and logged;
+    where the links were taken from an exact comparison of all vectors, a last entry has overlap 0.
     """
-    rows, made = classes_of(vectors, id_col, vector_col, label_col)
-    classes = stored(made, "vectors")
+    rows, classes = classes_of(vectors, id_col, vector_col, label_col)
     n, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
     picked = classes.select("v").orderBy(F.xxhash64("cls")).limit(fit_rows).collect()
     by_dim: dict[int, list] = {}
     for r in picked:
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
     most = max(by_dim.values(), key=len, default=[])
-    chosen, exact, whole = truth(classes, n, radius=radius, sample=sample, block=block)
+    exact, whole = truth(classes, n, radius=radius, sample=sample, block=block)
     links = None
-    for k in range(4):
+    for k in range(0 if whole else 4):
         wide = overlap + 2 * k
-        parts = int(np.clip(n * wide / (max(1, labels) * shard), 1, 4096))
-        centroids = k_means(np.array(most), parts) if most else None
-        new = find_links(classes, radius=radius, centroids=centroids, overlap=wide, beam=beam << k, degree=degree << k, block=block, candidates=48 << k)
-        links = stored(new if links is None else links.unionByName(new).distinct(), "links")
-        true, hit, mean = audit(chosen, exact, links)
+        count = int(np.clip(n * wide / (max(1, labels) * shard), 1, parts))
+        centroids = k_means(np.array(most), count) if most else None
+        if links is not None:
+            release(links)
+        links = stored(find_links(classes, radius=radius, centroids=centroids, overlap=wide, beam=beam << k, degree=degree << k, block=block, candidates=48 << k, shard=shard, fit_rows=fit_rows, parts=parts), "links")
+        true, hit, mean = audit(exact, links)
         _LOG.info("overlap %d: %d of %d audited links found, %.4f of a vector's on average", wide, hit, true, mean)
         if report is not None:
             report.append((wide, true, hit))
-        if whole or (hit >= target * true and mean >= target):
+        if hit >= target * true and mean >= target:
             break
     else:
-        _LOG.warning("recall stayed under %s: all vectors are compared", target)
-        exact, whole = stored(compare(classes, classes, radius=radius, block=block), "links"), True
-    if whole:
+        if not whole:
+            _LOG.warning("recall stayed under %s: all vectors are compared", target)
+            exact = stored(compare(classes, classes, radius=radius, block=block), "links")
         links = exact
         if report is not None:
-            true = exact.count()
+            true = exact.agg(F.sum("links")).first()[0] or 0
             report.append((0, true, true))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(classes.select(F.col("cls").alias("b"), "class_size"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("class_size").alias("_near"))
-    group = components(links).withColumnRenamed("node", "cls")
+    near = links.groupBy("cls").agg(F.sum("near").alias("_near"))
+    group = components(links, "cls", "root").withColumnRenamed("node", "cls")
     known = classes.drop("v", "label").join(near, "cls", "left").join(group, "cls", "left").withColumn("_c", F.coalesce("component", "cls"))
     least = known.groupBy("_c").agg(F.min("class_id").alias("component_id"))
-    per = known.join(least, "_c").select("cls", (F.col("class_size") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(per, "cls", "left").select(
+    per = known.join(least, "_c").select("high", "low", (F.col("class_size") - 1 + F.coalesce("_near", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(per, ["high", "low"], "left").select(
         F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
