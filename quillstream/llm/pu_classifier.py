@@ -1,17 +1,24 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are rows labelled 1, the unlabelled set is text of any row, and the class
-prior is estimated. The model is additive over a fixed set of surface features that Spark's
-built-in expressions compute, so scoring is one projection: no Python sees a text.
+prior is estimated from these two alone: rows labelled 0 play no part. The model is additive over
+a fixed set of surface features that Spark's built-in expressions compute, so scoring is one
+projection: no Python sees a text.
 
-Training reads a bounded sample: of the positives and of the unlabelled rows, the ``sample``
-rows with the least hash of id and text (a documented bound, the same at every size). Rows of the
-held-out fold are never sampled, and labels are the only thing taken from the label table.
+The prior is the share of positives among unlabelled rows. A first model is fitted to tell positives
+from unlabelled text on one half of the sample; on the other half, the share of unlabelled rows
+above a score is at least prior x the share of positives above it, with equality where only
+positives lie. So the least ratio of the two over all thresholds, with the binomial errors of both
+shares added, bounds the prior (best-bin estimation).
+
+Training reads a bounded sample (a documented bound, the same at every size): at most ``sample``
+positive rows and ``sample`` unlabelled rows, those with the least hash of id and text. Rows of the
+held-out fold are never sampled, and positives are the only thing taken from the label table.
 
 Null texts count as empty; an empty text has a score as well. Repeated ids are scored row by
-row. Rows labelled null are unlabelled. Without any positive row the model can't be fitted
-(ValueError), whatever else the tables hold; an empty table of documents gives no rows once a
-model is given. Input columns named like a result are replaced.
+row. Rows labelled null are unlabelled. Where there is nothing to learn from (no positive text in
+the training folds, or an empty table) the model is constant and scores 0.5. Input columns named
+like a result are replaced; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,8 +133,30 @@ def choose_knots(x: np.ndarray, n: int = 7) -> list[np.ndarray]:
     return [np.unique(np.quantile(x[:, j], q)) for j in range(x.shape[1])]
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative unbiased risk with the logistic loss (full batches, Adam).
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _descend(gradient, size: int, *, rounds: int, rate: float, settled: float) -> np.ndarray:
+    """Adam on full batches until no weight moves more than ``settled`` in 25 rounds.
+
+    ``gradient(w, t)``; the rate falls with the root of the rounds so that moves die out.
+    """
+    w = last = np.zeros(size)
+    m, v = np.zeros(size), np.zeros(size)
+    for t in range(1, rounds + 1):
+        g = gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate / np.sqrt(1 + t / 100) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        if t % 25 == 0:
+            if np.abs(w - last).max() < settled:
+                break
+            last = w
+    return w
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 1500, rate: float = 0.1, decay: float = 1e-4, settled: float = 0.02) -> Model:
+    """Minimise the non-negative unbiased risk with the logistic loss.
 
     risk = prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second part is negative
     its gradient is followed upwards instead, which keeps the model from fitting positives as
@@ -135,65 +164,85 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
     moved up until all but 0.2 % of the trusted positives have a margin of at least 1.
     """
     knots = choose_knots(np.concatenate([positive, unlabelled]))
-    p, u = hats(positive, knots), hats(unlabelled, knots)
-    w, bias = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, rounds + 1):
-        zp, zu = p @ w + bias, u @ w + bias
+    p, u = (np.column_stack([hats(x, knots), np.ones(len(x))]) for x in (positive, unlabelled))
+    loss = np.append(np.full(p.shape[1] - 1, decay), 0.0)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        zp, zu = p @ w, u @ w
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_plus, gp_minus, gu = (sigmoid(zp) - 1) / len(p), sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        if negative >= 0:
-            a, b = prior * gp_plus - prior * gp_minus, gu
-        else:
-            a, b = prior * gp_minus, -gu
-        g = np.append(p.T @ a + u.T @ b + decay * w, a.sum() + b.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - move[:-1], bias - move[-1]
-    bias -= max(0.0, float(np.quantile(p @ w + bias, 0.002)) - 1.0)  # nearly all trusted positives stay above 0.7
+        up, down = (_sigmoid(zp) - 1) / len(p), _sigmoid(zp) / len(p)
+        gu = _sigmoid(zu) / len(u)
+        a, b = (prior * (up - down), gu) if negative >= 0 else (prior * down, -gu)
+        return p.T @ a + u.T @ b + loss * w
+
+    w = _descend(gradient, p.shape[1], rounds=rounds, rate=rate, settled=settled)
+    bias = float(w[-1]) - max(0.0, float(np.quantile(p @ w, 0.002)) - 1.0)  # nearly all trusted positives stay above 0.7
     weights, at = [], 0
     for k in knots:
         n = len(k) if len(k) > 1 else 0
         weights.append(tuple(w[at : at + n].tolist()))
         at += n
-    return Model(tuple(tuple(k.tolist()) for k in knots), tuple(weights), float(bias), prior)
+    return Model(tuple(tuple(k.tolist()) for k in knots), tuple(weights), bias, prior)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among unlabelled rows, from features of both, within [0.05, 0.999]."""
+    knots = choose_knots(np.concatenate([positive, unlabelled]))
+    (fit_p, try_p), (fit_u, try_u) = ((hats(x[::2], knots), hats(x[1::2], knots)) for x in (positive, unlabelled))
+    if min(map(len, (fit_p, try_p, fit_u, try_u))) < 5:
+        return 0.5  # too few rows to tell
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        zp, zu = fit_p @ w[:-1] + w[-1], fit_u @ w[:-1] + w[-1]
+        a, b = (_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2
+        return np.append(fit_p.T @ a + fit_u.T @ b + 1e-3 * w[:-1], a.sum() + b.sum())
+
+    w = _descend(gradient, fit_p.shape[1] + 1, rounds=300, rate=0.1, settled=0.02)
+    zp, zu = np.sort(try_p @ w[:-1]), np.sort(try_u @ w[:-1])
+    cuts = np.unique(np.quantile(zp, np.linspace(0, 0.9, 181)))
+    above_p, above_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
+    error = np.sqrt(np.log(40) / 2 / len(zp)) + np.sqrt(np.log(40) / 2 / len(zu))  # of both shares
+    best = int(((above_u + error) / above_p).argmin())
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.999))
 
 
-def estimate_prior(n_positive: int, n_negative: int) -> float:
-    """Share of positives among labelled training rows (Laplace), within [0.05, 0.999]."""
-    return float(np.clip((n_positive + 1) / (n_positive + n_negative + 2), 0.05, 0.999))
+#: What scores where there is nothing to learn from.
+CONSTANT = Model(((),) * len(FEATURES), ((),) * len(FEATURES), 0.0, 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, folds: int = FOLDS, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``sample`` positives and ``sample`` unlabelled rows of the training folds."""
+    """Fit on at most ``sample`` positive rows and ``sample`` unlabelled rows of the training folds."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(fold(F.col("doc_id"), folds) != held_out)
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y is not null")
-    marked = marked.filter(fold(F.col("doc_id"), folds) != held_out)
-    marked = marked.join(base.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of the rows at hand
-    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(1):
-        raise ValueError("no positive row to learn from")
-    prior = estimate_prior(counts[1], counts.get(0, 0))
-    order = F.xxhash64("doc_id", F.lit(10))
-    ids = marked.filter("y = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
-    every = base.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    pick = ids.withColumn("p", F.lit(1)).unionByName(every.withColumn("p", F.lit(0)))
-    chosen = [(r["doc_id"], r["p"]) for r in pick.collect()]
-    small = docs.sparkSession.createDataFrame(chosen, f"doc_id {dict(base.dtypes)['doc_id']}, p int")
-    got = base.join(F.broadcast(small), "doc_id").select("p", features(F.col("text")).alias("f")).collect()
-    x = np.array([r["f"] for r in got], dtype=float).reshape(-1, len(FEATURES))
-    p = np.array([r["p"] for r in got], dtype=int)
-    if not (p == 1).any() or not (p == 0).any():
-        raise ValueError("no text of a positive row to learn from")
-    return fit_nnpu(x[p == 1], x[p == 0], prior)
+    good = labels.filter(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("doc_id"))
+    good = good.join(base.select("doc_id"), "doc_id", "left_semi").distinct()  # of the rows at hand
+    ids = [r[0] for r in good.orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id").limit(sample).collect()]
+    n = base.count()
+    if not ids or not n:
+        return CONSTANT
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {dict(base.dtypes)['doc_id']}")
+    order = F.xxhash64("doc_id", "text", F.lit(11))
+    share = min(1.0, 1.2 * (sample + 500) / n)  # rows of a hash range: more than the sample, by little
+    some = base.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    x, y = [], []
+    for mark, rows in ((1, base.join(F.broadcast(few), "doc_id")), (0, some)):
+        got = rows.select(features(F.col("text")).alias("f"), order.alias("h")).orderBy("h").limit(sample).collect()
+        x += [r["f"] for r in got]
+        y += [mark] * len(got)
+    x, y = np.array(x, dtype=float).reshape(-1, len(FEATURES)), np.array(y, dtype=int)
+    positive, unlabelled = x[y == 1], x[y == 0]
+    if not len(positive) or not len(unlabelled):
+        return CONSTANT
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
+
+
+def score_of(text: Column, model: Model) -> Column:
+    """A text's score, 0 to 1, as one expression."""
+    return _let(features(text), lambda f: 1 / (1 + F.exp(-model.column(f))))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, folds: int = FOLDS, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with held_out, score (0 to 1) and predicted (1 if score >= threshold)."""
-    at = "__features"
     own = ["held_out", "score", "predicted"]
-    rest = [c for c in docs.columns if c not in own]
-    with_f = docs.select(*[F.col(c) for c in rest], features(F.col(text_col)).alias(at))
-    scored = with_f.select(*rest, (fold(F.col(id_col), folds) == held_out).alias("held_out"), (1 / (1 + F.exp(-model.column(F.col(at))))).alias("score"))
+    rest = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in own]
+    scored = docs.select(*rest, (fold(F.col(id_col), folds) == held_out).alias("held_out"), score_of(F.col(text_col), model).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
