@@ -166,6 +166,16 @@ class IdReader:
             yield None if null else doc_id, np.concatenate(parts) if parts else held[:0]
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a folder's URI as Hadoop writes it.
+
+    ``file``, ``hdfs``, ``viewfs``, ``s3``, ``gs`` and ``abfs`` go as they are; Hadoop's names of the
+    same stores (``s3a``, ``s3n``, ``abfss``) are Arrow's ``s3`` and ``abfs``.
+    """
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + mark + rest)
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, *, id_col: str = "doc_id", text_col: str = "text", bits: bool = False, partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` and write one file a range of ids to the folder ``path``.
 
@@ -185,7 +195,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, *,
 
         task = TaskContext.get()
         part = task.partitionId()
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = file_system(path)
         fs.create_dir(root, recursive=True)
         name = f"{root}/part-{part:06d}.qids"
         own = f"{root}/.part-{part:06d}-{task.taskAttemptId()}"
@@ -220,7 +230,7 @@ def read_ids(spark, path: str, manifest: list[tuple[str, int]]) -> DataFrame:
     files = spark.createDataFrame(manifest, "file string, base long").repartition(len(manifest), "file")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = pafs.FileSystem.from_uri(path)
+        fs, _ = file_system(path)
         for files in batches:
             for file, base in zip(files.file, files.base):
                 with fs.open_input_file(file) as f:

@@ -5,7 +5,8 @@ lines are what line feeds part. Everything is built-in expressions on the text c
 long texts stay within their row, and no step is worse than n log n in the words of a text.
 
 Null texts count as empty. Texts without words have 0 for every count and 0.0 for every ratio.
-Repeated rows each get their own result. An input column named like a metric is replaced.
+Repeated rows each get their own result. An input column named like a metric is replaced; all others
+stay as they are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import unused
+
 WINDOW = 8
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -144,15 +147,24 @@ def compile_rules(rules: tuple[Rule, ...], m) -> Column:
     return passed
 
 
+def _base_failed(m, min_words: int, max_repeat_percent: int) -> Column:
+    return (m("n_words") < min_words) | (100 * m("n_repeat_words") > max_repeat_percent * m("n_words"))
+
+
+def passes(text: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, *, min_words: int = 20, max_repeat_percent: int = 30) -> Column:
+    """Whether a text is kept, as one expression."""
+    return _let(metrics(text), lambda s: ~_base_failed(lambda x: s[x], min_words, max_repeat_percent) & compile_rules(rules, lambda x: s[x]))
+
+
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, *, text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``; narrow, no shuffle, no Python."""
-    at = "__quality"
+    at = unused(docs, "quality")
     with_m = docs.withColumn(at, metrics(F.col(text_col)))
     m = lambda name: F.col(f"{at}.{name}")
-    base = (m("n_words") < min_words) | (100 * m("n_repeat_words") > max_repeat_percent * m("n_words"))
+    base = _base_failed(m, min_words, max_repeat_percent)
     own = [*METRICS, "base_failed", "kept"]
     return with_m.select(
-        *[F.col(c) for c in docs.columns if c not in own],
+        *[with_m[f"`{c}`"] for c in docs.columns if c.lower() not in own],
         *[m(x).alias(x) for x in METRICS],
         base.alias("base_failed"),
         (~base & compile_rules(rules, m)).alias("kept"),
