@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import stored
+from quillstream.llm.common import shuffle_partitions, stored
 from quillstream.llm.tokens import encoder
 
 BEGIN, CONTEXT, SINGLE = 0xFFFD, 0xFFFE, 0xFFFF  # high halves of keys that aren't ids
@@ -95,6 +95,31 @@ def with_lower(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(extra), np.concatenate(sums)
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3, seed 42) of longs."""
+    h = np.full(x.shape, 42, np.uint32)
+    for k in (x.astype(np.uint64) & np.uint64(0xFFFFFFFF), x.astype(np.uint64) >> np.uint64(32)):
+        k = k.astype(np.uint32) * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = h ^ k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = h ^ np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).astype(np.int32)
+
+
+def run_number(task: int, k: int, partitions: int) -> int:
+    """A number for run ``k`` of a task that no other run has and that hashes to an even share.
+
+    Runs are few and large beside shuffle partitions: left to chance, several would meet in one.
+    """
+    base = task << 41 | k << 21
+    tries = np.arange(base, base + min(1 << 21, 16 * partitions))
+    hits = np.flatnonzero(spark_hash(tries).astype(np.int64) % partitions == (task + 7919 * k) % partitions)
+    return int(tries[hits[0]]) if len(hits) else base
+
+
 def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, run_tokens: int, id_col: str, text_col: str) -> DataFrame:
     """Stored rows of documents (their tokens) and, with null ``n``, of runs (their counts).
 
@@ -104,11 +129,15 @@ def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, run_tokens: i
     marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marked.hint("merge"), "doc_id", "left")
 
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or shuffle_partitions(spark))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         schema = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("target", pa.bool_()), ("n", pa.int64()), ("data", pa.binary())])
-        at, zip_ = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
+        task, zip_, done = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1), 0
+        at = run_number(task, 0, partitions)
         held: list[tuple[list, list]] = [([], []), ([], [])]  # all documents, target documents
         waiting: list[list] = [[], []]
         tokens = 0
@@ -145,7 +174,8 @@ def gather(docs: DataFrame, target_ids: DataFrame, tokenizer: str, run_tokens: i
                         if rows:
                             yield batch_of(rows)
                         yield counts_of_run()
-                        rows, tokens, at = [], 0, at + 1
+                        rows, tokens, done = [], 0, done + 1
+                        at = run_number(task, done, partitions)
                     rows.append((at, doc_id, bool(target), len(ids), zip_.compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())))
                     tokens += len(ids)
                     if len(ids):
