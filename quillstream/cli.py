@@ -5,13 +5,10 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
-from pyspark.sql import functions as F
-
 from quillstream import __version__
+from quillstream.api import convert_files
 from quillstream.plans import config as cfg
 from quillstream.plans import graph
-from quillstream.plans.convert import convert
-from quillstream.session import local_session
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,7 +19,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", "--config", help="configuration file")
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--list-formats", action="store_true")
-    p.add_argument("--init-config", metavar="PATH", nargs="?", const=cfg.FILE)
+    p.add_argument("--init-config", metavar="PATH", nargs="?", const=str(Path.home() / cfg.USER))
+    p.add_argument("--keep-intermediate", action="store_true", help="keep the files between hops")
     p.add_argument("--version", action="version", version=__version__)
     p.add_argument("-v", "--verbose", action="store_true")
     return p
@@ -44,26 +42,15 @@ def main(argv: list[str] | None = None) -> int:
     if not a.files or not a.format:
         parser().print_help()
         return 0
-    spark = local_session()
-    over: dict = {"output": {"directory": a.output} if a.output else {}}
-    if a.overwrite:
-        over["output"]["overwrite"] = True
-    values = cfg.dotted(cfg.Config(cfg.load(a.config) if a.config else {}, over).resolve(a.files[0]))
-    files = spark.read.format("binaryFile").load([str(Path(f).resolve()) for f in a.files])
-    files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("content").alias("data"))
-    taken = [(str(p),) for d in {Path(a.output) if a.output else Path(f).resolve().parent for f in a.files} if d.is_dir() for p in d.iterdir()]
-    existing = spark.createDataFrame(taken, "path string") if taken else None
-    good = bad = 0
-    for row in convert(files, a.format.split(","), config=values, existing=existing).toLocalIterator():
-        r = row["result"]
+    names = [p for f in a.files for p in (sorted(map(str, Path().glob(f))) if any(c in f for c in "*?[") and not Path(f).is_absolute() else [f])]
+    user = cfg.load(a.config) if a.config else None
+    rows = convert_files(names, a.format.split(","), output=a.output, overwrite=a.overwrite, keep_intermediate=a.keep_intermediate, config=user).collect()
+    good = sum(r["success"] for r in rows)
+    for r in rows:
         if r["success"]:
-            Path(r["target_path"]).parent.mkdir(parents=True, exist_ok=True)
-            Path(r["target_path"]).write_bytes(row["output"])
-            good += 1
             hops = f" ({' -> '.join(x.upper() for x in r['conversion_path'])}, {r['hops']} hops)" if a.verbose and r["hops"] > 1 else ""
             print(f"{r['source_path']} -> {r['target_path']}{hops}")
         else:
-            bad += 1
             print(f"{r['source_path']}: {r['error']}")
-    print(f"{good} converted, {bad} failed")
+    print(f"{good} converted, {len(rows) - good} failed")
     return 0

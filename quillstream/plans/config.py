@@ -6,8 +6,11 @@ from pathlib import Path
 
 import yaml
 
-DEFAULTS = {"output": {"directory": None, "filename_pattern": "{name}.{ext}", "overwrite": False}, "documents": {"encoding": "utf-8"}}
+from quillstream.errors import ConfigError
+
+DEFAULTS = {"output": {"directory": None, "filename_pattern": "{name}.{ext}", "overwrite": False}, "documents": {"encoding": "utf-8", "title_from_filename": False}}
 FILE = "quillstream.yaml"
+USER = Path(".quillstream") / "config.yaml"  # in the home folder
 
 
 def merge(base: dict, update: dict) -> dict:
@@ -19,20 +22,35 @@ def merge(base: dict, update: dict) -> dict:
 
 
 def load(path: str | Path) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    try:
+        values = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    except (OSError, yaml.YAMLError) as e:
+        raise ConfigError(f"{path}: {e}") from e
+    if not isinstance(values, dict):
+        raise ConfigError(f"{path}: not a mapping")
+    return values
+
+
+def user_values() -> dict:
+    """The user's own file, if there is one."""
+    return load(Path.home() / USER) if (Path.home() / USER).is_file() else {}
 
 
 def nearest(source: str | Path) -> Path | None:
-    """The configuration file of the nearest directory at or above a source."""
-    return next((d / FILE for d in Path(source).resolve().parents if (d / FILE).is_file()), None)
+    """The configuration file of the nearest directory at or above a source, up to the home folder."""
+    for d in Path(source).resolve().parents:
+        if (d / FILE).is_file():
+            return d / FILE
+        if d == Path.home():
+            break
+    return None
 
 
 class Config:
     """Values by dotted key. Unlike layers merged in place, each source file gets its own result."""
 
     def __init__(self, user: dict | None = None, overrides: dict | None = None):
-        self.user, self.overrides = user or {}, overrides or {}
+        self.user, self.overrides = user_values() if user is None else user, overrides or {}
 
     def resolve(self, source: str | Path | None = None) -> dict:
         out = merge(DEFAULTS, self.user)

@@ -3,23 +3,28 @@
 ``convert`` takes rows (path, data) and gives a row a file with the result struct and the bytes
 of the target. Each hop is serialised as its format would be, so what a format can't carry is
 lost, as between files. An error is data: a failed row has success = false and the message.
-Text-to-text routes of one family can also stay in Catalyst: see ``quillstream.operators.render``.
+Plain text goes to text, HTML, Markdown and RTF in Catalyst (``quillstream.operators.render``);
+the pass through Python is for what needs a parser, a codec or a registered converter.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html import escape
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.errors import NoRouteError
 from quillstream.functions import text as fn
 from quillstream.model import make
+from quillstream.operators import render
+from quillstream.operators.blocks import merge_config
 from quillstream.operators.render import PAGE_TOP, RTF_COLORS, RTF_FONTS, STYLES, Style
 from quillstream.plans import graph
-from quillstream.sources import containers, markup, palm
+from quillstream.sources import containers, markup, palm, plain
 
 SUFFIX = {"markdown": "md", "htm": "html"}
 
@@ -112,11 +117,14 @@ def _rtf(doc: dict) -> str:
 
 def one_hop(data: bytes, src: str, dst: str, stem: str, config: dict) -> bytes:
     """Convert by the first converter of (src, dst); sinks that read HTML go through it."""
-    encoding = config.get("documents.encoding", "utf-8")
-    name = {"title": stem} if config.get("metadata.title_from_filename") else {}
+    own = graph.converter_of(src, dst)
+    if own is not None and own.function is not None:
+        return bytes(own.function(data, src, dst, stem, config))
+    encoding = config.get("documents.encoding") or "utf-8"
+    name = {"title": stem} if config.get("documents.title_from_filename") else {}
     if dst in ("docx", "rtf") or (dst == "pdf" and src not in ("txt", "html")):
         if src in ("html", "htm") and not config.get("html_to_rich"):
-            raise ValueError("Conversion failed: no HTML intermediate for an HTML source")
+            raise NoRouteError("Conversion failed: no HTML intermediate for an HTML source")
         page = data.decode(encoding) if src in ("html", "htm") else one_hop(data, src, "html", stem, config).decode()
         doc = markup.read_html(page, rich=True)
     else:
@@ -128,13 +136,15 @@ def one_hop(data: bytes, src: str, dst: str, stem: str, config: dict) -> bytes:
         return _rtf(doc).encode()
     m, blocks = doc["metadata"], doc["content"]
     if dst == "mobi":
-        return palm.write_mobi(m, blocks)
+        return palm.write_mobi(m, blocks, images=doc.get("images"))
     if dst == "azw3":
-        return palm.write_azw3(m, blocks, stem)
+        return palm.write_azw3(m, blocks, stem, images=doc.get("images"))
     if dst == "pdf":
-        return containers.write_pdf(m, blocks, stem, page_size=config.get("documents.pdf.page_size", "A4"))
+        return containers.write_pdf(m, blocks, stem, page_size=config.get("documents.pdf.page_size") or "A4")
     if dst == "epub":
         return (containers.write_paged_epub if src == "pdf" else containers.write_epub)(m, blocks, stem)
+    if dst not in ("fb2", "docx"):
+        raise NoRouteError(f"No converter found for {src} -> {dst}")
     return {"fb2": containers.write_fb2, "docx": containers.write_docx}[dst](m, blocks, stem)
 
 
@@ -144,52 +154,102 @@ def plan(src: str, dst: str) -> list[str] | None:
     return way if way and len(way) > 1 else None
 
 
-def convert(files: DataFrame, targets: list[str], *, path_col: str = "path", data_col: str = "data", config: dict | None = None, existing: DataFrame | None = None) -> DataFrame:
+def _settings(values: dict) -> Column:
+    """Dotted keys and their values as JSON."""
+    return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, json.dumps(v))]).cast("map<string,string>")
+
+
+def _row_config(path: Column, config: dict, directories: dict[str, dict], overrides: dict) -> Column:
+    """The resolved settings of a file: config, then its nearest directory's, then overrides."""
+    out = _settings({"output.directory": None, "output.filename_pattern": "{name}.{ext}", "output.overwrite": False, **config})
+    if directories:
+        parts = F.split(path, "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        known = F.create_map(*[x for d, v in directories.items() for x in (F.lit(d.rstrip("/")), _settings(v))])
+        near = F.try_element_at(F.filter(above, lambda d: F.array_contains(F.map_keys(known), d)), F.lit(-1))
+        out = merge_config(out, F.coalesce(F.try_element_at(known, near), F.create_map().cast("map<string,string>")))
+    return merge_config(out, _settings(overrides)) if overrides else out
+
+
+def _value(settings: Column, key: str) -> Column:
+    return F.get_json_object(F.concat(F.lit('{"v":'), settings[key], F.lit("}")), "$.v")
+
+
+def _in_catalyst(src: Column, dst: Column, data: Column, settings: Column) -> Column:
+    """The target's bytes where plain text can be written without leaving Catalyst, else null."""
+    text = data.cast("string")
+    content, nothing = plain.read_txt(text), F.create_map().cast("map<string,string>")
+    forms = {"txt": render.txt(nothing, content), "html": render.html(nothing, content), "md": render.md(nothing, content), "rtf": render.rtf(F.create_map(F.lit("title"), F.lit("Document")), content)}
+    own = {dst for dst in forms if (c := graph.converter_of("txt", dst)) is not None and c.function is not None}
+    usual = F.coalesce(_value(settings, "documents.encoding"), F.lit("utf-8")).isin("utf-8", "UTF-8", "utf8") & (F.coalesce(_value(settings, "documents.title_from_filename"), F.lit("false")) == "false")
+    out = F.lit(None).cast("string")
+    for name, form in forms.items():
+        if name not in own:
+            out = F.when((dst == name) & (src == "txt") & usual & F.is_valid_utf8(text), form).otherwise(out)
+    return F.encode(out, "UTF-8")
+
+
+def convert(
+    files: DataFrame, targets: list[str], *, path_col: str = "path", data_col: str = "data", config: dict | None = None, directories: dict[str, dict] | None = None,
+    overrides: dict | None = None, existing: DataFrame | None = None, keep_intermediate: bool = False,
+) -> DataFrame:
     """Rows x targets: ``result`` (the result struct) and ``output`` (bytes, null on failure).
 
-    ``files``: path and binary data. ``config``: dotted keys, of them ``output.directory``,
-    ``output.filename_pattern`` and ``output.overwrite``. ``existing``: paths (column ``path``)
-    that are taken; without overwrite those rows fail. Null data fails; nothing raises.
+    ``files``: path and binary data. ``config`` and ``overrides``: dotted keys, of them
+    ``output.directory``, ``output.filename_pattern`` and ``output.overwrite``; ``directories`` has
+    the keys of single directories, of which the nearest at or above a file counts. ``existing``:
+    paths (column ``path``) that are taken; without overwrite those rows fail. With
+    ``keep_intermediate`` a third column has (path, data) of the files between. Null data fails;
+    nothing raises.
     """
-    cfg = {"output.filename_pattern": "{name}.{ext}", "output.overwrite": False, **(config or {})}
     name = F.element_at(F.split(path_col, "/"), -1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    folder = F.lit(cfg["output.directory"]) if cfg.get("output.directory") else F.regexp_replace(path_col, "/?[^/]*$", "")
-    work = files.select(F.col(path_col).alias("path"), F.col(data_col).alias("data"), F.explode(F.array(*[F.lit(t.lower().lstrip(".")) for t in targets])).alias("dst"))
-    place = fn.filename(F.lit(cfg["output.filename_pattern"]), stem, F.col("dst"))
-    work = work.withColumn("target", F.concat_ws("/", F.when(folder != "", folder), place)).withColumn("src", fn.suffix_format(F.col("path"))).withColumn("stem", stem)
-    if existing is not None and not cfg["output.overwrite"]:
-        taken = existing.select(F.col("path").alias("target")).distinct().withColumn("taken", F.lit(True))
-        work = work.join(taken, "target", "left")
+    work = files.select(F.col(path_col).alias("path"), F.col(data_col).alias("data"), F.explode(F.array(*[F.lit(t.lower().lstrip(".")) for t in targets])).alias("dst"), stem.alias("stem"))
+    work = work.withColumn("settings", _row_config(F.col("path"), config or {}, directories or {}, overrides or {})).withColumn("src", fn.suffix_format(F.col("path")))
+    folder = F.coalesce(_value(F.col("settings"), "output.directory"), F.regexp_replace("path", "/?[^/]*$", ""))
+    folder = F.regexp_replace(folder, "(?<=.)/+$", "")
+    place = fn.filename(_value(F.col("settings"), "output.filename_pattern"), F.col("stem"), F.col("dst"))
+    work = work.withColumn("target", F.concat_ws("/", F.when(folder != "", folder), place))
+    if existing is not None:
+        taken = existing.select(F.col("path").alias("target")).distinct().withColumn("there", F.lit(True))
+        work = work.join(taken, "target", "left").withColumn("taken", F.col("there") & (_value(F.col("settings"), "output.overwrite") != "true"))
     else:
         work = work.withColumn("taken", F.lit(None).cast("boolean"))
+    work = work.withColumn("made", _in_catalyst(F.col("src"), F.col("dst"), F.col("data"), F.col("settings")))
+    # what is made already needn't travel
+    work = work.withColumn("data", F.when(F.col("made").isNull() & ~F.coalesce("taken", F.lit(False)), F.col("data")))
+    known = list(graph.CONVERTERS)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        graph.restore(known)
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                way, out, error = plan(r.src, r.dst), None, None
-                if r.taken is True:
-                    error = f"Target file already exists: {r.target}"
-                elif way is None:
+                way, out, error, between = plan(r.src, r.dst), None, None, []
+                if way is None:
                     error = f"No converter found for {r.src} -> {r.dst}"
+                elif r.taken is True:
+                    error = f"Target file already exists: {r.target}"
+                elif r.made is not None:
+                    out = r.made
                 else:
                     try:
                         if r.data is None:
                             raise ValueError("no data")
-                        out = bytes(r.data)
+                        cfg, out = {k: json.loads(v) for k, v in dict(r.settings).items()}, bytes(r.data)
                         for a, b in zip(way, way[1:]):
                             out = one_hop(out, a, b, r.stem, cfg)
+                            between.append((f"{r.path.rpartition('/')[0]}/{r.stem}_intermediate.{b}", out))
                     except Exception as e:  # noqa: BLE001 - a file's error is its result
                         out, error = None, str(e) or type(e).__name__
-                ok = error is None
-                rows.append((ok, r.path, r.target if ok else None, error, way if ok else None, len(way) - 1 if way else 1, out))
-            yield pd.DataFrame(rows, columns=["success", "source_path", "target_path", "error", "conversion_path", "hops", "output"])
+                rows.append((error is None, r.path, r.target if way else None, error, way, len(way) - 1 if way else 0, out, between[:-1] if error is None else []))
+            yield pd.DataFrame(rows, columns=["success", "source_path", "target_path", "error", "conversion_path", "hops", "output", "intermediates"])
 
-    got = work.select("path", "data", "src", "dst", "stem", "target", "taken").mapInPandas(run, "success boolean, source_path string, target_path string, error string, conversion_path array<string>, hops int, output binary")
-    return got.select(F.struct("success", "source_path", "target_path", "error", "conversion_path", "hops").alias("result"), "output")
+    kinds = "success boolean, source_path string, target_path string, error string, conversion_path array<string>, hops int, output binary, intermediates array<struct<path:string,data:binary>>"
+    got = work.select("path", "data", "src", "dst", "stem", "target", "taken", "made", "settings").mapInPandas(run, kinds)
+    return got.select(F.struct("success", "source_path", "target_path", "error", "conversion_path", "hops").alias("result"), "output", *["intermediates"] * keep_intermediate)
 
 
 def stem_of(path: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,15 @@ class Converter:
     name: str
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
+    #: (data, source format, target format, stem, config) -> bytes; None for those built in.
+    function: Callable[[bytes, str, str, str, dict], bytes] | None = None
+
+    def can_convert(self, src: str, dst: str) -> bool:
+        return _plain(src) in self.inputs and _plain(dst) in self.outputs
+
+
+def _plain(fmt: str) -> str:
+    return fmt.lower().lstrip(".")
 
 
 def _c(name: str, inputs: str, outputs: str) -> Converter:
@@ -30,9 +41,30 @@ CONVERTERS: list[Converter] = [
 MAX_HOPS = 4
 
 
-def register(name: str, inputs: list[str], outputs: list[str]) -> None:
-    """Add a converter behind those that are there."""
-    CONVERTERS.append(Converter(name, tuple(x.lower().lstrip(".") for x in inputs), tuple(x.lower().lstrip(".") for x in outputs)))
+_WAYS: dict[tuple[str, str], list[str] | None] = {}
+
+
+def register(name: str, inputs: list[str], outputs: list[str], function: Callable | None = None, requires: tuple[str, ...] = ()) -> bool:
+    """Add a converter behind those that are there; its function runs wherever a table's rows are.
+
+    One that ``requires`` modules which aren't installed is left out (and False is returned).
+    """
+    if any(find_spec(m) is None for m in requires):
+        return False
+    restore([*CONVERTERS, Converter(name, tuple(map(_plain, inputs)), tuple(map(_plain, outputs)), function)])
+    return True
+
+
+def restore(converters: list[Converter]) -> None:
+    """Make these the registered converters (workers get the driver's this way)."""
+    if converters != CONVERTERS:
+        CONVERTERS[:] = converters
+        _WAYS.clear()
+
+
+def converter_of(src: str, dst: str) -> Converter | None:
+    """The first converter for a pair."""
+    return next((c for c in CONVERTERS if c.can_convert(src, dst)), None)
 
 
 def edges(spark: SparkSession) -> DataFrame:
@@ -73,8 +105,14 @@ def list_formats(spark: SparkSession) -> DataFrame:
 
 
 def find_path(src: str, dst: str) -> list[str] | None:
-    """The path of one pair, on the driver (the planner's use); [src] if the formats are equal."""
-    src, dst = (x.lower().lstrip(".") for x in (src, dst))
+    """The path of one pair (the planner's use), searched once; [src] if the formats are equal."""
+    pair = _plain(src), _plain(dst)
+    if pair not in _WAYS:
+        _WAYS[pair] = _search(*pair)
+    return _WAYS[pair]
+
+
+def _search(src: str, dst: str) -> list[str] | None:
     near: dict[str, list[str]] = {}
     for c in CONVERTERS:
         for a in c.inputs:

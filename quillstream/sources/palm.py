@@ -101,16 +101,42 @@ def fcis(length: int) -> bytes:
     return b"FCIS" + struct.pack(">IIIIIIIIHHI", 20, 16, 1, 0, length, 0, 32, 8, 1, 1, 0)
 
 
+def fcis_kf8(length: int) -> bytes:
+    return b"FCIS" + struct.pack(">IIIIIIIIIIHHI", 20, 16, 2, 0, length, 0, 40, 0, 40, 8, 1, 1, 0)
+
+
 def fdst(length: int) -> bytes:
     return b"FDST" + struct.pack(">IIII", 12, 1, 0, length)
 
 
-def exth(title: str, author: str, metadata: dict, n_images: int = 0) -> bytes:
-    rows = [(100, author), (106, metadata.get("date", "2000-01-01")), (503, title), (524, metadata.get("language", "en"))]
-    packed = [(k, v.encode()) for k, v in rows] + [(125, struct.pack(">I", n_images))]
-    packed += [(k, metadata[name].encode()[:500]) for k, name in ((101, "publisher"), (103, "description"), (105, "subject")) if metadata.get(name)]
-    body = b"".join(struct.pack(">II", k, 8 + len(v)) + v for k, v in packed)
-    return b"EXTH" + struct.pack(">II", 12 + len(body) + -(12 + len(body)) % 4, len(packed)) + body + bytes(-(12 + len(body)) % 4)
+def cover_records(images: dict | None) -> list[bytes]:
+    """The cover as an image record, if it is a JPEG (there is no image library to make it one)."""
+    data = bytes(((images or {}).get("cover") or {}).get("data") or b"")
+    return [data] if data.startswith(b"\xff\xd8\xff") else []
+
+
+def exth(title: str, author: str, metadata: dict, n_images: int = 0, kf8: bool = False) -> bytes:
+    """Numbered metadata; the cover, where there is one, is the first image."""
+    u32 = struct.Struct(">I").pack
+    rows = [(100, author.encode()), (106, metadata.get("date", "2000-01-01").encode())]
+    rows += [*((204 + k, u32(v)) for k, v in enumerate((202, 2, 9, 0))), (501, b"EBOK")] if kf8 else []
+    language = metadata.get("language", "en")
+    rows += [(503, title.encode()), (524, (language.split("-")[0] if kf8 else language).encode())]
+    rows += [(528, b"true")] if kf8 else []
+    rows += [(125, u32(n_images))]
+    rows += [(k, clip(metadata[name], 500)) for k, name in ((101, "publisher"), (103, "description"), (105, "subject")) if metadata.get(name)]
+    rows += [(201, u32(0))] if n_images else []
+    body = b"".join(struct.pack(">II", k, 8 + len(v)) + v for k, v in rows)
+    return b"EXTH" + struct.pack(">II", 12 + len(body) + -(12 + len(body)) % 4, len(rows)) + body + bytes(-(12 + len(body)) % 4)
+
+
+def clip(text: str, n: int) -> bytes:
+    return text.encode()[:n]
+
+
+def database_name(title: str) -> bytes:
+    """At most 31 bytes of ASCII without spaces."""
+    return "".join(c if " " <= c <= "\x7f" else "_" for c in title).replace(" ", "_").encode()[:31]
 
 
 def mobi_html(blocks: list[dict]) -> tuple[str, list[dict]]:
@@ -131,11 +157,11 @@ def mobi_html(blocks: list[dict]) -> tuple[str, list[dict]]:
     return html, [x | {"length": e - x["offset"]} for x, e in zip(toc, ends)]
 
 
-def palm_db(records: list[bytes], name: str, seconds: int, seed: int) -> bytes:
-    head = name.encode("utf-8", "replace")[:31].ljust(32, b"\0") + struct.pack(">HHIIIIII", 0, 0, seconds, seconds, 0, 0, 0, 0) + b"BOOKMOBI" + struct.pack(">IIH", seed & 0xFFFFFF, 0, len(records))
+def palm_db(records: list[bytes], name: bytes, seconds: int, seed: int, step: int = 1) -> bytes:
+    head = name[:31].ljust(32, b"\0") + struct.pack(">HHIIIIII", 0, 0, seconds, seconds, 0, 0, 0, 0) + b"BOOKMOBI" + struct.pack(">IIH", seed, 0, len(records))
     at, listed = len(head) + 8 * len(records) + 2, b""
     for k, r in enumerate(records):
-        listed += struct.pack(">II", at, k)
+        listed += struct.pack(">II", at, step * k)
         at += len(r)
     return head + listed + b"\0\0" + b"".join(records)
 
@@ -157,35 +183,41 @@ def indx(entries: list[tuple[bytes, bytes]], tags: list[tuple[int, int, int, int
     return [head_rec, rec + data + align4(b"IDXT" + b"".join(struct.pack(">H", o) for o in offsets))]
 
 
-def ncx_records(toc: list[dict]) -> list[bytes]:
+def ncx_records(toc: list[dict], digits: int = 3) -> list[bytes]:
     if not toc:
         return []
     names, at, entries = b"", [], []
     for x in toc:
-        raw = (x["label"] or "").encode()[:500]
+        raw = clip(x["label"] or "", 500)
         at.append(len(names))
         names += vwi(len(raw)) + raw
     for k, (x, o) in enumerate(zip(toc, at)):
-        entries.append((b"%04d" % k, b"\x0f" + vwi(x["offset"]) + vwi(x["length"]) + vwi(o) + vwi(0)))
+        entries.append((b"%0*d" % (digits, k), b"\x0f" + vwi(x["offset"]) + vwi(x["length"]) + vwi(o) + vwi(0)))
     return [*indx(entries, [(1, 1, 1, 0), (2, 1, 2, 0), (3, 1, 4, 0), (4, 1, 8, 0)], 1), align4(names)]
 
 
-def write_mobi(metadata: dict, blocks: list[dict], seconds: int = 0) -> bytes:
+def guide_records(start: int = 0) -> list[bytes]:
+    """The guide: where the text begins."""
+    return indx([(b"text", b"\x01" + vwi(start))], [(1, 1, 1, 0)], 0)
+
+
+def write_mobi(metadata: dict, blocks: list[dict], seconds: int = 0, images: dict | None = None) -> bytes:
     """A MOBI version 6 book. Ids come from the text, and the time is given, so it is repeatable."""
     title, author = metadata.get("title", "Unknown"), metadata.get("author", "")
     html, toc = mobi_html(blocks)
     raw = html.encode()
     texts = [compress(raw[k : k + RECORD]) for k in range(0, max(1, len(raw)), RECORD)]
-    ncx, head, name = ncx_records(toc), exth(title, author, metadata), title.encode()
+    cover = cover_records(images)
+    ncx, head, name = ncx_records(toc), exth(title, author, metadata, len(cover)), title.encode()
     n, uid = len(texts), int.from_bytes(hashlib.sha256(raw).digest()[:4], "big") or 1
-    ncx_at = n + 1 if ncx else NONE
-    flis = n + 1 + len(ncx)
+    ncx_at = n + 1 + len(cover) if ncx else NONE
+    flis = n + 1 + len(cover) + len(ncx)
     mobi = b"MOBI" + struct.pack(">IIIII", 232, 2, 65001, uid, 6) + b"\xff" * 40
-    mobi += struct.pack(">IIIIIIII", n + 1, 16 + 232 + len(head), len(name), 0x0409, 0, 0, 6, NONE) + bytes(16) + struct.pack(">I", 0x40) + bytes(32)
+    mobi += struct.pack(">IIIIIIII", n + 1, 16 + 232 + len(head), len(name), 0x0409, 0, 0, 6, n + 1 if cover else NONE) + bytes(16) + struct.pack(">I", 0x40) + bytes(32)
     mobi += struct.pack(">IIIIII", NONE, NONE, 0, 0, 0, 0) + bytes(4) + struct.pack(">HHIIIII", 1, n, 0, flis + 1, 1, flis, 1) + bytes(8)
     mobi += struct.pack(">IIIIII", NONE, 0, NONE, NONE, 0, ncx_at)
     zero = align4(struct.pack(">HHIHHI", 2, 0, len(raw), n, RECORD, 0) + mobi + head + name)
-    return palm_db([zero, *texts, *ncx, FLIS, fcis(len(raw)), EOF], title, seconds, uid)
+    return palm_db([zero, *texts, *cover, *ncx, FLIS, fcis(len(raw)), EOF], title.encode("utf-8", "replace"), seconds, uid & 0xFFFFFF)
 
 
 def trailing_size(data: bytes, flags: int) -> int:
@@ -205,11 +237,17 @@ def trailing_size(data: bytes, flags: int) -> int:
     return size
 
 
-def read_palm(data: bytes) -> dict:
-    """MOBI and AZW3 without DRM: author and title of EXTH, text of all records, its blocks."""
+def records_of(data: bytes) -> list[bytes]:
+    """The records of a PalmDB file."""
     n = struct.unpack_from(">H", data, 76)[0]
     at = [struct.unpack_from(">I", data, 78 + 8 * k)[0] for k in range(n)] + [len(data)]
-    zero = data[at[0] : at[1]]
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def read_palm(data: bytes) -> dict:
+    """MOBI and AZW3 without DRM: author and title of EXTH, text of all records, its blocks."""
+    records = records_of(data)
+    zero = records[0]
     kind, _, _, n_text = struct.unpack_from(">HHIH", zero)
     metadata: dict[str, str] = {}
     flags = 0
@@ -226,8 +264,7 @@ def read_palm(data: bytes) -> dict:
         if size >= 228:
             flags = struct.unpack_from(">I", zero, 240)[0] & 0xFFFF
     texts = []
-    for k in range(1, min(n_text, n - 2) + 1):
-        record = data[at[k] : at[k + 1]]
+    for record in records[1 : min(n_text, len(records) - 2) + 1]:
         record = record[: len(record) - trailing_size(record, flags)]
         texts.append((decompress(record) if kind == 2 else record).decode("utf-8", "ignore"))
     root = parse("".join(texts))
@@ -236,7 +273,7 @@ def read_palm(data: bytes) -> dict:
     return {"metadata": metadata, "content": basic_blocks(root, False)}
 
 
-def write_azw3(metadata: dict, blocks: list[dict], title: str, seconds: int = 0) -> bytes:
+def write_azw3(metadata: dict, blocks: list[dict], title: str, seconds: int = 0, images: dict | None = None) -> bytes:
     """A KF8 book: one skeleton and chunk a level-1 section, UTF-8 aligned text records."""
     name, author = metadata.get("title", title), metadata.get("author", "Unknown")
     sections: list[list[dict]] = []
@@ -261,15 +298,18 @@ def write_azw3(metadata: dict, blocks: list[dict], title: str, seconds: int = 0)
     aid = b"P-//*[@aid='0000']"
     chunk = [*indx(chunks, [(2, 1, 1, 0), (3, 1, 2, 0), (4, 1, 4, 0), (6, 2, 8, 0)], 1), align4(vwi(len(aid)) + aid)]
     skel = indx(skeletons, [(1, 1, 3, 0), (6, 2, 12, 0)], 0)
-    ncx = ncx_records(toc)
+    cover, ncx, guide = cover_records(images), ncx_records(toc), guide_records()
     first = n + 1
-    c, s, x = first, first + 3, first + 5
-    f = x + len(ncx)
-    head, title_bytes = exth(name, author, metadata), name.encode()
+    c = first + len(cover)
+    s, x = c + 3, c + 5
+    g = x + len(ncx)
+    f = g + len(guide)
+    head, title_bytes = exth(name, author, metadata, len(cover), kf8=True), name.encode()
     mobi = bytearray(264)
     mobi[0:4] = b"MOBI"
-    for offset, value in {4: 264, 8: 2, 12: 65001, 16: uid, 20: 8, 64: first, 68: 16 + 264 + len(head), 72: len(title_bytes), 76: 0x0409, 88: 8, 92: NONE, 112: 0x40, 152: NONE, 176: f, 180: 1, 184: f + 2, 188: 1, 192: f + 1, 196: 1, 208: NONE, 224: 1, 228: x if ncx else NONE, 232: c, 236: s, 240: NONE, 244: NONE}.items():
+    for offset, value in {4: 264, 8: 2, 12: 65001, 16: uid, 20: 8, 64: first, 68: 16 + 264 + len(head), 72: len(title_bytes), 76: 9, 88: 8, 92: first if cover else NONE, 112: 0x40, 148: NONE, 152: NONE, 176: f, 180: 1, 184: f + 2, 188: 1, 192: f + 1, 196: 1, 208: NONE, 216: NONE, 220: NONE, 224: 1, 228: x if ncx else NONE, 232: c, 236: s, 240: NONE, 244: g, 248: NONE, 256: NONE}.items():
         struct.pack_into(">I", mobi, offset, value & NONE)
     mobi[24:64] = b"\xff" * 40
-    zero = align4(struct.pack(">HHIHHI", 2, 0, len(raw), n, RECORD, 0) + bytes(mobi) + head + title_bytes) + bytes(8192)
-    return palm_db([zero, *texts, *chunk, *skel, *ncx, fdst(len(raw)), FLIS, fcis(len(raw)), EOF], name, seconds, uid)
+    zero = struct.pack(">HHIHHI", 2, 0, len(raw), n, RECORD, 0) + bytes(mobi) + head + title_bytes + bytes(8192)
+    records = [zero, *texts, *cover, *chunk, *skel, *ncx, *guide, fdst(len(raw)), FLIS, fcis_kf8(len(raw)), EOF]
+    return palm_db(records, database_name(name), seconds, 2 * len(records) - 1, step=2)

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from quillstream.model import make
+from quillstream.errors import ConfigError, NoRouteError
+from quillstream.model import FIELDS, make
 from quillstream.plans import config, graph
 from quillstream.plans.convert import convert, one_hop, plan, read
 from quillstream.sources import containers, markup, palm
@@ -123,7 +124,7 @@ def test_every_pair_has_a_route_and_runs():
 
 
 def test_html_to_docx_fails_as_documented():
-    with pytest.raises(ValueError):
+    with pytest.raises(NoRouteError):
         one_hop(b"<p>x</p>", "html", "docx", "s", {})
     assert one_hop(b"<p>x</p>", "html", "docx", "s", {"html_to_rich": True})
 
@@ -131,6 +132,9 @@ def test_html_to_docx_fails_as_documented():
 def test_config_layers(tmp_path):
     assert config.DEFAULTS["output"]["filename_pattern"] == "{name}.{ext}"
     (tmp_path / config.FILE).write_text("documents:\n  encoding: latin-1\n")
+    (tmp_path / "bad.yaml").write_text("- a\n")
+    with pytest.raises(ConfigError):
+        config.load(tmp_path / "bad.yaml")
     c = config.Config({"output": {"directory": "u"}}, {"output": {"overwrite": True}})
     src = tmp_path / "a" / "b.txt"
     assert c.get("documents.encoding", source=src) == "latin-1" and c.get("documents.encoding") == "utf-8"
@@ -143,10 +147,102 @@ def test_convert_gives_errors_as_rows(spark):
     assert rows["/d/a.txt"]["result"]["success"] and bytes(rows["/d/a.txt"]["output"]).endswith(b"<p>B</p>\n</body>\n</html>")
     assert rows["/d/a.txt"]["result"]["target_path"] == "/d/a.html"
     assert [rows[p]["result"]["success"] for p in ("/d/b.docx", "/d/c.zzz", "/d/n.txt")] == [False] * 3
+    assert rows["/d/b.docx"]["result"]["target_path"] == "/d/b.html" and rows["/d/c.zzz"]["result"]["target_path"] is None and rows["/d/c.zzz"]["result"]["hops"] == 0
     taken = convert(files.filter("path = '/d/a.txt'"), ["html"], existing=spark.createDataFrame([("/d/a.html",)], "path string")).first()
     assert not taken["result"]["success"] and "exists" in taken["result"]["error"]
 
 
+def test_the_two_writers_of_text_agree(spark):
+    """What runs in Catalyst and what runs within a chain of hops render the same."""
+    from pyspark.sql import functions as F
+
+    from quillstream.operators import render
+    from quillstream.plans.convert import _rtf, _text_page
+
+    blocks = [*BLOCKS, make("text", data="plain"), make("table", headers=["h"], rows=[["1"], ["2"]]), make("list", items=["a", "b"], ordered=True), make("list", items=["c"], ordered=False)]
+    for meta in ({}, {"title": "T & 'x'", "author": "A<b>"}):
+        df = spark.createDataFrame([(meta, blocks)], "metadata map<string,string>, content array<struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">>")
+        m, c = F.col("metadata"), F.col("content")
+        for family, style in render.STYLES.items():
+            row = df.select(render.txt(m, c, family).alias("txt"), render.html(m, c, family).alias("html"), render.md(m, c, family).alias("md")).first()
+            for target in ("txt", "html", "md"):
+                assert row[target] == _text_page({"metadata": meta, "content": blocks}, style, target), (family, target)
+        assert df.select(render.rtf(m, c).alias("x")).first()["x"] == _rtf({"metadata": meta, "content": blocks})
+
+
+def test_plain_text_in_catalyst_gives_what_the_chain_gives(spark):
+    texts = ["A\n\n B & <c> \n\n\n'q' \\{x}", "", "\r\na\rb\r\n\r\nc", "é☃", "\x0bx\x1c"]
+    files = spark.createDataFrame([(f"/d/{k}.txt", bytearray(t.encode())) for k, t in enumerate(texts)] + [("/d/bad.txt", bytearray(b"\xff\xfe"))], "path string, data binary")
+    for target in ("txt", "html", "md", "rtf"):
+        for r in convert(files, [target]).collect():
+            k = r["result"]["source_path"][3:-4]
+            if k == "bad":
+                assert not r["result"]["success"] and "decode" in r["result"]["error"]
+            else:
+                assert bytes(r["output"]) == one_hop(texts[int(k)].encode(), "txt", target, "s", {}), (k, target)
+
+
+def test_settings_of_each_file_and_intermediate_files(spark):
+    files = spark.createDataFrame([("/d/a.md", bytearray(b"# A\n\nB")), ("/d/sub/b.md", bytearray(b"C")), ("/d/sub/deep/c.txt", bytearray(b"C"))], "path string, data binary")
+    got = convert(files, ["azw3", "html"], config={"documents.encoding": "utf-8"}, directories={"/d": {"output.filename_pattern": "{name}-x.{ext}"}, "/d/sub": {"output.directory": "/out/", "documents.title_from_filename": True}}, overrides={"output.overwrite": True}, keep_intermediate=True)
+    rows = {(r["result"]["source_path"], r["result"]["target_path"]): r for r in got.collect()}
+    assert set(rows) == {(f"/d/{s}", f"{o}.{e}") for s, o in (("a.md", "/d/a-x"), ("sub/b.md", "/out/b"), ("sub/deep/c.txt", "/out/c")) for e in ("azw3", "html")}
+    assert palm.read_palm(bytes(rows["/d/sub/b.md", "/out/b.azw3"]["output"]))["metadata"]["title"] == "b"
+    multi = convert(spark.createDataFrame([("/d/a.htm", bytearray(b"<p>x</p>"))], "path string, data binary"), ["epub"], keep_intermediate=True).first()
+    assert [(x["path"], bytes(x["data"])) for x in multi["intermediates"]] == [("/d/a_intermediate.txt", b"x\n\n")]
+
+
+def test_registered_converters_run_on_workers(spark):
+    before = list(graph.CONVERTERS)
+    try:
+        assert graph.register("shout", ["loud"], [".txt"], lambda data, src, dst, stem, cfg: data.upper())
+        assert not graph.register("never", ["a"], ["b"], None, requires=("no_such_module_at_all",))
+        files = spark.createDataFrame([("/d/a.loud", bytearray(b"hey"))], "path string, data binary")
+        rows = {r["result"]["target_path"]: r for r in convert(files, ["txt", "html"]).collect()}
+        assert bytes(rows["/d/a.txt"]["output"]) == b"HEY" and b"<p>HEY</p>" in bytes(rows["/d/a.html"]["output"]) and rows["/d/a.html"]["result"]["hops"] == 2
+    finally:
+        graph.restore(before)
+    assert plan("loud", "txt") is None
+
+
+def test_api_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    import quillstream
+    from quillstream.cli import main
+
+    monkeypatch.setattr("pathlib.Path.home", lambda: tmp_path / "home")
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a b+c.txt").write_text("A\n\nB")
+    (tmp_path / "in" / "sub" / "d.md").write_text("# T\n\nx")
+    (tmp_path / "in" / "sub" / config.FILE).write_text("output:\n  filename_pattern: '{name}_new.{ext}'\n")
+    assert quillstream.convert(tmp_path / "in" / "a b+c.txt", "md") and (tmp_path / "in" / "a b+c.md").read_text() == "A\n\nB\n\n"
+    assert not quillstream.convert(tmp_path / "in" / "a b+c.txt", "md") and quillstream.convert(tmp_path / "in" / "a b+c.txt", "md", overwrite=True)
+    assert not quillstream.convert(tmp_path / "none.txt", "md")
+    main([str(tmp_path / "in" / "a b+c.txt"), str(tmp_path / "in" / "sub" / "d.md"), "-f", "html,azw3", "-o", str(tmp_path / "out"), "-v", "--keep-intermediate"])
+    said = capsys.readouterr().out
+    assert "4 converted, 0 failed" in said and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a b+c.azw3", "a b+c.html", "d_new.azw3", "d_new.html"]
+    main(["--init-config"])
+    assert config.load(tmp_path / "home" / config.USER) == config.DEFAULTS
+    assert quillstream.extract_metadata((tmp_path / "out" / "d_new.azw3").read_bytes(), "azw3")["title"] == "d"
+
+
+def test_covers_pass_through():
+    jpeg = b"\xff\xd8\xff\xe0" + bytes(100)
+    for book in (palm.write_mobi({}, BLOCKS, images={"cover": {"data": jpeg}}), palm.write_azw3({}, BLOCKS, "s", images={"cover": {"data": jpeg}})):
+        records = palm.records_of(book)
+        zero = records[0]
+        assert records[int.from_bytes(zero[108:112], "big")] == jpeg and bytes.fromhex("000000c90000000c00000000") in zero
+        assert pairs(palm.read_palm(book)) == PAIRS
+    assert palm.cover_records({"cover": {"data": b"\x89PNG"}}) == [] and palm.cover_records(None) == []
+
+
+def test_kf8_layout():
+    records = palm.records_of(palm.write_azw3({"title": "T x", "language": "en-GB"}, BLOCKS, "s"))
+    at = lambda k: int.from_bytes(records[0][k : k + 4], "big")
+    assert (at(0x14), at(0x24), at(0x68), at(0x80), at(0xF0)) == (264, 8, 8, 0x40, 1) and records[0][280:284] == b"EXTH"
+    assert [records[at(k)][:4] for k in (0xC0, 0xC8, 0xD0, 0xF4, 0xF8, 0xFC, 0x104)] == [b"FDST", b"FCIS", b"FLIS", *[b"INDX"] * 4]
+    assert len(records[at(0xC8)]) == 52 and records[-1] == palm.EOF and b"text" in records[at(0x104) + 1]
+
+
 def test_stream_converts_what_arrives(spark, tmp_path):
     from quillstream.streaming.files import convert_stream
 
