@@ -231,6 +231,16 @@ def rich_html(metadata: Column, content: Column, images: Column | None = None) -
     return _page(metadata, F.transform(content, one), Style(html_title=True, html_intro=True))
 
 
+def pdf_run(b: Column) -> Column:
+    """Markup of a run as PDF paragraph writers take it, bold innermost and the size outermost."""
+    out = escape_html(b["data"])
+    for key, tag in (("bold", "b"), ("italic", "i"), ("underline", "u")):
+        out = _wrapped(out, b[key], f"<{tag}>", f"</{tag}>")
+    font = lambda key, flag: F.when(F.coalesce(flag, F.lit(False)), F.concat(F.lit(f'<font {key}="'), b[key].cast("string"), F.lit('">'), out, F.lit("</font>"))).otherwise(out)
+    out = font("color", b["color"] != "")
+    return font("size", b["size"] != 0)
+
+
 def rtf(metadata: Column, content: Column) -> Column:
     def info(key: str) -> Column:
         return F.when(has(metadata, key), F.concat(F.lit("{\\" + key + " "), escape_rtf(metadata[key]), F.lit("}")))

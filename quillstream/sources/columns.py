@@ -7,31 +7,39 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from quillstream import model
 from quillstream.sources import containers, palm
 
 
 def read_documents(files: DataFrame, fmt: str, *, data_col: str = "data", keep: tuple[str, ...] = ("path",), target: str = "txt") -> DataFrame:
-    """``keep`` columns, metadata, content and error; a file that can't be read has its error."""
+    """``keep`` columns, metadata, content and error; a file that is null or can't be read has its error."""
     kinds = dict(files.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", metadata map<string,string>, content {model.CONTENT}, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         from quillstream.plans.convert import read
 
-        for pdf in batches:
-            docs = []
-            for data in pdf[data_col]:
-                try:
-                    doc = read(fmt, bytes(data), target)
-                    docs.append((doc["metadata"], doc["content"], None))
-                except Exception as e:  # noqa: BLE001 - a file's error is its result
-                    docs.append(({}, [], str(e) or type(e).__name__))
-            meta, content, error = zip(*docs) if docs else ((), (), ())
-            yield pdf[list(keep)].assign(metadata=list(meta), content=list(content), error=list(error))
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                docs = []
+                for data in batch.column(len(keep)).to_pylist():
+                    try:
+                        if data is None:
+                            raise ValueError("no data")
+                        doc = read(fmt, data, target)
+                        docs.append((list(doc["metadata"].items()), doc["content"], None))
+                    except Exception as e:  # noqa: BLE001 - a file's error is its result
+                        docs.append(([], [], str(e) or type(e).__name__))
+                made = [pa.array(x, t) for x, t in zip(zip(*docs), kinds_out)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "metadata", "content", "error"])
 
-    return files.select(*keep, data_col).mapInPandas(run, schema)
+    kinds_out = [to_arrow_type(x.dataType) for x in StructType.fromDDL(schema).fields[len(keep) :]]
+    return files.select(*keep, data_col).mapInArrow(run, schema)
 
 
 def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path",), title: str = "Unknown") -> DataFrame:
@@ -39,21 +47,16 @@ def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path
     kinds = dict(docs.dtypes)
     write = {"epub": containers.write_epub, "fb2": containers.write_fb2, "docx": containers.write_docx, "pdf": containers.write_pdf, "azw3": palm.write_azw3, "mobi": lambda m, b, _: palm.write_mobi(m, b)}[fmt]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for meta, content in zip(pdf["metadata"], pdf["content"]):
-                blocks = [_plain(b if isinstance(b, dict) else b.asDict(True)) for b in content]
-                out.append(write(dict(meta or {}), blocks, title))
-            yield pdf[list(keep)].assign(output=out)
-
-    return docs.select(*keep, "metadata", "content").mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", output binary")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                metadata, content = (batch.column(len(keep) + k).to_pylist() for k in (0, 1))
+                out = [write(dict(m or ()), list(blocks or ()), title) for m, blocks in zip(metadata, content)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "output"])
 
-def _plain(b: dict) -> dict:
-    """A block with whole numbers as such (nulls beside them make floats of them in Arrow's way out)."""
-    whole = {k: int(b[k]) for k in ("level", "size") if b[k] is not None and b[k] == b[k]}
-    return b | {"level": None, "size": None} | whole
+    return docs.select(*keep, "metadata", "content").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", output binary")
 
 
 def palm_compress(data: Column) -> Column:

@@ -470,7 +470,7 @@ def write_pdf(metadata: dict, blocks: list[dict], title: str = "Unknown", second
     return bytes(out)
 
 
-_OBJ = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)(?:stream\r?\n(.*?)\r?\nendstream\s*)?endobj", re.S)
+_OBJ = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)(?:(stream\r?\n)|endobj)", re.S)
 _STR = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(T\*|Tj|TJ|Td|TD|Tm|'|\")", re.S)
 _ESC = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
@@ -498,11 +498,30 @@ def _pdf_text(ops: bytes) -> str:
     return "".join(out).rstrip("\n")
 
 
+def _pdf_objects(data: bytes) -> dict[int, tuple[bytes, bytes | None]]:
+    """Head and stream of every object; a stream is as long as its head says, or else up to its end mark."""
+    out: dict[int, tuple[bytes, bytes | None]] = {}
+    at = 0
+    while m := _OBJ.search(data, at):
+        at, body = m.end(), None
+        if m[3]:
+            size = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", m[2])
+            end = data.find(b"endstream", at + (int(size[1]) if size else 0))
+            body = data[at : at + int(size[1])] if size else data[at : end if end >= 0 else len(data)]
+            at = end if end >= 0 else len(data)
+        out[int(m[1])] = (m[2], body)
+    return out
+
+
+def _inflated(body: bytes) -> bytes:
+    return zlib.decompressobj().decompress(body)
+
+
 def read_pdf(data: bytes, by_line: bool = False) -> dict:
     """A paragraph a page (or a line) of simple-font, Flate-coded text; metadata of the info object."""
     if b"/Encrypt" in data:
         raise ValueError("encrypted PDF files can't be read")
-    objects = {int(m[1]): (m[2], m[3]) for m in _OBJ.finditer(data)}
+    objects = _pdf_objects(data)
     if not objects:
         raise ValueError("not a PDF file this reader understands")
     ref = lambda body, key: re.search(rb"/" + key + rb"\s*\[?((?:\s*\d+\s+\d+\s+R)+)", body)
@@ -518,7 +537,7 @@ def read_pdf(data: bytes, by_line: bool = False) -> dict:
         parts = []
         for c in ids(ref(objects.get(p, (b"", None))[0], b"Contents")):
             head, body = objects.get(c, (b"", None))
-            parts.append(zlib.decompress(body) if body and b"FlateDecode" in head else body or b"")
+            parts.append(_inflated(body) if body and b"FlateDecode" in head else body or b"")
         texts.append(_pdf_text(b"\n".join(parts)))
     m = re.search(rb"/Info\s+(\d+)", data)
     info = objects.get(int(m[1]), (b"", None))[0] if m else b""

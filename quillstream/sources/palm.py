@@ -220,6 +220,42 @@ def write_mobi(metadata: dict, blocks: list[dict], seconds: int = 0, images: dic
     return palm_db([zero, *texts, *cover, *ncx, FLIS, fcis(len(raw)), EOF], title.encode("utf-8", "replace"), seconds, uid & 0xFFFFFF)
 
 
+def index_of(records: list[bytes], k: int) -> list[tuple[bytes, dict[int, list[int]]]]:
+    """Labels and tag values of the index whose header is record ``k``: its tag table, entry offsets and number codes."""
+    head, out = records[k], []
+    at = head.index(b"TAGX")
+    size = struct.unpack_from(">I", head, at + 4)[0]
+    tags = [tuple(head[j : j + 4]) for j in range(at + 12, at + size, 4)]
+    for rec in records[k + 1 : k + 1 + struct.unpack_from(">I", head, 24)[0]]:
+        end, n = struct.unpack_from(">II", rec, 20)
+        for j in range(n):
+            at = struct.unpack_from(">H", rec, end + 4 + 2 * j)[0]
+            label, at = rec[at + 1 : at + 1 + rec[at]], at + 1 + rec[at]
+            control, at = rec[at], at + 1
+            values: dict[int, list[int]] = {}
+            for tag, width, mask, last in tags:
+                if last or not control & mask:
+                    continue
+                times = (control & mask) >> ((mask & -mask).bit_length() - 1) if mask & (mask - 1) else 1
+                for _ in range(width * times):
+                    value = 0
+                    while not rec[at] & 0x80:
+                        value, at = value << 7 | rec[at], at + 1
+                    value, at = value << 7 | rec[at] & 0x7F, at + 1
+                    values.setdefault(tag, []).append(value)
+            out.append((label, values))
+    return out
+
+
+def string_at(record: bytes, at: int) -> bytes:
+    """The length-prefixed string at an offset of a string record."""
+    n = 0
+    while not record[at] & 0x80:
+        n, at = n << 7 | record[at], at + 1
+    n, at = n << 7 | record[at] & 0x7F, at + 1
+    return record[at : at + n]
+
+
 def trailing_size(data: bytes, flags: int) -> int:
     """Bytes at a text record's end that aren't text."""
     size = 0

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillstream import format_queries, queries  # noqa: F401
+from quillstream import detail_queries, format_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
