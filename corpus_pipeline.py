@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import ngram_join, packing, pu_classifier, rules
-from quillstream.llm.common import row_key, stored, unused
+from quillstream.llm.common import release, row_key, stored, unused
 from quillstream.llm.queries import table, tokenizer_path
 
 THRESHOLD = 0.3
@@ -57,11 +57,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what each but the last keeps is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, "stage")
+            before, kept = kept, stored(docs, "stage")
+            docs = kept
+            if before is not None:
+                release(before)
     return docs
 
 
