@@ -43,9 +43,14 @@ def read_documents(files: DataFrame, fmt: str, *, data_col: str = "data", keep:
 
 
 def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path",), title: str = "Unknown") -> DataFrame:
-    """``keep`` columns and output: bytes of each document (metadata, content) in a format."""
+    """``keep`` columns and output: bytes of each document (metadata, content) in a format.
+
+    A column ``images`` (map of a name to a struct with ``data``), where there is one, has the
+    pictures of image blocks (DOCX, PDF) and the cover (MOBI, AZW3).
+    """
     kinds = dict(docs.dtypes)
-    write = {"epub": containers.write_epub, "fb2": containers.write_fb2, "docx": containers.write_docx, "pdf": containers.write_pdf, "azw3": palm.write_azw3, "mobi": lambda m, b, _: palm.write_mobi(m, b)}[fmt]
+    pictured = "images" in docs.columns and fmt in ("docx", "pdf", "mobi", "azw3")
+    write = {"epub": containers.write_epub, "fb2": containers.write_fb2, "docx": containers.write_docx, "pdf": containers.write_pdf, "azw3": palm.write_azw3, "mobi": lambda m, b, _, **more: palm.write_mobi(m, b, **more)}[fmt]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -53,10 +58,11 @@ def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path
         for whole in batches:
             for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
                 metadata, content = (batch.column(len(keep) + k).to_pylist() for k in (0, 1))
-                out = [write(dict(m or ()), list(blocks or ()), title) for m, blocks in zip(metadata, content)]
+                images = batch.column(len(keep) + 2).to_pylist() if pictured else [None] * len(content)
+                out = [write(dict(m or ()), list(blocks or ()), title, **({"images": dict(i or ())} if pictured else {})) for m, blocks, i in zip(metadata, content, images)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "output"])
 
-    return docs.select(*keep, "metadata", "content").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", output binary")
+    return docs.select(*keep, "metadata", "content", *["images"] * pictured).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", output binary")
 
 
 def palm_compress(data: Column) -> Column:

@@ -250,6 +250,33 @@ def read_odt(data: bytes) -> dict:
     return {"metadata": metadata, "content": content}
 
 
+# --- pictures -------------------------------------------------------------------------------------
+
+
+def picture_size(data: bytes) -> tuple[str, int, int] | None:
+    """(jpeg or png, width, height) of a picture, None for anything else."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
+        return "png", int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    at = 2
+    while data[:3] == b"\xff\xd8\xff" and at + 9 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return "jpeg", int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 1 if kind == 0xFF else 2 + size
+    return None
+
+
+def _pictures(blocks: list[dict], images: dict | None) -> dict[str, tuple[bytes, str, int, int]]:
+    """The pictures that image blocks name and that are there, by name: data, kind, width, height."""
+    out = {}
+    for b in blocks:
+        held = (images or {}).get(b["name"]) if b["type"] == "image" else None
+        data = bytes((held or {}).get("data") or b"")
+        if held and (size := picture_size(data)) and size[1] and size[2]:
+            out[b["name"]] = (data, *size)
+    return out
+
+
 # --- DOCX -----------------------------------------------------------------------------------------
 
 _CORE = "http://schemas.openxmlformats.org/package/2006/metadata/core-properties"
@@ -262,8 +289,20 @@ def _wp(text: str, style: str = "", props: str = "") -> str:
     return f'<w:p>{lead}<w:r>{f"<w:rPr>{props}</w:rPr>" if props else ""}<w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
 
 
-def write_docx(metadata: dict, blocks: list[dict], title: str = "Unknown", seconds: int = 0) -> bytes:
-    out = []
+def _wpicture(k: int, name: str, wide: int, high: int) -> str:
+    """A picture four inches wide, in a paragraph of its own."""
+    cx = 4 * 914_400
+    a, pic = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/picture"
+    size = f'cx="{cx}" cy="{cx * high // wide}"'
+    shape = f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"/></pic:spPr>'
+    inner = f'<pic:pic xmlns:pic="{pic}"><pic:nvPicPr><pic:cNvPr id="{k}" name="{escape(name)}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="rIdP{k}" xmlns:r="{_OFF}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>{shape}</pic:pic>'
+    drawing = f'<wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent {size}/><wp:docPr id="{k}" name="{escape(name)}"/><a:graphic xmlns:a="{a}"><a:graphicData uri="{pic}">{inner}</a:graphicData></a:graphic></wp:inline>'
+    return f"<w:p><w:r><w:drawing>{drawing}</w:drawing></w:r></w:p>"
+
+
+def write_docx(metadata: dict, blocks: list[dict], title: str = "Unknown", seconds: int = 0, images: dict | None = None) -> bytes:
+    out, pictures = [], _pictures(blocks, images)
+    number = {name: k for k, name in enumerate(pictures, 1)}
     for b in blocks:
         data = b["data"] or ""
         if b["type"] == "heading":
@@ -285,18 +324,23 @@ def write_docx(metadata: dict, blocks: list[dict], title: str = "Unknown", secon
             out += [_wp(x, "ListNumber" if b["ordered"] else "ListBullet") for x in b["items"] or []]
         elif b["type"] == "link":
             out.append(_wp(f"{data} ({b['url']})", "", '<w:color w:val="0000FF"/>'))
+        elif b["type"] == "image" and b["name"] in pictures:
+            _, _, wide, high = pictures[b["name"]]
+            out.append(_wpicture(number[b["name"]], b["name"], wide, high))
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{k}"><w:name w:val="heading {k}"/></w:style>' for k in range(1, 10))
     styles += "".join(f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in (("ListBullet", "List Bullet"), ("ListNumber", "List Number")))
     m = {"title": metadata.get("title", title), "creator": metadata.get("author", ""), "subject": metadata.get("subject", "")}
     core = "".join(f"<dc:{k}>{escape(v)}</dc:{k}>" for k, v in m.items() if v)
+    linked = "".join(f'<Relationship Id="rIdP{number[n]}" Type="{_OFF}/image" Target="media/image{number[n]}.{kind}"/>' for n, (_, kind, _, _) in pictures.items())
     types = "".join(f'<Override PartName="{p}" ContentType="application/vnd.openxmlformats-{c}+xml"/>' for p, c in (("/word/document.xml", "officedocument.wordprocessingml.document.main"), ("/word/styles.xml", "officedocument.wordprocessingml.styles"), ("/docProps/core.xml", "package.core-properties")))
     return _zip([
-        ("[Content_Types].xml", f'{XML}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>', True),
+        ("[Content_Types].xml", f'{XML}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/><Default Extension="jpeg" ContentType="image/jpeg"/>{types}</Types>', True),
         ("_rels/.rels", f'{XML}<Relationships xmlns="{_REL}"><Relationship Id="rId1" Type="{_OFF}/officeDocument" Target="word/document.xml"/><Relationship Id="rId2" Type="{_REL}/metadata/core-properties" Target="docProps/core.xml"/></Relationships>', True),
-        ("word/_rels/document.xml.rels", f'{XML}<Relationships xmlns="{_REL}"><Relationship Id="rId1" Type="{_OFF}/styles" Target="styles.xml"/></Relationships>', True),
+        ("word/_rels/document.xml.rels", f'{XML}<Relationships xmlns="{_REL}"><Relationship Id="rId1" Type="{_OFF}/styles" Target="styles.xml"/>{linked}</Relationships>', True),
         ("word/document.xml", f'{XML}<w:document xmlns:w="{W}"><w:body>{"".join(out)}<w:sectPr/></w:body></w:document>', True),
         ("word/styles.xml", f'{XML}<w:styles xmlns:w="{W}">{styles}</w:styles>', True),
         ("docProps/core.xml", f'{XML}<cp:coreProperties xmlns:cp="{_CORE}" xmlns:dc="{DC}">{core}</cp:coreProperties>', True),
+        *((f"word/media/image{number[n]}.{kind}", data, False) for n, (data, kind, _, _) in pictures.items()),
     ])
 
 
@@ -416,11 +460,31 @@ def _lines(text: str, size: float, width: float) -> list[str]:
     return out
 
 
-def write_pdf(metadata: dict, blocks: list[dict], title: str = "Unknown", seconds: int = 0, page_size: str = "A4") -> bytes:
-    """A PDF 1.4 text document in Helvetica (Latin-1; other signs become ``?``)."""
+def _pdf_picture(data: bytes, kind: str, wide: int, high: int) -> bytes | None:
+    """An image object: a JPEG as it is, a PNG's data where PDF has the same coding (8 bits, no alpha, no interlace)."""
+    head = b"/Type/XObject/Subtype/Image/Width %d/Height %d/BitsPerComponent 8" % (wide, high)
+    if kind == "jpeg":
+        marker = next((k for k in range(2, len(data) - 9) if data[k] == 0xFF and 0xC0 <= data[k + 1] <= 0xCF and data[k + 1] not in (0xC4, 0xC8, 0xCC)), None)
+        colors = {1: b"/DeviceGray", 3: b"/DeviceRGB", 4: b"/DeviceCMYK"}.get(data[marker + 9] if marker else 3, b"/DeviceRGB")
+        return b"<<%s/ColorSpace%s/Filter/DCTDecode/Length %d>>stream\n%s\nendstream" % (head, colors, len(data), data)
+    if data[24] != 8 or data[25] not in (0, 2) or data[28]:
+        return None
+    parts, at = [], 8
+    while at + 8 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if data[at + 4 : at + 8] == b"IDAT":
+            parts.append(data[at + 8 : at + 8 + size])
+        at += 12 + size
+    n, body = (3 if data[25] else 1), b"".join(parts)
+    return b"<<%s/ColorSpace%s/Filter/FlateDecode/DecodeParms<</Predictor 15/Colors %d/BitsPerComponent 8/Columns %d>>/Length %d>>stream\n%s\nendstream" % (head, b"/DeviceRGB" if n == 3 else b"/DeviceGray", n, wide, len(body), body)
+
+
+def write_pdf(metadata: dict, blocks: list[dict], title: str = "Unknown", seconds: int = 0, page_size: str = "A4", images: dict | None = None) -> bytes:
+    """A PDF 1.4 text document in Helvetica (Latin-1; other signs become ``?``); pictures four inches wide."""
     w, h = _SIZES.get(page_size, _SIZES["A4"])
     margin = 72
-    flow: list[tuple[str, float, float]] = []  # line, font size, space after
+    flow: list[tuple] = []  # line, font size, space after; or a picture's name, its height, space after
+    shown = {n: (o, high * 288 / wide) for n, (data, kind, wide, high) in _pictures(blocks, images).items() if (o := _pdf_picture(data, kind, wide, high))}
 
     def add(text: str, size: float, after: float) -> None:
         rows = _lines(text, size, w - 2 * margin)
@@ -444,8 +508,18 @@ def write_pdf(metadata: dict, blocks: list[dict], title: str = "Unknown", second
                 add(f"{k}. {x}" if b["ordered"] else f"\u2022 {x}", 11, 2)
         elif b["type"] == "link":
             add(f"{data} ({b['url']})", 11, 8)
+        elif b["type"] == "image" and b["name"] in shown:
+            flow.append((list(shown).index(b["name"]), min(shown[b["name"]][1], h - 2 * margin), 14.4))
     pages, now, y = [], [], h - margin
     for line, size, after in flow:
+        if isinstance(line, int):
+            if y - size < margin and now:
+                pages.append(now)
+                now, y = [], h - margin
+            y -= size
+            now.append(b"ET q 288 0 0 %.1f %d %.1f cm /P%d Do Q BT" % (size, margin, y, line))
+            y -= after
+            continue
         if y - size * 1.2 < margin:
             pages.append(now)
             now, y = [], h - margin
@@ -455,10 +529,11 @@ def write_pdf(metadata: dict, blocks: list[dict], title: str = "Unknown", second
         y -= after
     pages.append(now)
     info = b"".join(b"/%s (%s)" % (k, metadata[n].encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")) for k, n in ((b"Title", "title"), (b"Author", "author"), (b"Subject", "subject")) if metadata.get(n))
-    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(len(pages)))), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>", b"<<%s>>" % info]
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + len(shown) + 2 * k) for k in range(len(pages)))), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>", b"<<%s>>" % info, *(o for o, _ in shown.values())]
+    named = b"/XObject<<%s>>" % b"".join(b"/P%d %d 0 R" % (k, 5 + k) for k in range(len(shown))) if shown else b""
     for k, ops in enumerate(pages):
         body = zlib.compress(b"BT\n" + b"\n".join(ops) + b"\nET")
-        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 %d %d]/Resources<</Font<</F1 3 0 R>>>>/Contents %d 0 R>>" % (w, h, 6 + 2 * k))
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 %d %d]/Resources<</Font<</F1 3 0 R>>%s>>/Contents %d 0 R>>" % (w, h, named, 6 + len(shown) + 2 * k))
         objects.append(b"<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream" % (len(body), body))
     out, at = bytearray(b"%PDF-1.4\n"), []
     for k, o in enumerate(objects, 1):

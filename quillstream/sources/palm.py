@@ -22,12 +22,10 @@ def compress(data: bytes) -> bytes:
     while i < n:
         size = gap = 0
         if i >= 3:
-            low = max(0, i - 256)
-            for want in range(min(10, n - i), 2, -1):  # the longest match, the nearest of these
-                at = data.rfind(data[i : i + want], low, i)
-                if at >= 0:
-                    size, gap = want, i - at
-                    break
+            low, want, most = max(0, i - 256), 3, min(10, n - i)
+            while want <= most and (at := data.rfind(data[i : i + want], low, i)) >= 0:  # the longest match, the nearest of these
+                size, gap = want, i - at
+                want += 1
         if size:
             out += struct.pack(">H", 0x8000 | gap << 3 | size - 3)
             i += size

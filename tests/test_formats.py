@@ -235,6 +235,50 @@ def test_covers_pass_through():
     assert palm.cover_records({"cover": {"data": b"\x89PNG"}}) == [] and palm.cover_records(None) == []
 
 
+def png(wide, high):
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + bytes((k, 128, 255 - k)) * wide for k in range(high))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_pictures_go_into_documents(spark):
+    import io
+    import zipfile
+    from xml.etree import ElementTree as ET
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + bytes(10) + b"\xff\xc0\x00\x11\x08\x00\x20\x00\x40\x03" + bytes(9) + b"\xff\xd9"
+    assert containers.picture_size(jpeg) == ("jpeg", 64, 32) and containers.picture_size(png(3, 2)) == ("png", 3, 2) and containers.picture_size(b"GIF89a") is None
+    images = {"a": {"data": jpeg}, "b": {"data": png(3, 2)}, "c": {"data": b"GIF89a"}}
+    blocks = [make("paragraph", data="x"), *[make("image", name=n) for n in ("a", "b", "c", "none")], make("paragraph", data="y")]
+    with zipfile.ZipFile(io.BytesIO(containers.write_docx({}, blocks, "s", images=images))) as z:
+        assert {n: z.read(n) for n in z.namelist() if "media" in n} == {"word/media/image1.jpeg": jpeg, "word/media/image2.png": png(3, 2)}
+        links = [e.get("Target") for e in ET.fromstring(z.read("word/_rels/document.xml.rels"))]
+        body = z.read("word/document.xml").decode()
+    assert links == ["styles.xml", "media/image1.jpeg", "media/image2.png"] and body.count("<pic:pic ") == 2 and 'cx="3657600" cy="1828800"' in body
+    pdf = containers.write_pdf({}, blocks, images=images)
+    objects = containers._pdf_objects(pdf)
+    assert objects[5][1] == jpeg and b"/Width 3/Height 2" in objects[6][0] and b"/P1 6 0 R" in pdf
+    assert containers.read_pdf(pdf)["content"][0]["data"] == "x\ny"
+    df = spark.createDataFrame([(1, {}, blocks, {"a": (jpeg,)})], "k int, metadata map<string,string>, content array<struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">>, images map<string,struct<data:binary>>")
+    from quillstream.sources import columns
+
+    out = bytes(columns.write_documents(df, "docx", keep=("k",)).first()["output"])
+    assert zipfile.ZipFile(io.BytesIO(out)).read("word/media/image1.jpeg") == jpeg
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    from quillstream.sources import columns
+
+    ids = [2**53 + 1, None, 2**53 + 3]
+    files = spark.createDataFrame([(i, bytearray(b"<p>x</p>")) for i in ids] + [(5, None)], "k long, data binary")
+    docs = columns.read_documents(files.coalesce(1), "html", keep=("k",))
+    assert [r["k"] for r in docs.collect()] == [*ids, 5] and docs.filter("k = 5").first()["error"] == "no data"
+    assert [r["k"] for r in columns.write_documents(docs, "fb2", keep=("k",)).collect()] == [*ids, 5]
+
+
 def test_kf8_layout():
     records = palm.records_of(palm.write_azw3({"title": "T x", "language": "en-GB"}, BLOCKS, "s"))
     at = lambda k: int.from_bytes(records[0][k : k + 4], "big")
