@@ -174,15 +174,14 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
 def verify(members: DataFrame, pool: DataFrame, *, n: int, threshold: float, block: int) -> DataFrame:
     """Links among the members of each anchor, by their whole texts.
 
-    ``members``: anchor, cls, met (lists of sorted anchors; a pair that shares one in lists of one
+    ``members``: anchor, size (how many members it has), cls, met (lists of sorted anchors; a pair that shares one in lists of one
     place isn't counted here); ``pool``: cls, class_size, text. Gives, for members with links, cls,
     links, near (links weighted with class sizes) and root (a fellow of the same connected part),
     and rows with a null cls whose ``bins`` count links by similarity.
     """
-    sized = members.join(members.groupBy("anchor").agg(F.count("*").alias("_n")), "anchor")
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    placed = sized.select("anchor", "cls", "met", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = members.select("anchor", "cls", "met", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select("anchor", "cls", "met", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,14 +274,13 @@ def ngram_join(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, trees: in
         else:
             known = own.join(met, "cls", "left").withColumn("met", F.coalesce("met", F.array_repeat(F.array().cast("array<long>"), len(deeper) - 1)))
         asked = known.select(F.explode("mine").alias("anchor"), "cls", "mine", "met")
+        size = asked.groupBy("anchor").agg(F.count("*").alias("size"))
         if met is not None:  # anchors with a common earlier anchor of all members have nothing new
             tags = asked.select("anchor", F.posexplode("met").alias("_k", "_tags")).select("anchor", "_k", F.explode("_tags").alias("_tag"))
             most = tags.groupBy("anchor", "_k", "_tag").agg(F.count("*").alias("_n")).groupBy("anchor").agg(F.max("_n").alias("_most"))
-            size = asked.groupBy("anchor").agg(F.count("*").alias("_n"))
-            done = size.join(most, "anchor").filter("_most = _n").select("anchor")
-            asked = asked.join(done, "anchor", "left_anti")
+            size = size.join(most, "anchor", "left").filter("coalesce(_most, 0) < size").select("anchor", "size")
         before = F.filter("mine", lambda x: x < F.col("anchor"))
-        asked = asked.select("anchor", "cls", F.concat("met", F.array(before)).alias("met"))
+        asked = asked.join(size, "anchor").select("anchor", "size", "cls", F.concat("met", F.array(before)).alias("met"))
         got = stored(verify(asked, pool, n=n, threshold=threshold, block=block), "links")
         for r in got.filter("cls is null").select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
             bins[r["k"]] += r["n"]

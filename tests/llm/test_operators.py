@@ -462,6 +462,44 @@ def test_op6_deep_and_broken_markup_is_linear(spark):
     assert [(r["page_id"], r["text"]) for r in got] == [(1, "a"), (2, "")]
 
 
+def brute_table(rows, pad):
+    """Every column and every taken place one by one, then characters on a canvas."""
+    taken, cells, edges = set(), [], set()
+    for r, row in enumerate(rows):
+        c = 0
+        for lines, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(i, c + j) for i in range(r, min(len(rows), r + down)) for j in range(across)}
+            cells.append((r, c, c + across, lines))
+            edges |= {c, c + across}
+            c += across
+    column = {c: k for k, c in enumerate(sorted(edges))}
+    size = lambda lines: max((len(x) for x in lines if len(x) <= pad), default=0)
+    width = [max([size(x) for _, a, b, x in cells if column[a] == k and column[b] == k + 1], default=0) for k in range(len(column))]
+    for _, a, b, lines in cells:
+        if column[b] > column[a] + 1:
+            have = sum(width[column[a] : column[b]]) + 2 * (column[b] - column[a] - 1)
+            width[column[b] - 1] += max(0, size(lines) - have)
+    out = []
+    for r in range(len(rows)):
+        mine = [x for x in cells if x[0] == r]
+        for k in range(max((len(x[3]) for x in mine), default=0)):
+            line = ""
+            for _, a, _, lines in mine:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(max(sum(width[: column[a]]) + 2 * column[a], len(line) + 2 if line else 0)) + lines[k]
+            out.append(line)
+    return out
+
+
+def test_op6_tables_against_brute_force():
+    rng = random.Random(17)
+    for _ in range(400):
+        rows = [[([rng.choice(["", "a", "bcd", "efghi jk", "x" * 12]) for _ in range(rng.randint(1, 2))], rng.choice([1, 1, 1, 2, 4]), rng.choice([1, 1, 2, 3])) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(0, 6))]
+        assert html_layout.lay_out(rows, 10) == brute_table(rows, 10), rows
+
+
 @pytest.mark.parametrize("rows,down", [(2000, 65534), (2000, 1000), (50, 3)])
 def test_op6_wide_spans_cost_no_more_than_their_cells(rows, down):
     text = html_layout.render("<table>" + f"<tr><td colspan=1000 rowspan={down}>a" * rows + "</table>")
