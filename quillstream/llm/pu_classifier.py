@@ -5,11 +5,11 @@ prior is estimated from these two alone: rows labelled 0 play no part. The model
 a fixed set of surface features that Spark's built-in expressions compute, so scoring is one
 projection: no Python sees a text.
 
-The prior is the share of positives among unlabelled rows. A first model is fitted to tell positives
-from unlabelled text on one half of the sample; on the other half, the share of unlabelled rows
-above a score is at least prior x the share of positives above it, with equality where only
-positives lie. So the least ratio of the two over all thresholds, with the binomial errors of both
-shares added, bounds the prior (best-bin estimation).
+The prior is the share of positives among unlabelled rows. First models are fitted to tell positives
+from unlabelled text, each on four fifths of the sample, and score the fifth that they haven't seen.
+The share of unlabelled rows above a score is at least prior x the share of positives above it, with
+equality where only positives lie. The estimate is the ratio of the two at the threshold where it is
+least once both shares' errors are added (best-bin estimation).
 
 Training reads a bounded sample (a documented bound, the same at every size): at most ``sample``
 positive rows and ``sample`` unlabelled rows, those with the least hash of id and text. Rows of the
@@ -185,23 +185,34 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, roun
     return Model(tuple(tuple(k.tolist()) for k in knots), tuple(weights), bias, prior)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, from features of both, within [0.05, 0.999]."""
-    knots = choose_knots(np.concatenate([positive, unlabelled]))
-    (fit_p, try_p), (fit_u, try_u) = ((hats(x[::2], knots), hats(x[1::2], knots)) for x in (positive, unlabelled))
-    if min(map(len, (fit_p, try_p, fit_u, try_u))) < 5:
-        return 0.5  # too few rows to tell
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = fit_p @ w[:-1] + w[-1], fit_u @ w[:-1] + w[-1]
-        a, b = (_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2
-        return np.append(fit_p.T @ a + fit_u.T @ b + 1e-3 * w[:-1], a.sum() + b.sum())
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, keys: tuple[np.ndarray, np.ndarray] | None = None, parts: int = 5) -> float:
+    """Share of positives among unlabelled rows, from features of both, within [0.05, 0.999].
 
-    w = _descend(gradient, fit_p.shape[1] + 1, rounds=300, rate=0.1, settled=0.02)
-    zp, zu = np.sort(try_p @ w[:-1]), np.sort(try_u @ w[:-1])
+    ``keys`` numbers the rows of both: a row that is in both must not score itself, so rows of one
+    number fall in one part.
+    """
+    if min(len(positive), len(unlabelled)) < 5 * parts:
+        return 0.5  # too few rows to tell
+    knots = choose_knots(np.concatenate([positive, unlabelled]))
+    p, u = (np.column_stack([hats(x, knots), np.ones(len(x))]) for x in (positive, unlabelled))
+    part_p, part_u = (k % parts for k in keys or (np.arange(len(p)), np.arange(len(u))))
+    loss = np.append(np.full(p.shape[1] - 1, 1e-3), 0.0)
+    zp, zu = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(parts):  # each row is scored by a model that hasn't seen it
+        fit_p, fit_u = p[part_p != k], u[part_u != k]
+        if not len(fit_p) or not len(fit_u):
+            return 0.5
+
+        def gradient(w: np.ndarray) -> np.ndarray:
+            a, b = (_sigmoid(fit_p @ w) - 1) / len(fit_p) / 2, _sigmoid(fit_u @ w) / len(fit_u) / 2  # noqa: B023
+            return fit_p.T @ a + fit_u.T @ b + loss * w  # noqa: B023
+
+        w = _descend(gradient, p.shape[1], rounds=300, rate=0.1, settled=0.02)
+        zp[part_p == k], zu[part_u == k] = p[part_p == k] @ w, u[part_u == k] @ w
+    zp, zu = np.sort(zp), np.sort(zu)
     cuts = np.unique(np.quantile(zp, np.linspace(0, 0.9, 181)))
     above_p, above_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
-    error = np.sqrt(np.log(40) / 2 / len(zp)) + np.sqrt(np.log(40) / 2 / len(zu))  # of both shares
+    error = sum(np.sqrt(np.log(40) / 2 / n) for n in (len(zp), len(zu)))  # Hoeffding's bound for either share
     best = int(((above_u + error) / above_p).argmin())
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.999))
 
@@ -223,16 +234,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, folds: in
     order = F.xxhash64("doc_id", "text", F.lit(11))
     share = min(1.0, 1.2 * (sample + 500) / n)  # rows of a hash range: more than the sample, by little
     some = base.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
-    x, y = [], []
+    x, y, keys = [], [], []
     for mark, rows in ((1, base.join(F.broadcast(few), "doc_id")), (0, some)):
         got = rows.select(features(F.col("text")).alias("f"), order.alias("h")).orderBy("h").limit(sample).collect()
         x += [r["f"] for r in got]
+        keys += [r["h"] for r in got]
         y += [mark] * len(got)
     x, y = np.array(x, dtype=float).reshape(-1, len(FEATURES)), np.array(y, dtype=int)
     positive, unlabelled = x[y == 1], x[y == 0]
     if not len(positive) or not len(unlabelled):
         return CONSTANT
-    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
+    keys = np.array(keys, dtype=np.int64)
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled, (keys[y == 1], keys[y == 0])))
 
 
 def score_of(text: Column, model: Model) -> Column:
