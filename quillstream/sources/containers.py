@@ -546,27 +546,67 @@ def write_pdf(metadata: dict, blocks: list[dict], title: str = "Unknown", second
 
 
 _OBJ = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)(?:(stream\r?\n)|endobj)", re.S)
-_STR = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(T\*|Tj|TJ|Td|TD|Tm|'|\")", re.S)
+_STR = re.compile(rb"\(((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*)\)|<([0-9A-Fa-f\s]+)>|/([^\s/<>\[\]()]+)\s+[-\d.]+\s+Tf|(-?\d+(?:\.\d+)?)(?=[\s(<\]])|(T\*|Tj|TJ|Td|TD|Tm|'|\")", re.S)
+_HEX = re.compile(rb"<([0-9A-Fa-f\s]*)>")
 _ESC = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _pdf_string(raw: bytes) -> str:
+def _pdf_bytes(raw: bytes) -> bytes:
     def sub(m: re.Match) -> bytes:
         x = m[1]
         return bytes((int(x, 8) & 255,)) if x[:1].isdigit() else _ESC.get(x, b"" if x in (b"\n", b"\r") else x)
 
-    data = re.sub(rb"\\([0-7]{1,3}|.)", sub, raw, flags=re.S)
+    return re.sub(rb"\\([0-7]{1,3}|.)", sub, raw, flags=re.S)
+
+
+def _pdf_hex(raw: bytes) -> bytes:
+    digits = re.sub(rb"\s", b"", raw).decode()
+    return bytes.fromhex(digits + "0" * (len(digits) % 2))
+
+
+def _pdf_string(raw: bytes) -> str:
+    data = _pdf_bytes(raw)
     return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
 
 
-def _pdf_text(ops: bytes) -> str:
+def _pdf_codes(cmap: bytes) -> dict[bytes, str]:
+    """Codes of a font and the characters that its ToUnicode map gives them."""
+    out: dict[bytes, str] = {}
+    text = lambda x: x.decode("utf-16-be", "replace")
+    for body in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        found = [_pdf_hex(x) for x in _HEX.findall(body)]
+        out |= {code: text(to) for code, to in zip(found[::2], found[1::2])}
+    for body in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, listed, first in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:\[(.*?)\]|<([0-9A-Fa-f]+)>)", body, re.S):
+            low, size = int(a, 16), len(a) // 2
+            many = [text(_pdf_hex(x)) for x in _HEX.findall(listed)]
+            for k in range(min(int(b, 16) - low + 1, 1 << 16)):
+                if first:
+                    to = _pdf_hex(first)
+                    out[(low + k).to_bytes(size, "big")] = text((int.from_bytes(to, "big") + k).to_bytes(len(to), "big"))
+                elif k < len(many):
+                    out[(low + k).to_bytes(size, "big")] = many[k]
+    return out
+
+
+def _pdf_text(ops: bytes, fonts: dict[bytes, dict[bytes, str]]) -> str:
     out: list[str] = []
-    held = ""
+    held, codes = "", {}
     for m in _STR.finditer(ops):
-        if m[3] is None:
-            held += _pdf_string(m[1] if m[1] is not None else bytes.fromhex(re.sub(rb"\s", b"", m[2]).decode().ljust(0)))
-        elif m[3] in (b"Tj", b"TJ", b"'", b'"'):
-            out.append(("\n" if m[3] in (b"'", b'"') and out else "") + held)
+        plain, coded, font, number, op = m.groups()
+        if font is not None:
+            codes = fonts.get(font, {})
+        elif number is not None:
+            held += " " if held and float(number) < -200 else ""  # a gap within a line
+        elif op is None:
+            raw = _pdf_bytes(plain) if plain is not None else _pdf_hex(coded)
+            if codes:
+                size = max(map(len, codes))
+                held += "".join(codes.get(raw[k : k + size], "") for k in range(0, len(raw), size))
+            else:
+                held += _pdf_string(plain) if plain is not None else raw.decode("cp1252", "replace")
+        elif op in (b"Tj", b"TJ", b"'", b'"'):
+            out.append(("\n" if op in (b"'", b'"') and out else "") + held)
             held = ""
         elif out and not out[-1].endswith("\n"):
             out.append("\n")
@@ -585,6 +625,14 @@ def _pdf_objects(data: bytes) -> dict[int, tuple[bytes, bytes | None]]:
             body = data[at : at + int(size[1])] if size else data[at : end if end >= 0 else len(data)]
             at = end if end >= 0 else len(data)
         out[int(m[1])] = (m[2], body)
+    for head, body in list(out.values()):  # objects that lie in streams
+        if body and re.search(rb"/Type\s*/ObjStm", head):
+            first, n = (int(re.search(rb"/" + k + rb"\s+(\d+)", head)[1]) for k in (b"First", b"N"))
+            raw = _inflated(body) if b"FlateDecode" in head else body
+            place = [int(x) for x in raw[:first].split()[: 2 * n]]
+            ends = [*place[3::2], len(raw) - first]
+            for number, a, b in zip(place[::2], place[1::2], ends):
+                out.setdefault(number, (raw[first + a : first + b], None))
     return out
 
 
@@ -593,7 +641,7 @@ def _inflated(body: bytes) -> bytes:
 
 
 def read_pdf(data: bytes, by_line: bool = False) -> dict:
-    """A paragraph a page (or a line) of simple-font, Flate-coded text; metadata of the info object."""
+    """A paragraph a page (or a line) of Flate-coded text in simple fonts or fonts with a ToUnicode map; metadata of the info object."""
     if b"/Encrypt" in data:
         raise ValueError("encrypted PDF files can't be read")
     objects = _pdf_objects(data)
@@ -602,18 +650,36 @@ def read_pdf(data: bytes, by_line: bool = False) -> dict:
     ref = lambda body, key: re.search(rb"/" + key + rb"\s*\[?((?:\s*\d+\s+\d+\s+R)+)", body)
     ids = lambda m: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
 
-    def pages(k: int) -> list[int]:
-        body = objects.get(k, (b"", None))[0]
-        return [p for c in ids(ref(body, b"Kids")) for p in pages(c)] if b"/Kids" in body else [k]
+    def body_of(k: int) -> bytes:
+        head, body = objects.get(k, (b"", None))
+        return (_inflated(body) if b"FlateDecode" in head else body) if body else b""
+
+    def part(head: bytes, key: bytes) -> bytes:
+        """What follows a key: the object that it refers to, or the rest of this one."""
+        m = re.search(rb"/" + key + rb"\s*(?:(\d+)\s+\d+\s+R)?", head)
+        return b"" if not m else objects.get(int(m[1]), (b"", None))[0] if m[1] else head[m.end() :]
+
+    def pages(k: int, above: bytes = b"") -> list[tuple[int, bytes]]:
+        """Pages with the resources that hold for them."""
+        head = objects.get(k, (b"", None))[0]
+        above = part(head, b"Resources") or above
+        return [p for c in ids(ref(head, b"Kids")) for p in pages(c, above)] if b"/Kids" in head else [(k, above)]
+
+    kept: dict[int, dict[bytes, str]] = {}
+
+    def codes(font: int) -> dict[bytes, str]:
+        if font not in kept:
+            m = re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", objects.get(font, (b"", None))[0])
+            kept[font] = _pdf_codes(body_of(int(m[1]))) if m else {}
+        return kept[font]
 
     root = next((ids(ref(b, b"Pages"))[0] for b, _ in objects.values() if re.search(rb"/Type\s*/Catalog", b)), None)
     texts = []
-    for p in pages(root) if root is not None else []:
-        parts = []
-        for c in ids(ref(objects.get(p, (b"", None))[0], b"Contents")):
-            head, body = objects.get(c, (b"", None))
-            parts.append(_inflated(body) if body and b"FlateDecode" in head else body or b"")
-        texts.append(_pdf_text(b"\n".join(parts)))
+    for p, resources in pages(root) if root is not None else []:
+        listed = re.match(rb"\s*(?:<<)?(.*?)(?:>>|\Z)", part(resources, b"Font"), re.S)[1]
+        fonts = {name: codes(int(k)) for name, k in re.findall(rb"/([^\s/<>]+)\s+(\d+)\s+\d+\s+R", listed)}
+        parts = [body_of(c) for c in ids(ref(objects.get(p, (b"", None))[0], b"Contents"))]
+        texts.append(_pdf_text(b"\n".join(parts), fonts))
     m = re.search(rb"/Info\s+(\d+)", data)
     info = objects.get(int(m[1]), (b"", None))[0] if m else b""
     found = {n: re.search(rb"/" + k + rb"\s*\(((?:\\.|[^\\()])*)\)", info, re.S) for k, n in ((b"Title", "title"), (b"Author", "author"), (b"Subject", "subject"))}

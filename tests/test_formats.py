@@ -81,6 +81,23 @@ def test_pdf_text_comes_back():
     assert [b["data"] for b in lines][1:2] == ['Text "q" é?']
 
 
+def test_pdf_object_streams_fonts_with_maps_and_gaps():
+    import zlib
+
+    cmap = b"1 beginbfchar <0001> <0041> endbfchar 2 beginbfrange <0002> <0003> <00420042> <0004> <0005> [<2603> <00e9>] endbfrange"
+    page = b"BT /G 12 Tf 1 0 0 1 72 700 Tm <00010002> Tj 0 -14 Td [<0004> -300 <0005>] TJ /H 9 Tf T* (plain (x) \\\\ \\101) Tj ET"
+    inside = [(1, b"<</Type/Catalog/Pages 2 0 R>>"), (2, b"<</Type/Pages/Count 1/Kids[3 0 R]/Resources<</Font 6 0 R>>>>"), (3, b"<</Type/Page/Parent 2 0 R/Contents 7 0 R>>"), (4, b"<</Type/Font/ToUnicode 8 0 R>>"), (5, b"<</Type/Font>>"), (6, b"<</G 4 0 R/H 5 0 R>>")]
+    places, text = [], b""
+    for k, o in inside:
+        places += [k, len(text)]
+        text += o + b" "
+    lead = b" ".join(b"%d" % x for x in places) + b" "
+    packed = zlib.compress(lead + text)
+    stream = lambda k, head, body: b"%d 0 obj<<%s/Length %d>>stream\n%s\nendstream endobj\n" % (k, head, len(body), body)
+    data = b"%PDF-1.5\n" + stream(9, b"/Type/ObjStm/N 6/First %d/Filter/FlateDecode" % len(lead), packed) + stream(7, b"/Filter/FlateDecode", zlib.compress(page)) + stream(8, b"", cmap)
+    assert [b["data"] for b in containers.read_pdf(data)["content"]] == ["ABB\n☃ é\nplain (x) \\ A"]
+
+
 def test_rtf_text():
     coded = r"{\rtf1{\fonttbl x;}\b Bold\b0  a\par \'e9" + chr(92) + r"u9731? \{x\}}"
     assert containers.rtf_text(coded) == "Bold a\n\u00e9\u2603 {x}"
