@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        context.setCheckpointDir(at)  # the setting itself can't be changed in a running session
     path = context._jvm.org.apache.hadoop.fs.Path(at)
     path = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path)
     return re.sub(r"^file:/(?!/)", "file:///", path.toString()).rstrip("/")

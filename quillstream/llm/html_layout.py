@@ -462,7 +462,7 @@ def render(html: str | None, pad: int = 80) -> str:
 
 def render_pages(pages: DataFrame, *, html_col: str = "html", pad: int = 80, text_col: str = "text") -> DataFrame:
     """``pages`` with ``html_col`` replaced by the rendered text (an existing column of that name too)."""
-    rest = [c for c in pages.columns if c not in (html_col, text_col)]
+    rest = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower())]
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c in rest)
 
     def run(batches: Iterator) -> Iterator:

@@ -260,27 +260,27 @@ def ngram_join(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, trees: in
     forest = stored(forest.sortWithinPartitions("key", "label"), "forest")
     release(nodes)
 
-    links, bins, deeper = None, np.zeros(BINS, np.int64), []
+    links, bins, used = None, np.zeros(BINS, np.int64), []
     met = None  # cls, met: of each depth so far, the sorted anchors
-    for more in range(DEEPER, -1, -2):
+    for before, more in enumerate(range(DEEPER, -1, -2)):
         cut = F.shiftrightunsigned("label", 16 * (DEEPER - more)) if more else F.lit(0).cast("long")
         trie = forest.select("key", cut.alias("prefix"), "cls")
         anchors = trie.groupBy("key", "prefix").agg(F.min("cls").alias("anchor"), F.count("*").alias("_n")).filter("_n > 1").select("key", "prefix", "anchor")
         members = trie.join(anchors, ["key", "prefix"]).select("anchor", "cls").distinct()
         own = stored(members.groupBy("cls").agg(F.array_sort(F.collect_list("anchor")).alias("mine")), "anchors")  # at most one a tree
-        deeper.append(own)
+        used.append(own)
         if met is None:
             known = own.withColumn("met", F.array().cast("array<array<long>>"))
         else:
-            known = own.join(met, "cls", "left").withColumn("met", F.coalesce("met", F.array_repeat(F.array().cast("array<long>"), len(deeper) - 1)))
+            known = own.join(met, "cls", "left").withColumn("met", F.coalesce("met", F.array_repeat(F.array().cast("array<long>"), before)))
         asked = known.select(F.explode("mine").alias("anchor"), "cls", "mine", "met")
         size = asked.groupBy("anchor").agg(F.count("*").alias("size"))
         if met is not None:  # anchors with a common earlier anchor of all members have nothing new
             tags = asked.select("anchor", F.posexplode("met").alias("_k", "_tags")).select("anchor", "_k", F.explode("_tags").alias("_tag"))
             most = tags.groupBy("anchor", "_k", "_tag").agg(F.count("*").alias("_n")).groupBy("anchor").agg(F.max("_n").alias("_most"))
             size = size.join(most, "anchor", "left").filter("coalesce(_most, 0) < size").select("anchor", "size")
-        before = F.filter("mine", lambda x: x < F.col("anchor"))
-        asked = asked.join(size, "anchor").select("anchor", "size", "cls", F.concat("met", F.array(before)).alias("met"))
+        lower = F.filter("mine", lambda x: x < F.col("anchor"))
+        asked = asked.join(size, "anchor").select("anchor", "size", "cls", F.concat("met", F.array(lower)).alias("met"))
         got = stored(verify(asked, pool, n=n, threshold=threshold, block=block), "links")
         for r in got.filter("cls is null").select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
             bins[r["k"]] += r["n"]
@@ -294,7 +294,8 @@ def ngram_join(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, trees: in
             break
         if more:
             met = stored(known.select("cls", F.concat("met", F.array("mine")).alias("met")), "met")  # who met deeper meets here too
-    release(pool, forest, *deeper)
+            used.append(met)
+    release(pool, forest, *used)
     return sketched.select("doc_id", "row_key", "high", "low"), classes.drop("prefixes"), links
 
 

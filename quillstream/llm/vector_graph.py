@@ -257,14 +257,15 @@ def nearest_shards(v: list, centroids: np.ndarray | None, overlap: int) -> list[
     return out
 
 
-def refined(placed: DataFrame, by: list[str], shard: int, fit_rows: int, parts: int, rounds: int = 4) -> DataFrame:
+def refined(placed: DataFrame, by: list[str], shard: int, fit_rows: int, parts: int, rounds: int = 4, made: list | None = None) -> DataFrame:
     """``placed`` with shards of more than 8 x ``shard`` vectors divided by centroids of their own.
 
-    A shard that doesn't fall apart (its vectors are alike) stays large and is split to blocks later.
+    Stored tables are appended to ``made``. A shard that doesn't fall apart (its vectors are alike) stays large and is split to blocks later.
     """
-    schema = placed.schema
+    schema, made = placed.schema, [] if made is None else made
     for _ in range(rounds):
         sizes = stored(placed.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > 8 * shard), "large")
+        made.append(sizes)
         if sizes.isEmpty():
             break
         large, rest = placed.join(sizes, by), placed.join(sizes, by, "left_anti")
@@ -289,14 +290,18 @@ def refined(placed: DataFrame, by: list[str], shard: int, fit_rows: int, parts:
 
         moved = asks.groupBy(*by, "slice").cogroup(given.groupBy(*by, "slice")).applyInPandas(assign, schema)
         placed = stored(rest.unionByName(moved), "shards")
+        made += [centroids, placed]
         if placed.groupBy(*by).count().agg(F.max("count")).first()[0] > 0.8 * sizes.agg(F.max("_n")).first()[0]:
             break
     return placed
 
 
-def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | None, overlap: int, beam: int, degree: int, block: int, candidates: int = 48, shard: int = 1500, fit_rows: int = 20_000, parts: int = 4096) -> DataFrame:
-    """Links of classes (cls, label, class_size, v), counted by :func:`tally`; a class may have several rows."""
-    kind = dict(classes.dtypes)["label"]
+def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | None, overlap: int, beam: int, degree: int, block: int, candidates: int = 48, shard: int = 1500, fit_rows: int = 20_000, parts: int = 4096, made: list | None = None) -> DataFrame:
+    """Links of classes (cls, label, class_size, v), counted by :func:`tally`; a class may have several rows.
+
+    Tables stored on the way, which are of no use once the links are, are appended to ``made``.
+    """
+    kind, made = dict(classes.dtypes)["label"], [] if made is None else made
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -306,7 +311,8 @@ def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | Non
 
     by = ["label", "dim", "shard"]
     placed = stored(classes.select("cls", "label", "class_size", "v").mapInPandas(assign, f"cls long, label {kind}, dim int, shard long, class_size long, v array<double>"), "shards")
-    placed = refined(placed, by, shard, fit_rows, parts)
+    made.append(placed)
+    placed = refined(placed, by, shard, fit_rows, parts, made=made)
     sized = placed.join(placed.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), by)
     sized = sized.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
@@ -318,6 +324,7 @@ def find_links(classes: DataFrame, *, radius: float, centroids: np.ndarray | Non
     lists = sized.groupBy(*by, "own").applyInPandas(build, "cls long, shard long, near array<long>, tight boolean")
     united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("tight").alias("tight"), F.collect_list("shard").alias("shards"))  # one a shard
     nodes = stored(sized.join(united, "cls"), "nodes")
+    made.append(nodes)
     cols = [*by, "cls", "class_size", "v", "near", "tight", F.filter("shards", lambda x: x < F.col("shard")).alias("before"), "own"]
     search = nodes.select(*cols, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     search = search.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
@@ -456,7 +463,9 @@ def near_dedup(vectors: DataFrame, *, radius: float = 0.93, overlap: int = 3, be
         centroids = k_means(np.array(most), count) if most else None
         if links is not None:
             release(links)
-        links = stored(find_links(classes, radius=radius, centroids=centroids, overlap=wide, beam=beam << k, degree=degree << k, block=block, candidates=48 << k, shard=shard, fit_rows=fit_rows, parts=parts), "links")
+        used: list[DataFrame] = []
+        links = stored(find_links(classes, radius=radius, centroids=centroids, overlap=wide, beam=beam << k, degree=degree << k, block=block, candidates=48 << k, shard=shard, fit_rows=fit_rows, parts=parts, made=used), "links")
+        release(*used)
         true, hit, mean = audit(exact, links)
         _LOG.info("overlap %d: %d of %d audited links found, %.4f of a vector's on average", wide, hit, true, mean)
         if report is not None:

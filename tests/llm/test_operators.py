@@ -3,6 +3,7 @@
 import functools
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -52,6 +53,39 @@ def whole(text):
     return library().encode(text or "", add_special_tokens=False).ids
 
 
+# --- work tables ------------------------------------------------------------------------------
+
+
+def test_work_tables_go_to_the_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from quillstream.llm import common
+
+    of = lambda at, context: SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: at))
+    assert common.shared_dir(of(f"{tmp_path}/work/", spark.sparkContext)) == f"file://{tmp_path}/work"  # no scheme: the default file system
+    assert common.shared_dir(of(f"file:///{tmp_path}/work", spark.sparkContext)) == f"file://{tmp_path}/work"
+    made = common.stored(spark.range(3), "t")
+    place = made._stored_at.removeprefix("file://")
+    assert made.count() == 3 and os.path.isdir(place)
+    common.release(made)
+    assert not os.path.exists(place)
+    calls = []
+    local = SimpleNamespace(master="local[4]", getCheckpointDir=lambda: None, setCheckpointDir=calls.append, _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc)
+    assert common.shared_dir(of(None, local)) == calls[0] and calls[0].startswith("file:///")
+    with pytest.raises(RuntimeError):
+        common.shared_dir(of(None, SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)))
+
+
+def test_names_of_hash_pairs_are_distinct(spark):
+    from quillstream.llm.common import row_key, told_apart, unused
+
+    pairs = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "high long, low long")
+    assert len({r[0] for r in pairs.select(told_apart(pairs, "high", "low")).collect()}) == 3
+    rows = spark.createDataFrame([(1, None), (1, ""), (None, "1"), (None, None), (1, "-"), (1, "1")], "d long, t string")
+    assert rows.select(row_key(F.col("d"), F.col("t")).alias("k")).distinct().count() == 6
+    assert unused(rows.toDF("Key", "_key"), "key") == "__key"
+
+
 # --- tokens, 1 and 7 ----------------------------------------------------------------------------
 
 
