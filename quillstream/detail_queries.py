@@ -12,7 +12,7 @@ from quillstream.format_queries import _BACK
 from quillstream.functions import text as fn
 from quillstream.operators import render
 from quillstream.plans.convert import convert
-from quillstream.queries import _RTF_BODY, _RTF_TOP, ESC, NL, P_EACH, P_HTML, PARAS, Query, nation_doc, page_sql, query, read, talks
+from quillstream.queries import _RTF_BODY, _RTF_TOP, ESC, NL, P_EACH, P_HTML, PARAS, Query, nation_doc, page_sql, query, read, spread, talks
 from quillstream.sources import columns, containers, palm, plain
 
 
@@ -170,7 +170,7 @@ query("epub_roundtrip", f"SELECT conv_id, string_agg(CASE WHEN role = 'user' THE
 
 def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short documents: a title, an author, three paragraphs."""
-    c = read(spark, sf_dir, "customer")
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
     meta = F.create_map(F.lit("title"), F.concat(F.lit("T ("), "c_name", F.lit(")")), F.lit("author"), F.col("c_mktsegment"))
     paras = F.array(model.paragraph(F.col("c_name")), model.paragraph(F.concat(F.lit("nation \\ é "), F.col("c_nationkey").cast("string"))), model.paragraph(F.col("c_mktsegment")))
     return c.select("c_custkey", meta.alias("metadata"), paras.alias("content"))

@@ -318,3 +318,23 @@ def test_graph_matches_search(spark):
     for r in graph.paths(spark, 2).collect():
         if r["src"] != r["dst"]:
             assert r["path"] == graph.find_path(r["src"], r["dst"])
+
+
+def test_archives_are_those_of_zipfile():
+    import io
+    import zipfile
+
+    files = [("mimetype", "abc", False), ("a/b.xml", "é☃" * 5000, True), ("c", b"\0" * 10, True), ("e", "", True)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data, packed in files:
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED)
+    made = containers._zip(files)
+    assert made == out.getvalue()
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        take = containers._taker(z, made)
+        assert [take(name) for name, _, _ in files] == [z.read(name) for name, _, _ in files]
+        broken = bytearray(made)
+        broken[z.getinfo("a/b.xml").header_offset + 40] ^= 0xFF
+    with zipfile.ZipFile(io.BytesIO(bytes(broken))) as z, pytest.raises((zipfile.BadZipFile, __import__("zlib").error)):
+        containers._taker(z, bytes(broken))("a/b.xml")

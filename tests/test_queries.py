@@ -77,3 +77,13 @@ def same_as_sql(spark, name, at):
 def test_text_records_of_shared_ids_and_empty_texts(spark, tmp_path):
     rows = [(1, "é" * 3000), (1, "b" * 9000), (2, ""), (3, None), (4, "x" * 4096)]
     assert same_as_sql(spark, "text_records", made_tables(spark, tmp_path, documents=(rows, "doc_id long, text string")))
+
+
+def test_small_files_are_spread_over_tasks(spark):
+    """What takes milliseconds a row has several tasks a core, however few the files of its table are."""
+    from pyspark.sql import functions as F
+
+    most = 4 * spark.sparkContext.defaultParallelism
+    for name in ("epub_metadata",):
+        got = queries.QUERIES[name](spark, SF).withColumn("_task", F.spark_partition_id())
+        assert got.select("_task").distinct().count() > most // 2, name
