@@ -90,7 +90,7 @@ def odt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return containers._zip([*files, ("meta.xml", meta, True)]).hex()
 
     rows = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\x1f", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("x"))
-    files = _mapped(rows, "p_partkey", "x", pack).select("p_partkey", F.unhex("out").alias("data"))
+    files = _mapped(spread(rows, "p_partkey"), "p_partkey", "x", pack).select("p_partkey", F.unhex("out").alias("data"))
     docs = columns.read_documents(files, "odt", keep=("p_partkey",))
     return docs.select("p_partkey", F.col("metadata")["title"].alias("title"), F.col("metadata")["author"].alias("author"), _shown(F.col("content")).alias("blocks"))
 
