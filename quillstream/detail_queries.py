@@ -318,15 +318,12 @@ def settings_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     user = F.when(k % 2 == 0, F.lit("documents:\n  encoding: utf-16\n")).otherwise(F.lit(""))
     near = F.concat(F.when(k % 3 == 0, F.concat(F.lit("output:\n  directory: out-"), F.col("c_nationkey").cast("string"), F.lit("\n"))).otherwise(F.lit("")), F.when(k % 5 == 0, F.lit("documents: {encoding: latin-1}\n")).otherwise(F.lit("")))
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\x1f", user, near).alias("x"))
+    rows = spread(read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\x1f", user, near).alias("x")), "c_custkey")
 
     def look(x: str) -> list[str]:
-        import yaml
-
         from quillstream.plans import config as cfg
 
-        first, second = (yaml.safe_load(v) or {} for v in x.split("\x1f"))
-        got = cfg.Config(first, second)
+        got = cfg.Config(*map(cfg.parsed, x.split("\x1f")))
         return [got.get(key, "none") for key in ("output.directory", "documents.encoding", "output.filename_pattern", "no.such.key")]
 
     got = _mapped(rows, "c_custkey", "x", look, "array<string>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from pathlib import Path
 
 import yaml
@@ -21,6 +22,12 @@ def merge(base: dict, update: dict) -> dict:
     return out
 
 
+@lru_cache(4096)
+def parsed(text: str) -> dict:
+    """The values of a YAML text; equal texts share them, so they aren't to be changed."""
+    return yaml.safe_load(text) or {}
+
+
 def load(path: str | Path) -> dict:
     try:
         values = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
