@@ -412,7 +412,8 @@ def convert_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("title_from_filename", "SELECT c_custkey, 'c' || c_custkey AS title FROM customer")
 def title_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = read(spark, sf_dir, "customer").select(F.concat(F.lit("/d/c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), F.encode("c_name", "UTF-8").alias("data"))
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    files = c.select(F.concat(F.lit("/d/c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), F.encode("c_name", "UTF-8").alias("data"))
     books = convert(files, ["mobi"], config={"documents.title_from_filename": True}).select(F.regexp_extract("result.source_path", r"(\d+)", 1).cast("long").alias("c_custkey"), F.col("output").alias("data"))
     return columns.read_documents(books, "mobi", keep=("c_custkey",)).select("c_custkey", F.col("metadata")["title"].alias("title"))
 
