@@ -61,7 +61,7 @@ _PARTS = "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS
 def _part_files(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """p_partkey and bytes: literal pieces, and columns where a piece begins with ``@``."""
     text = F.concat(*[F.col(x[1:]).cast("string") if x.startswith("@") else F.lit(x) for x in parts])
-    return read(spark, sf_dir, "part").select("p_partkey", F.encode(text, "UTF-8").alias("data"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey", F.encode(text, "UTF-8").alias("data")), "p_partkey")
 
 
 @query("markdown_blocks", f"SELECT p_partkey, 'h1:' || p_name || {NL} || 'p:A ' || p_type || ' of ' || p_brand || ' and code' || {NL} || 'h2:' || p_brand || {NL} || 'p:size ' || p_size || {NL} || 'second line' AS blocks FROM ({_PARTS})")

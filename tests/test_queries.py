@@ -84,6 +84,6 @@ def test_small_files_are_spread_over_tasks(spark):
     from pyspark.sql import functions as F
 
     most = 4 * spark.sparkContext.defaultParallelism
-    for name in ("epub_metadata", "pdf_to_epub", "pdf_lines", "pdf_pages", "odt_blocks", "settings_layers", "title_from_filename"):
+    for name in ("epub_metadata", "pdf_to_epub", "pdf_lines", "pdf_pages", "odt_blocks", "settings_layers", "title_from_filename", "markdown_blocks", "rtf_blocks"):
         got = queries.QUERIES[name](spark, SF).withColumn("_task", F.spark_partition_id())
         assert got.select("_task").distinct().count() > most // 2, name
