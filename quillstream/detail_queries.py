@@ -34,9 +34,10 @@ def _mapped(df: DataFrame, keep: str, col: str, f: Callable, kind: str = "string
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            got = pa.array([f(x) for x in batch.column(1).to_pylist()], pa.string() if kind == "string" else pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=[keep, "out"])
+        for whole in batches:
+            for batch in (whole.slice(at, n) for at, n in columns.slices(whole.column(1))):
+                got = pa.array([f(x) for x in batch.column(1).to_pylist()], pa.string() if kind == "string" else pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), got], names=[keep, "out"])
 
     return df.select(keep, col).mapInArrow(run, schema)
 

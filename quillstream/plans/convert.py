@@ -3,8 +3,8 @@
 ``convert`` takes rows (path, data) and gives a row a file with the result struct and the bytes
 of the target. Each hop is serialised as its format would be, so what a format can't carry is
 lost, as between files. An error is data: a failed row has success = false and the message.
-Plain text goes to text, HTML, Markdown and RTF in Catalyst (``quillstream.operators.render``);
-the pass through Python is for what needs a parser, a codec or a registered converter.
+Plain text goes to text, HTML, Markdown and RTF in Catalyst (``quillstream.operators.render``)
+and doesn't enter Python; the pass through Python is for what needs a parser, a codec or a registered converter.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from quillstream.errors import NoRouteError
 from quillstream.functions import text as fn
@@ -221,35 +224,42 @@ def convert(
     known = list(graph.CONVERTERS)
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+
+        from quillstream.sources.columns import slices
 
         graph.restore(known)
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                way, out, error, between = plan(r.src, r.dst), None, None, []
-                if way is None:
-                    error = f"No converter found for {r.src} -> {r.dst}"
-                elif r.taken is True:
-                    error = f"Target file already exists: {r.target}"
-                elif r.made is not None:
-                    out = r.made
-                else:
-                    try:
-                        if r.data is None:
-                            raise ValueError("no data")
-                        cfg, out = {k: json.loads(v) for k, v in dict(r.settings).items()}, bytes(r.data)
-                        for a, b in zip(way, way[1:]):
-                            out = one_hop(out, a, b, r.stem, cfg)
-                            between.append((f"{r.path.rpartition('/')[0]}/{r.stem}_intermediate.{b}", out))
-                    except Exception as e:  # noqa: BLE001 - a file's error is its result
-                        out, error = None, str(e) or type(e).__name__
-                rows.append((error is None, r.path, r.target if way else None, error, way, len(way) - 1 if way else 0, out, between[:-1] if error is None else []))
-            yield pd.DataFrame(rows, columns=["success", "source_path", "target_path", "error", "conversion_path", "hops", "output", "intermediates"])
-
-    kinds = "success boolean, source_path string, target_path string, error string, conversion_path array<string>, hops int, output binary, intermediates array<struct<path:string,data:binary>>"
-    got = work.select("path", "data", "src", "dst", "stem", "target", "taken", "made", "settings").mapInPandas(run, kinds)
-    return got.select(F.struct("success", "source_path", "target_path", "error", "conversion_path", "hops").alias("result"), "output", *["intermediates"] * keep_intermediate)
+        for whole in batches:
+            for at, n in slices(whole[1]):
+                rows = []
+                for path, data, src, dst, stem, target, taken, made, settings in zip(*(c.slice(at, n).to_pylist() for c in whole)):
+                    way, out, error, between = plan(src, dst), None, None, []
+                    if way is None:
+                        error = f"No converter found for {src} -> {dst}"
+                    elif taken is True:
+                        error = f"Target file already exists: {target}"
+                    elif not made:
+                        try:
+                            if data is None:
+                                raise ValueError("no data")
+                            cfg, out = {k: json.loads(v) for k, v in settings}, data
+                            for a, b in zip(way, way[1:]):
+                                out = one_hop(out, a, b, stem, cfg)
+                                if keep_intermediate:
+                                    between.append((f"{path.rpartition('/')[0]}/{stem}_intermediate.{b}", out))
+                        except Exception as e:  # noqa: BLE001 - a file's error is its result
+                            out, error = None, str(e) or type(e).__name__
+                    rows.append((error is None, target if way else None, error, way, len(way) - 1 if way else 0, out, between[:-1] if error is None else []))
+                yield pa.array(rows, kind)
+
+    schema = "struct<success:boolean,target_path:string,error:string,conversion_path:array<string>,hops:int,output:binary,intermediates:array<struct<path:string,data:binary>>>"
+    kind = to_arrow_type(StructType.fromDDL(f"x {schema}").fields[0].dataType)
+    # a function of columns, not of rows: what Catalyst made stays out of Python, and results leave it in small pieces
+    go = F.arrow_udf(run, schema, ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    work = work.withColumn("r", go("path", "data", "src", "dst", "stem", "target", "taken", F.col("made").isNotNull(), "settings"))
+    result = F.struct("r.success", F.col("path").alias("source_path"), "r.target_path", "r.error", "r.conversion_path", "r.hops").alias("result")
+    output = F.when(F.col("r.success"), F.coalesce("made", "r.output")).alias("output")
+    return work.select(result, output, *[F.col("r.intermediates").alias("intermediates")] * keep_intermediate)
 
 
 def stem_of(path: str) -> str:

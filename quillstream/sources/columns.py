@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -14,6 +14,26 @@ from quillstream import model
 from quillstream.sources import containers, palm
 
 
+def slices(data, rows: int = 500, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(first, number) of the rows of an Arrow array, in runs of at most ``rows`` and of about ``size`` bytes.
+
+    What is made of a run as Python objects is gone before the next one begins.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat = pa.types.is_binary(data.type) or pa.types.is_string(data.type)
+    each = pc.fill_null(pc.binary_length(data), 0).to_pylist() if flat else [data.nbytes // max(1, len(data))] * len(data)
+    at = held = 0
+    for k, n in enumerate(each):
+        if k > at and (k - at == rows or held + n > size):
+            yield at, k - at
+            at, held = k, 0
+        held += n
+    if at < len(each):
+        yield at, len(each) - at
+
+
 def read_documents(files: DataFrame, fmt: str, *, data_col: str = "data", keep: tuple[str, ...] = ("path",), target: str = "txt") -> DataFrame:
     """``keep`` columns, metadata, content and error; a file that is null or can't be read has its error."""
     kinds = dict(files.dtypes)
@@ -25,7 +45,7 @@ def read_documents(files: DataFrame, fmt: str, *, data_col: str = "data", keep:
         from quillstream.plans.convert import read
 
         for whole in batches:
-            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+            for batch in (whole.slice(at, n) for at, n in slices(whole.column(len(keep)))):
                 docs = []
                 for data in batch.column(len(keep)).to_pylist():
                     try:
@@ -56,7 +76,7 @@ def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path
         import pyarrow as pa
 
         for whole in batches:
-            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+            for batch in (whole.slice(at, n) for at, n in slices(whole.column(len(keep) + 1))):
                 metadata, content = (batch.column(len(keep) + k).to_pylist() for k in (0, 1))
                 images = batch.column(len(keep) + 2).to_pylist() if pictured else [None] * len(content)
                 out = [write(dict(m or ()), list(blocks or ()), title, **({"images": dict(i or ())} if pictured else {})) for m, blocks, i in zip(metadata, content, images)]
@@ -65,17 +85,22 @@ def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path
     return docs.select(*keep, "metadata", "content", *["images"] * pictured).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", output binary")
 
 
-def palm_compress(data: Column) -> Column:
-    @F.pandas_udf("binary")
-    def go(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else palm.compress(bytes(x)))
+def _each(f: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
+    """A function of bytes as one of columns; nulls stay null."""
 
-    return go(data)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for whole in batches:
+            for at, n in slices(whole):
+                yield pa.array([None if x is None else f(x) for x in whole.slice(at, n).to_pylist()], pa.binary())
 
-def palm_decompress(data: Column) -> Column:
-    @F.pandas_udf("binary")
-    def go(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else palm.decompress(bytes(x)))
+    return F.arrow_udf(run, "binary", ArrowUDFType.SCALAR_ITER)
 
-    return go(data)
+
+def palm_compress(data: Column) -> Column:
+    return _each(palm.compress)(data)
+
+
+def palm_decompress(data: Column) -> Column:
+    return _each(palm.decompress)(data)
