@@ -338,3 +338,15 @@ def test_archives_are_those_of_zipfile():
         broken[z.getinfo("a/b.xml").header_offset + 40] ^= 0xFF
     with zipfile.ZipFile(io.BytesIO(bytes(broken))) as z, pytest.raises((zipfile.BadZipFile, __import__("zlib").error)):
         containers._taker(z, bytes(broken))("a/b.xml")
+
+
+def test_python_passes_take_small_runs_and_no_text_that_is_made(spark):
+    import pyarrow as pa
+
+    from quillstream.sources import columns
+
+    assert list(columns.slices(pa.array([b"x"] * 1100))) == [(0, 500), (500, 500), (1000, 100)]
+    assert list(columns.slices(pa.array([b"x" * 60, None, b"y" * 60, b"z" * 200]), size=100)) == [(0, 2), (2, 1), (3, 1)]
+    files = spark.createDataFrame([("/in/a.txt", b"one")], "path string, data binary")
+    plan = convert(files, ["html"])._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
