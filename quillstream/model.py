@@ -12,6 +12,7 @@ BLOCK = (
     "ordered:boolean,url:string,name:string>"
 )
 FIELDS = {x.split(":", 1)[0]: x.split(":", 1)[1] for x in BLOCK[7:-1].split(",")}
+_NO_MEMBERS = dict.fromkeys(FIELDS)
 CONTENT = f"array<{BLOCK}>"
 DOCUMENT = f"metadata map<string,string>, content {CONTENT}"
 RESULT = "struct<success:boolean,source_path:string,target_path:string,error:string,conversion_path:array<string>,hops:int>"
@@ -53,7 +54,7 @@ def image(name: Column) -> Column:
 
 def make(kind: str, **members) -> dict:
     """A block as a plain dict, for readers of binary formats."""
-    return {n: None for n in FIELDS} | {"type": kind} | members
+    return {**_NO_MEMBERS, "type": kind, **members}
 
 
 def no_blocks() -> Column:

@@ -34,6 +34,22 @@ def slices(data, rows: int = 500, size: int = 8 << 20) -> Iterator[tuple[int, in
         yield at, len(each) - at
 
 
+def blocks_of(content) -> list[list[dict] | None]:
+    """The rows of an Arrow array of blocks as to_pylist gives them, but a member at a time: most members are null in all blocks."""
+    import pyarrow.compute as pc
+
+    flat = content.flatten()
+    if flat.null_count:
+        return content.to_pylist()
+    members = [[None] * len(x) if x.null_count == len(x) else x.to_pylist() for x in flat.flatten()]
+    names, out, at = [x.name for x in flat.type], [], 0
+    made = [dict(zip(names, x)) for x in zip(*members)]
+    for n in pc.list_value_length(content).to_pylist():
+        out.append(None if n is None else made[at : at + n])
+        at += n or 0
+    return out
+
+
 def read_documents(files: DataFrame, fmt: str, *, data_col: str = "data", keep: tuple[str, ...] = ("path",), target: str = "txt") -> DataFrame:
     """``keep`` columns, metadata, content and error; a file that is null or can't be read has its error."""
     kinds = dict(files.dtypes)
@@ -77,7 +93,7 @@ def write_documents(docs: DataFrame, fmt: str, *, keep: tuple[str, ...] = ("path
 
         for whole in batches:
             for batch in (whole.slice(at, n) for at, n in slices(whole.column(len(keep) + 1))):
-                metadata, content = (batch.column(len(keep) + k).to_pylist() for k in (0, 1))
+                metadata, content = batch.column(len(keep)).to_pylist(), blocks_of(batch.column(len(keep) + 1))
                 images = batch.column(len(keep) + 2).to_pylist() if pictured else [None] * len(content)
                 out = [write(dict(m or ()), list(blocks or ()), title, **({"images": dict(i or ())} if pictured else {})) for m, blocks, i in zip(metadata, content, images)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "output"])

@@ -1,14 +1,16 @@
 """Codecs, readers, writers and the planner, without Spark."""
 
 import random
+import time
 
+import pyarrow as pa
 import pytest
 
 from quillstream.errors import ConfigError, NoRouteError
 from quillstream.model import FIELDS, make
 from quillstream.plans import config, graph
 from quillstream.plans.convert import convert, one_hop, plan, read
-from quillstream.sources import containers, markup, palm
+from quillstream.sources import columns, containers, markup, palm
 
 BLOCKS = [make("heading", data="One & <two>", level=1), make("paragraph", data="Text \"q\" é☃"), make("heading", data="Deep", level=2), make("paragraph", data="More"), make("heading", data="Next", level=1), make("paragraph", data="End")]
 PAIRS = [(b["type"], b["data"]) for b in BLOCKS]
@@ -98,6 +100,27 @@ def test_pdf_object_streams_fonts_with_maps_and_gaps():
     assert [b["data"] for b in containers.read_pdf(data)["content"]] == ["ABB\n☃ é\nplain (x) \\ A"]
 
 
+def test_pdf_numbers_take_time_in_proportion():
+    """Neither long digits nor the gaps between text are looked at from each of their places."""
+    began = time.perf_counter()
+    digits = b"1" * 60000
+    with pytest.raises(ValueError):
+        containers.read_pdf(b"%PDF-1.4\n" + digits)
+    assert containers._pdf_text(b"[(a) " + digits + b" (b) -300 (c) 5-201 (d) -200 (e) 300 (f)] TJ", {}) == "ab c def"
+    assert time.perf_counter() - began < 2
+
+
+def test_blocks_of_arrow_are_those_of_to_pylist():
+    kind = pa.list_(pa.struct([(n, pa.list_(pa.list_(pa.string())) if n == "rows" else pa.list_(pa.string()) if n in ("headers", "items") else pa.int32() if n in ("level", "size") else pa.bool_() if n in ("bold", "italic", "underline", "ordered") else pa.string()) for n in FIELDS]))
+    table, heading = make("table", headers=[], rows=[["a", None], None]), make("heading", data="x", level=1)
+    rows = [[heading], None, [], [make("list", items=["a"], ordered=False), table], [heading] * 3, [make("paragraph", data=None)]]
+    for given in (rows, [*rows, [None, heading]], [], [None], [[]], [[make("paragraph", data="é")]]):
+        whole = pa.array(given, kind)
+        for at in range(len(given) + 1):
+            part = whole.slice(at, 3)
+            assert columns.blocks_of(part) == part.to_pylist() == given[at : at + 3]
+
+
 def test_rtf_text():
     coded = r"{\rtf1{\fonttbl x;}\b Bold\b0  a\par \'e9" + chr(92) + r"u9731? \{x\}}"
     assert containers.rtf_text(coded) == "Bold a\n\u00e9\u2603 {x}"
